@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, token_counts
+from gridloom.llm import mixing, packing, quality, token_counts
 
 
 def queries() -> dict:
     return {
         "op4_packing": packing.op4_packing,
+        "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_mixing": mixing.op9_mixing,
     }
