@@ -18,8 +18,10 @@ packed each on its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,10 @@ LIMIT = 4096
 END = 1
 BLOCK_ROWS = 200_000
 #: Entries of a worker's cache of encoded words.
-CACHE = 300_000
+CACHE = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
-#: Below this code point lower-casing and white space are known to be the same for Python and the tokenizer.
-SIMPLE = "ɐ"
-#: White space for Python, not for the tokenizer.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Outside of this, lower-casing and white space could differ between Python and the tokenizer.
+ODD = re.compile("[^\x00-\u024f]|[\u0130\x1c-\x1f]")
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,28 +63,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def simple(self, text: str) -> bool:
+        if not text.isascii() and ODD.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return False
+        return not any(s in text for s in self.special)
+
+    def learn(self, missing: list[str], known: dict[str, bytes]) -> None:
+        """Encodes words; a comma or full stop after a letter is always a token of its own."""
+        rest = []
+        for word in missing:
+            if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
+                base = self.known.get(word[:-1])
+                if base is not None:
+                    known[word] = base + self.known[word[-1]]
+                    continue
+            rest.append(word)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[word] = array("I", found.ids).tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
         split: list[list[str] | None] = []
         for text in texts:
-            simple = not text or (max(text) < SIMPLE and "İ" not in text and not any(c in text for c in ODD_SPACE) and not any(s in text for s in self.special))
-            if simple and not unicodedata.is_normalized("NFC", text):
+            simple = self.simple(text)
+            if simple and not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             split.append(text.lower().split() if simple else None)
-        known = self.known
-        missing = list({w for words in split if words for w in words if w not in known})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(found.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [self.whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+        missing = list(set().union(*[w for w in split if w]) - self.known.keys())
+        fresh: dict[str, bytes] = {}
+        self.learn(missing, fresh)
+        full = len(self.known) >= CACHE
+        self.known.update(fresh)
+        get = self.known.__getitem__
+        out = [self.whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+        if full:  # words that come late are rare: they are forgotten again
+            for word in fresh:
+                del self.known[word]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
