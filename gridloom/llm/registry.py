@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, quality, token_counts
+from gridloom.llm import mixing, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_packing": packing.op4_packing,
         "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
