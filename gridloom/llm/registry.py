@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, quality, token_counts, toxicity
+from gridloom.llm import licenses, mixing, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_licenses": licenses.op3_licenses,
         "op4_packing": packing.op4_packing,
         "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
