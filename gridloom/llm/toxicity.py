@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import read
 from gridloom.llm.quality import calibrate, labelled_sample
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 LANDMARKS = 128
 DECAY = 0.75
 REACH = 7
@@ -46,6 +46,8 @@ FLOOR = -1.5
 #: Least log-likelihood by which a word must prefer toxic documents to be a positive instance from the start.
 EVIDENCE = 15.0
 CACHE = 400_000
+#: Words whose subsequences are held at once.
+BLOCK = 8_192
 LETTERS = 64
 #: Longer words are scored by their overlapping parts of this length.
 LONGEST = 32
@@ -151,6 +153,8 @@ def decisions(words: list[str], weights: np.ndarray, bias: float, floor: float =
     word without repeated letters, so the exact norm is found only for the words
     whose decision can come above the floor.
     """
+    if len(words) > BLOCK:
+        return np.concatenate([decisions(words[i : i + BLOCK], weights, bias, floor) for i in range(0, len(words), BLOCK)])
     if not words:
         return np.zeros(0)
     strings = Strings(words)
@@ -223,7 +227,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     """Folded weights, bias and calibration, or None where the labels are all alike."""
     if len(set(labels)) < 2:
         return None
-    bags = [{w for s in sentences(t) for w in words_of(s)} | words_of(t) for t in texts]
+    same: dict[str, str] = {}  # each word is held once
+    bags = [frozenset(same.setdefault(w, w) for w in {w for s in sentences(t) for w in words_of(s)} | words_of(t)) for t in texts]
     y = np.asarray(labels)
     test = np.arange(len(y)) % 5 == 4
     if len({*y[test]}) < 2 or len({*y[~test]}) < 2:
@@ -265,8 +270,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         beta = whiten @ w
         folded = np.bincount(triple, (beta / np.maximum(norm, 1e-12))[part] * weight, LETTERS**3)
         folded[0] = 0.0
-        every = sorted({w for i in own for w in bags[i]})
-        value_of = dict(zip(every, decisions(every, folded, bias), strict=True))
+        value_of = dict(zip(same, decisions([*same], folded, bias).tolist(), strict=True))
         positives, hard = Counter(sure), Counter()
         for i in own:
             if not bags[i]:
