@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import licenses, mixing, packing, quality, token_counts, toxicity
+from gridloom.llm import licenses, mixing, ngram_join, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_licenses": licenses.op3_licenses,
         "op4_packing": packing.op4_packing,
