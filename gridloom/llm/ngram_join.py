@@ -14,9 +14,9 @@ smaller of the two. A longer prefix thus asks for more matches.
 2. The sets of the others (equal sets once) are written. Tokens are counted
    among them, and the counts order the tokens, rare ones first. Tokens that
    stand alone join nothing but use up the prefix, which drops more documents.
-   Each document then chooses its m: the candidates that m matches leave are at
-   most the sum of its prefix tokens' posting lists over m, each token costs its
-   posting, and the m of the least estimated cost is taken.
+   Each document then chooses its m: its prefix tokens' posting lists are read,
+   the candidates that m matches leave are at most the lists' sum over m, and the
+   m of the least estimated cost is taken.
 3. Candidates that share the matches asked for are verified on the whole sets.
    Only components are wanted, so in rounds each document is first tried against
    the most central document of its posting lists; what is linked is one
@@ -51,11 +51,16 @@ PERCENT = 80
 FIRST = 0.15
 #: Keys of a bucket of the first join, about.
 BUCKET_KEYS = 1_000_000
-#: Estimated cost of a posting, in candidates.
+#: Estimated cost of a posting and of verifying a candidate, each in pairs of postings.
 POSTING_COST = 2.0
+VERIFY_COST = 20.0
+#: Documents of a rare token at most.
+RARE = 8
 #: Documents that may be named in a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 STAR_ROUNDS = 12
+#: Rounds go on while so large a part of the tries links.
+STAR_YIELD = 0.05
 
 
 def need(n: int | np.ndarray, percent: int = PERCENT):
@@ -189,35 +194,71 @@ def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["node", "tokens"])
 
 
-def choose_prefixes(percent: int):
-    """(node, n, tokens that occur elsewhere with their counts) -> postings, or nothing if the document can be like no other."""
+def within(n: int, alive: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Tokens that a partner may have, and the largest size of a partner.
+
+    A partner's size lies between ``need(n)`` and what u common tokens allow, u
+    being the number of tokens that may be common: 100 u >= percent (n + size - u).
+    A token whose list has no size between these bounds can not be common either,
+    which lowers u; this is repeated until nothing changes.
+    """
+    common = need(n, percent)
+    while True:
+        u = int(alive.sum())
+        high = min(100 * n // percent, u * (100 + percent) // percent - n)
+        now = alive & (least <= high) & (most >= common)
+        if now.sum() == u:
+            return alive, high
+        alive = now
+
+
+POSTING = {"node": pa.binary(), "label": pa.binary(), "n": pa.int64(), "m": pa.int64(), "low": pa.int64(), "high": pa.int64(), "central": pa.float64(), "rare": pa.bool_(), "others": pa.int64(), "tokens": pa.list_(pa.int64())}
+
+
+def choose_prefixes(percent: int, split: bool):
+    """(node, label, n, tokens that occur elsewhere with what their lists hold) -> postings of documents that may have a partner.
+
+    With ``split``, pairs are sought in two ways. A pair that shares a rare token
+    (in at most ``RARE`` documents) meets in that token's list, so all rare
+    tokens are posted. A pair that shares none has only the other tokens in
+    common; so few of them may be left that no partner has a fitting size. In a
+    large group of near copies this spares the documents set apart by their own
+    edits from being paired with the whole group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("node", "n", "m", "central", "tokens")}
-            for node, n, pairs in zip(*(batch.column(k).to_pylist() for k in ("node", "n", "pairs")), strict=True):
-                counts = np.array([p["df"] for p in pairs], np.int64)
-                tokens = np.array([p["token"] for p in pairs], np.int64)
+            out: dict[str, list] = {k: [] for k in POSTING}
+
+            def post(*row):
+                for k, v in zip(POSTING, row, strict=True):
+                    out[k].append(v)
+
+            for node, label, n, pairs in zip(*(batch.column(k).to_pylist() for k in ("node", "label", "n", "pairs")), strict=True):
+                counts, tokens, least, most = (np.array([p[k] for p in pairs], np.int64) for k in ("df", "token", "least", "most"))
                 order = np.lexsort((tokens, counts))
-                counts, tokens = counts[order], tokens[order]
-                common = need(n, percent)
-                if len(tokens) < common:
+                counts, tokens, least, most = counts[order], tokens[order], least[order], most[order]
+                common, central = need(n, percent), float(counts.sum()) / n
+                alive, high = within(n, np.ones(len(tokens), bool), least, most, percent)
+                if alive.sum() < common or high < common:
                     continue
-                alone = n - len(tokens)
+                if split:
+                    rare = alive & (counts <= RARE)
+                    alive = alive & ~rare
+                    if rare.any():
+                        post(node, label, n, 1, common, high, central, True, int(alive.sum()), tokens[rare])
+                    alive, high = within(n, alive, least, most, percent)
+                    if alive.sum() < common or high < common:
+                        continue
                 m = np.arange(1, common + 1)
-                length = np.maximum(0, n - common + m - alone)  # of the part of the prefix that occurs elsewhere
-                if (length < m).any():  # some m asks for more matches than there are tokens
+                length = np.maximum(0, m - common + len(tokens))  # of the part of the prefix that occurs elsewhere
+                if (np.concatenate([[0], np.cumsum(alive)])[length] < m).any():  # some m asks for more matches than there can be
                     continue
-                lists = np.concatenate([[0], np.cumsum(counts - 1)])
-                cost = lists[length] / m + POSTING_COST * length
-                best = int(np.argmin(cost))
-                out["node"].append(node)
-                out["n"].append(n)
-                out["m"].append(int(m[best]))
-                out["central"].append(float(counts.sum()) / n)
-                out["tokens"].append(tokens[: length[best]])
-            kinds = {"node": pa.binary(), "n": pa.int64(), "m": pa.int64(), "central": pa.float64(), "tokens": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=[*kinds])
+                lists = np.concatenate([[0], np.cumsum((counts - 1) * alive)])[length]
+                best = int(np.argmin(lists * (1 + VERIFY_COST / m) + POSTING_COST * length))
+                chosen = tokens[: length[best]][alive[: length[best]]]
+                post(node, label, n, int(m[best]), common, high, central, False, int(n - (n - common + m[best])), chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in POSTING.items()], names=[*POSTING])
 
     return run
 
@@ -236,59 +277,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def link_components(spark: SparkSession, stage: Stage, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the linked nodes among ``sets`` (node, tokens)."""
-    tokens = sets.select("node", F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("token").alias("c_token"), "df")
-    known = tokens.join(counted, F.col("token") == F.col("c_token")).groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
-    sized = sets.select(F.col("node").alias("s_node"), F.size("tokens").cast("long").alias("n"))
-    chosen = known.join(sized, F.col("node") == F.col("s_node")).select("node", "n", "pairs")
-    schema = "node binary, n long, m long, central double, tokens array<long>"
-    postings = stage.write(chosen.mapInArrow(choose_prefixes(percent), schema).withColumn("token", F.explode("tokens")).drop("tokens"))
+def labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """With the component of each node so far; a node without links is its own."""
+    if labels is None:
+        return df.withColumn("label", F.col("node"))
+    named = labels.select(F.col("node").alias("l_node"), "component")
+    return df.join(named, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("l_node", "component")
+
+
+def postings_of(stage: Stage, sets: DataFrame, labels: DataFrame | None, percent: int, split: bool) -> DataFrame:
+    """Prefix tokens of the documents that may link to another component, as ``POSTING`` with one row per token.
+
+    A token whose documents all are of one component stands alone as far as new links go.
+    """
+    tokens = labelled(sets, labels).select("node", "label", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    counted = counted.where("l1 <> l2").select(F.col("token").alias("c_token"), "df", "least", "most")
+    known = tokens.join(counted, F.col("token") == F.col("c_token"))
+    known = known.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.collect_list(F.struct("token", "df", "least", "most")).alias("pairs"))
+    schema = "node binary, label binary, n long, m long, low long, high long, central double, rare boolean, others long, tokens array<long>"
+    return stage.write(known.mapInArrow(choose_prefixes(percent, split), schema).withColumn("token", F.explode("tokens")).drop("tokens"))
+
+
+def star_links(spark: SparkSession, stage: Stage, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links found by trying each document with central ones, and (node, component) of the linked nodes."""
+    postings = postings_of(stage, sets, None, percent, False).drop("label")
     # a document that stands for its component: the nodes' labels so far
     links, labels = None, None
     for _ in range(STAR_ROUNDS):
-        own = postings
-        if labels is not None:
-            own = postings.join(labels.select(F.col("node").alias("l_node"), "component"), F.col("node") == F.col("l_node"), "left").drop("l_node")
-            own = own.withColumn("label", F.coalesce("component", "node")).drop("component")
-        else:
-            own = own.withColumn("label", F.col("node"))
+        own = labelled(postings, labels)
         rank = F.struct("central", "node")
         # per token: the most central document, and the most central one of another component
-        best = own.groupBy("token", "label").agg(F.max(F.struct(rank.alias("rank"), F.col("n").alias("n"), F.col("m").alias("m"), F.col("label").alias("label"), F.col("node").alias("node"))).alias("top"))
+        best = own.groupBy("token", "label").agg(F.max(F.struct(rank.alias("rank"), F.col("n").alias("n"), F.col("low").alias("low"), F.col("high").alias("high"), F.col("label").alias("label"), F.col("node").alias("node"))).alias("top"))
         two = best.groupBy("token").agg(F.slice(F.sort_array(F.collect_set("top"), False), 1, 2).alias("tops"), F.count(F.lit(1)).alias("labels"))
         two = two.where("labels > 1").select(F.col("token").alias("t_token"), "tops")
         tried = own.join(two, F.col("token") == F.col("t_token"))
         lead = F.when(F.element_at("tops", 1)["label"] != F.col("label"), F.element_at("tops", 1)).otherwise(F.element_at("tops", 2))
-        tried = tried.select("node", "n", "m", lead.alias("lead"))
-        tried = tried.where("least(n, lead.n) * 100 >= greatest(n, lead.n) * " + str(percent))
+        tried = tried.select("node", "n", "low", "high", lead.alias("lead"))
+        tried = tried.where("n BETWEEN lead.low AND lead.high AND lead.n BETWEEN low AND high")
         pairs = tried.groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("pick")).select(F.col("node").alias("a"), F.col("pick.other").alias("b"))
+        pairs = stage.write(pairs)
         fresh = stage.write(verified(pairs, sets, percent))
-        if fresh.isEmpty():
+        found = fresh.count()
+        if found:
+            links = fresh if links is None else links.unionByName(fresh)
+            labels = components(stage, links)
+        if found < STAR_YIELD * pairs.count() or not found:
             break
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = components(stage, links)
-    return links, labels, postings
-
-
-def all_pairs(stage: Stage, postings: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links among the pairs of different components that share the matches asked for."""
-    own = postings
-    if labels is None:
-        own = own.withColumn("label", F.col("node"))
-    else:
-        own = own.join(labels.select(F.col("node").alias("l_node"), "component"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("l_node", "component")
-    # tokens within one component join nothing
-    mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("token").alias("t_token"))
-    own = stage.write(own.join(mixed, F.col("token") == F.col("t_token"), "left_semi").select("token", "node", "n", "m", "label"))
-    left = own.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "m", "label")])
-    right = own.select(F.col("token").alias("r_token"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "m", "label")])
-    on = (F.col("token") == F.col("r_token")) & (F.col("label_a") != F.col("label_b")) & (
-        (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-    pairs = left.join(right, on).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("m_a"), F.first("m_b")).alias("asked"))
-    return stage.write(verified(pairs.where("shared >= asked"), sets, percent))
+    return links, labels
+
+
+def all_pairs(stage: Stage, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links among the pairs of different components that share what they must.
+
+    ``others`` is the number of tokens outside of what a posting lists: those
+    behind the prefix, or those that are not rare. A pair has at most the shared
+    listed tokens and the larger of these numbers in common.
+    """
+    own = postings_of(stage, sets, labels, percent, True)
+    kept = ("node", "n", "m", "low", "high", "others", "label")
+    left = own.select("token", "rare", *[F.col(c).alias(f"{c}_a") for c in kept])
+    right = own.select(F.col("token").alias("r_token"), F.col("rare").alias("r_rare"), *[F.col(c).alias(f"{c}_b") for c in kept])
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    sizes = F.col("n_a").between(F.col("low_b"), F.col("high_b")) & F.col("n_b").between(F.col("low_a"), F.col("high_a"))
+    on = (F.col("token") == F.col("r_token")) & (F.col("rare") == F.col("r_rare")) & (F.col("label_a") != F.col("label_b")) & first & sizes
+    asked, most = F.least("m_a", "m_b"), F.greatest("others_a", "others_b")
+    pairs = left.join(right, on).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "rare").agg(
+        F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked"), F.first(most).alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("sizes"))
+    bound = F.col("shared") + F.col("most")
+    pairs = pairs.where((F.col("shared") >= F.col("asked")) & (100 * bound >= percent * (F.col("sizes") - bound))).select("a", "b").distinct()
+    return stage.write(verified(pairs, sets, percent))
 
 
 def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -304,8 +363,8 @@ def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     left = stage.write(shared.groupBy("unit").applyInArrow(survivors_of_unit, "s_key long").distinct())
     alive = _semi(keyed, left, left.count())
     sets = stage.write(alive.mapInArrow(emit_sets, "node binary, tokens array<long>").dropDuplicates(["node"]))
-    links, labels, postings = link_components(spark, stage, sets, percent)
-    more = all_pairs(stage, postings, labels, sets, percent)
+    links, labels = star_links(spark, stage, sets, percent)
+    more = all_pairs(stage, labels, sets, percent)
     if not more.isEmpty():
         labels = components(stage, more if links is None else links.unionByName(more))
     # classes of equal sets, their components and the components' smallest doc_id
