@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 Each rule is a regular expression over the words of a license notice, with a
-keyword, a priority and a confidence. A text is first gated by one expression
-that every rule's match satisfies; then a rule is tried only if the text holds
-its keyword. A detection is suppressed if another one of at least its priority
+one or more keywords, a priority and a confidence. A text is first gated by a few
+strings of which every rule's match holds one; then a rule is tried only if the
+text holds one of its keywords. A detection is suppressed if another one of at least its priority
 covers its interval (of two equal intervals of equal priority the earlier rule
 stays). All of it happens within the row, so nothing is shuffled.
 
@@ -19,16 +19,20 @@ are ignored.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import LOWER, UPPER, read
+from gridloom.llm._common import read
 from gridloom.llm.spans import quoted, spans
 
+#: What separates words, sign by sign: the regular-expression engine looks signs up in a table, but tries ranges one by one.
+_SIGNS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 #: A character of a word of the text as it is; (?i) folds A-Z only.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = f"[^{_SIGNS}]"
+APART = f"[{_SIGNS}]+"
 #: Phrases of the base scan and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 BASE_SCORE = 0.6
@@ -38,7 +42,7 @@ LICENSES = (
     ("apache-1.1", "apache (?:software )?licen[cs]e,? (?:version |v)?1[.]1", "apache"),
     ("apache-2.0", "apache (?:software )?licen[cs]e,? (?:version |v)?2(?:[.]0)?", "apache"),
     ("apache", "apache (?:software )?licen[cs]e", "apache"),
-    ("mit", "(?:the )?mit (?:open source )?licen[cs]e", "mit "),
+    ("mit", "(?:the )?mit (?:open source )?licen[cs]e", "mit"),
     ("mit-0", "mit no attribution(?: licen[cs]e)?", "mit no attribution"),
     ("x11", "(?:mit )?x11 licen[cs]e", "x11"),
     ("isc", "isc licen[cs]e", "isc "),
@@ -47,16 +51,16 @@ LICENSES = (
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", "bsd"),
     ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", "bsd"),
     ("bsd", "bsd licen[cs]e", "bsd"),
-    ("gpl-1.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?1(?:[.]0)?", "g"),
-    ("gpl-2.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?2(?:[.]0)?", "g"),
-    ("gpl-3.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?3(?:[.]0)?", "g"),
-    ("gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)", "g"),
-    ("lgpl-2.0", "(?:gnu )?(?:library general public licen[cs]e|lgpl),? (?:version |v)?2(?:[.]0)?", "l"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?2[.]1", "l"),
-    ("lgpl-3.0", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?3(?:[.]0)?", "l"),
-    ("lgpl", "(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", "l"),
-    ("agpl-3.0", "(?:gnu )?(?:affero general public licen[cs]e|agpl),? (?:version |v)?3(?:[.]0)?", "a"),
-    ("agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", "a"),
+    ("gpl-1.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?1(?:[.]0)?", "general|gpl"),
+    ("gpl-2.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?2(?:[.]0)?", "general|gpl"),
+    ("gpl-3.0", "(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?3(?:[.]0)?", "general|gpl"),
+    ("gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)", "general|gpl"),
+    ("lgpl-2.0", "(?:gnu )?(?:library general public licen[cs]e|lgpl),? (?:version |v)?2(?:[.]0)?", "lesser|library|lgpl"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?2[.]1", "lesser|library|lgpl"),
+    ("lgpl-3.0", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?3(?:[.]0)?", "lesser|library|lgpl"),
+    ("lgpl", "(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", "lesser|library|lgpl"),
+    ("agpl-3.0", "(?:gnu )?(?:affero general public licen[cs]e|agpl),? (?:version |v)?3(?:[.]0)?", "affero|agpl"),
+    ("agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", "affero|agpl"),
     ("gfdl-1.3", "(?:gnu )?free documentation licen[cs]e,? (?:version |v)?1[.]3", "free documentation"),
     ("gfdl", "(?:gnu )?free documentation licen[cs]e", "free documentation"),
     ("mpl-1.1", "mozilla public licen[cs]e,? (?:version |v)?1[.]1", "mozilla"),
@@ -91,13 +95,13 @@ LICENSES = (
     ("elastic-2.0", "elastic licen[cs]e", "elastic"),
     ("upl-1.0", "universal permissive licen[cs]e", "universal permissive"),
     ("ncsa", "(?:university of illinois )?ncsa (?:open source )?licen[cs]e", "ncsa"),
-    ("cc0-1.0", "(?:creative commons zero|cc0|cc zero)(?: 1[.]0)?", "c"),
-    ("cc-by-nc-nd", "(?:creative commons attribution noncommercial noderiv(?:s|atives)|cc by nc nd)(?: [1-4][.][05])?", "c"),
-    ("cc-by-nc-sa", "(?:creative commons attribution noncommercial sharealike|cc by nc sa)(?: [1-4][.][05])?", "c"),
-    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4][.][05])?", "c"),
-    ("cc-by-nd", "(?:creative commons attribution noderiv(?:s|atives)|cc by nd)(?: [1-4][.][05])?", "c"),
-    ("cc-by-sa", "(?:creative commons attribution sharealike|cc by sa)(?: [1-4][.][05])?", "c"),
-    ("cc-by", "(?:creative commons attribution|cc by)(?: [1-4][.][05])?", "c"),
+    ("cc0-1.0", "(?:creative commons zero|cc0|cc zero)(?: 1[.]0)?", "creative|cc"),
+    ("cc-by-nc-nd", "(?:creative commons attribution noncommercial noderiv(?:s|atives)|cc by nc nd)(?: [1-4][.][05])?", "creative|cc"),
+    ("cc-by-nc-sa", "(?:creative commons attribution noncommercial sharealike|cc by nc sa)(?: [1-4][.][05])?", "creative|cc"),
+    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4][.][05])?", "creative|cc"),
+    ("cc-by-nd", "(?:creative commons attribution noderiv(?:s|atives)|cc by nd)(?: [1-4][.][05])?", "creative|cc"),
+    ("cc-by-sa", "(?:creative commons attribution sharealike|cc by sa)(?: [1-4][.][05])?", "creative|cc"),
+    ("cc-by", "(?:creative commons attribution|cc by)(?: [1-4][.][05])?", "creative|cc"),
 )
 #: Label, expression, keyword, priority and confidence of notices that name no license.
 NOTICES = (
@@ -120,7 +124,8 @@ FORMS = (
     ("(?:you may|can) (?:use|redistribute|copy).{{0,80}} under (?:the )?(?:terms of )?(?:the )?{}", 98, 0.95),
     ("{}", 80, 0.8),
 )
-GATE = r"(?i)licen[cs]|copyright|rights|public[^a-z0-9]+domain|(?<!" + WORD + r")cc(?:0|[^a-z0-9])|creative|gpl|bsd|x11|hereby granted|permission to use|redistribution|proprietary|unauthori|warranty|spdx|mit no attribution"
+#: Every rule's match and every phrase holds one of these (in lower case).
+GATE = ("licen", "copyright", "rights", "domain", "creative", "gpl", "bsd", "x11", "cc", "granted", "permission", "redistribution", "proprietary", "unauthori", "warranty", "spdx", "attribution")
 
 
 def _words(body: str) -> str:
@@ -140,7 +145,7 @@ def rules() -> list[dict]:
         tag = label.replace(".", "[.]").replace("-", " ")
         out.append({"label": label, "regex": _words(f"spdx license identifier {tag}(?: only| or later)?"), "keyword": "spdx", "priority": 110 + len(label), "confidence": 1.0})
     out.sort(key=lambda r: -r["priority"])
-    return [r | {"at": i} for i, r in enumerate(out)]
+    return [r | {"at": i, "keyword": r["keyword"].split("|")} for i, r in enumerate(out)]
 
 
 def scan(docs: DataFrame, table: list[dict] | None = None) -> DataFrame:
@@ -148,7 +153,8 @@ def scan(docs: DataFrame, table: list[dict] | None = None) -> DataFrame:
     table = rules() if table is None else table
     t = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("t"))
     word = quoted(WORD + "+")
-    t = t.withColumns({"n_words": F.expr(f"cast(regexp_count(t, {word}) as bigint)"), "gated": F.col("t").rlike(GATE)})
+    t = t.withColumns({"n_words": F.expr(f"cast(regexp_count(t, {word}) as bigint)"), "low": F.lower("t")})
+    t = t.withColumn("gated", reduce(or_, [F.contains("low", F.lit(k)) for k in GATE]))
     for k, (phrase, _) in enumerate(BASE):
         regex = quoted(_words(phrase))
         t = t.withColumn(f"p{k}", F.expr(f"CASE WHEN gated AND regexp_like(t, {regex}) THEN split(t, {regex}, -1) END"))
@@ -164,13 +170,12 @@ def scan(docs: DataFrame, table: list[dict] | None = None) -> DataFrame:
         "first_word": F.expr(f"array_min(array({', '.join(firsts)}))"),
         "last_word": F.expr(f"array_max(array({', '.join(lasts)}))"),
         "base": F.expr(f"array_compact(array({', '.join(labels)}))"),
-        "low": F.when(F.col("gated"), F.translate("t", UPPER, LOWER)),
     }).drop("p0", "p1", "p2")
-    schema = "array<struct<label:string,regex:string,keyword:string,priority:int,confidence:double,at:int>>"
+    schema = "array<struct<label:string,regex:string,keyword:array<string>,priority:int,confidence:double,at:int>>"
     t = t.withColumn("rules", F.from_json(F.lit(json.dumps(table)), schema))
     own = "'label', r.label, 'priority', r.priority, 'confidence', r.confidence, 'at', r.at, "
     kinds = "label:string,priority:int,confidence:double,at:int,"
-    t = t.withColumn("tried", F.expr("CASE WHEN gated THEN filter(rules, r -> contains(low, r.keyword) AND regexp_like(t, r.regex)) END"))
+    t = t.withColumn("tried", F.expr("CASE WHEN gated THEN filter(rules, r -> exists(r.keyword, k -> contains(low, k)) AND regexp_like(t, r.regex)) END"))
     t = t.withColumn("found", F.expr(f"CASE WHEN size(tried) > 0 THEN flatten(transform(tried, r -> {spans('t', 'r.regex', own, kinds)})) END"))
     covers = "e.low <= d.low AND e.high >= d.high AND (e.priority > d.priority OR e.priority = d.priority AND (e.high - e.low > d.high - d.low OR e.high - e.low = d.high - d.low AND e.at < d.at))"
     t = t.withColumn("detections", F.expr(f"filter(found, d -> NOT exists(found, e -> {covers}))"))
