@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import licenses, mixing, ngram_join, packing, quality, token_counts, toxicity
+from gridloom.llm import licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
     }
 
