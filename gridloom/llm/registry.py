@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
+from gridloom.llm import embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
