@@ -55,12 +55,14 @@ BUCKET_KEYS = 1_000_000
 POSTING_COST = 2.0
 VERIFY_COST = 20.0
 #: Documents of a rare token at most.
-RARE = 8
+RARE = 64
 #: Documents that may be named in a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 STAR_ROUNDS = 12
 #: Rounds go on while so large a part of the tries links.
-STAR_YIELD = 0.05
+STAR_YIELD = 0.01
+#: Documents that each document is tried against in a round.
+TRIES = 3
 
 
 def need(n: int | np.ndarray, percent: int = PERCENT):
@@ -191,7 +193,7 @@ def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(full).view(np.int64) if full else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in full])]).astype(np.int32)
         arrays = [pa.array([digest(s) for s in full], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["node", "tokens"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["digest", "tokens"])
 
 
 def within(n: int, alive: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -212,7 +214,7 @@ def within(n: int, alive: np.ndarray, least: np.ndarray, most: np.ndarray, perce
         alive = now
 
 
-POSTING = {"node": pa.binary(), "label": pa.binary(), "n": pa.int64(), "m": pa.int64(), "low": pa.int64(), "high": pa.int64(), "central": pa.float64(), "rare": pa.bool_(), "others": pa.int64(), "tokens": pa.list_(pa.int64())}
+POSTING = {"node": pa.int64(), "label": pa.int64(), "n": pa.int64(), "m": pa.int64(), "low": pa.int64(), "high": pa.int64(), "central": pa.float64(), "rare": pa.bool_(), "others": pa.int64(), "tokens": pa.list_(pa.int64())}
 
 
 def choose_prefixes(percent: int, split: bool):
@@ -234,8 +236,13 @@ def choose_prefixes(percent: int, split: bool):
                 for k, v in zip(POSTING, row, strict=True):
                     out[k].append(v)
 
-            for node, label, n, pairs in zip(*(batch.column(k).to_pylist() for k in ("node", "label", "n", "pairs")), strict=True):
-                counts, tokens, least, most = (np.array([p[k] for p in pairs], np.int64) for k in ("df", "token", "least", "most"))
+            lists = batch.column("pairs")
+            flat = lists.flatten()
+            fields = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("df", "token", "least", "most")]
+            bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist() if len(lists) else [0]
+            heads = zip(*(batch.column(k).to_pylist() for k in ("node", "label", "n")), strict=True)
+            for (node, label, n), start, stop in zip(heads, bounds[:-1], bounds[1:], strict=True):
+                counts, tokens, least, most = (f[start:stop] for f in fields)
                 order = np.lexsort((tokens, counts))
                 counts, tokens, least, most = counts[order], tokens[order], least[order], most[order]
                 common, central = need(n, percent), float(counts.sum()) / n
@@ -254,8 +261,8 @@ def choose_prefixes(percent: int, split: bool):
                 length = np.maximum(0, m - common + len(tokens))  # of the part of the prefix that occurs elsewhere
                 if (np.concatenate([[0], np.cumsum(alive)])[length] < m).any():  # some m asks for more matches than there can be
                     continue
-                lists = np.concatenate([[0], np.cumsum((counts - 1) * alive)])[length]
-                best = int(np.argmin(lists * (1 + VERIFY_COST / m) + POSTING_COST * length))
+                posted = np.concatenate([[0], np.cumsum((counts - 1) * alive)])[length]
+                best = int(np.argmin(posted * (1 + VERIFY_COST / m) + POSTING_COST * length))
                 chosen = tokens[: length[best]][alive[: length[best]]]
                 post(node, label, n, int(m[best]), common, high, central, False, int(n - (n - common + m[best])), chosen)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in POSTING.items()], names=[*POSTING])
@@ -290,12 +297,12 @@ def postings_of(stage: Stage, sets: DataFrame, labels: DataFrame | None, percent
 
     A token whose documents all are of one component stands alone as far as new links go.
     """
-    tokens = labelled(sets, labels).select("node", "label", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    tokens = labelled(sets, labels).select("node", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     counted = counted.where("l1 <> l2").select(F.col("token").alias("c_token"), "df", "least", "most")
     known = tokens.join(counted, F.col("token") == F.col("c_token"))
-    known = known.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.collect_list(F.struct("token", "df", "least", "most")).alias("pairs"))
-    schema = "node binary, label binary, n long, m long, low long, high long, central double, rare boolean, others long, tokens array<long>"
+    known = known.groupBy("node").agg(F.first("label").alias("label"), F.first("n").cast("long").alias("n"), F.collect_list(F.struct("token", "df", "least", "most")).alias("pairs"))
+    schema = "node long, label long, n long, m long, low long, high long, central double, rare boolean, others long, tokens array<long>"
     return stage.write(known.mapInArrow(choose_prefixes(percent, split), schema).withColumn("token", F.explode("tokens")).drop("tokens"))
 
 
@@ -304,19 +311,20 @@ def star_links(spark: SparkSession, stage: Stage, sets: DataFrame, percent: int)
     postings = postings_of(stage, sets, None, percent, False).drop("label")
     # a document that stands for its component: the nodes' labels so far
     links, labels = None, None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         own = labelled(postings, labels)
-        rank = F.struct("central", "node")
-        # per token: the most central document, and the most central one of another component
-        best = own.groupBy("token", "label").agg(F.max(F.struct(rank.alias("rank"), F.col("n").alias("n"), F.col("low").alias("low"), F.col("high").alias("high"), F.col("label").alias("label"), F.col("node").alias("node"))).alias("top"))
-        two = best.groupBy("token").agg(F.slice(F.sort_array(F.collect_set("top"), False), 1, 2).alias("tops"), F.count(F.lit(1)).alias("labels"))
+        who = [F.col(c).alias(c) for c in ("n", "low", "high", "label", "node")]
+        best = own.groupBy("token", "label").agg(F.max(F.struct(F.col("central").alias("rank"), *who)).alias("top"), F.max(F.struct(F.xxhash64("token", "node", F.lit(turn)).cast("double").alias("rank"), *who)).alias("any"))
+        two = best.groupBy("token").agg(F.slice(F.sort_array(F.collect_set(F.struct("top", "any")), False), 1, 2).alias("tops"), F.count(F.lit(1)).alias("labels"))
         two = two.where("labels > 1").select(F.col("token").alias("t_token"), "tops")
         tried = own.join(two, F.col("token") == F.col("t_token"))
-        lead = F.when(F.element_at("tops", 1)["label"] != F.col("label"), F.element_at("tops", 1)).otherwise(F.element_at("tops", 2))
-        tried = tried.select("node", "n", "low", "high", lead.alias("lead"))
+        lead = F.when(F.element_at("tops", 1)["top"]["label"] != F.col("label"), F.element_at("tops", 1)).otherwise(F.element_at("tops", 2))
+        tried = tried.select("node", "n", "low", "high", lead.alias("leads"))
+        tried = tried.select("node", "n", "low", "high", F.explode(F.array("leads.top", "leads.any")).alias("lead"))
         tried = tried.where("n BETWEEN lead.low AND lead.high AND lead.n BETWEEN low AND high")
         pairs = tried.groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-        pairs = pairs.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("pick")).select(F.col("node").alias("a"), F.col("pick.other").alias("b"))
+        pairs = pairs.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "other")), False), 1, TRIES).alias("picks"))
+        pairs = pairs.select(F.col("node").alias("a"), F.explode("picks.other").alias("b"))
         pairs = stage.write(pairs)
         fresh = stage.write(verified(pairs, sets, percent))
         found = fresh.count()
@@ -362,7 +370,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     shared = sent.groupBy("bucket").applyInArrow(shared_keys, "unit long, keys binary, owners binary, wide boolean")
     left = stage.write(shared.groupBy("unit").applyInArrow(survivors_of_unit, "s_key long").distinct())
     alive = _semi(keyed, left, left.count())
-    sets = stage.write(alive.mapInArrow(emit_sets, "node binary, tokens array<long>").dropDuplicates(["node"]))
+    sets = stage.write(alive.mapInArrow(emit_sets, "digest binary, tokens array<long>").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()))
     links, labels = star_links(spark, stage, sets, percent)
     more = all_pairs(stage, labels, sets, percent)
     if not more.isEmpty():
@@ -370,8 +378,9 @@ def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     # classes of equal sets, their components and the components' smallest doc_id
     classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     if labels is not None:
-        named = labels.select(F.col("node").alias("l_node"), "component")
-        classes = classes.join(named, F.col("node") == F.col("l_node"), "left").withColumn("group", F.coalesce("component", "node"))
+        named = sets.select("node", "digest").join(labels.select(F.col("node").alias("l_node"), "component"), F.col("node") == F.col("l_node")).select(F.col("digest").alias("l_digest"), "component")
+        classes = classes.join(named, F.col("node") == F.col("l_digest"), "left")
+        classes = classes.withColumn("group", F.when(F.col("component").isNull(), F.col("node")).otherwise(F.col("component").cast("string").cast("binary")))
     else:
         classes = classes.withColumn("group", F.col("node"))
     smallest = classes.groupBy("group").agg(F.min("least").alias("component_id")).select(F.col("group").alias("g_group"), "component_id")
