@@ -1,4 +1,58 @@
-"""Pipeline over ``documents``; filled in as its stages appear."""
+"""A corpus pipeline over ``documents``: each stage takes what its predecessor kept.
 
-STAGES = []
+``STAGES`` lists (name, function) in order; each function takes (spark, docs,
+sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import mixing, ngram_join, packing, pii, quality
+from gridloom.llm._common import Stage, read
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(spark, docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the personal data in their texts replaced by its kind."""
+    return pii.redact(spark, docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(spark, docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token sequences with their place in the packed sequences."""
+    return packing.pack(spark, docs, packing.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixed_sources", mixed_sources),
+    ("packed", packed),
+]
+
+#: A trained classifier, a tokenizer and connected components are in it: SQL can't express it.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for _, function in STAGES:
+        docs = stage.write(function(spark, docs, sf_dir))
+    return docs

@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 BLOCK_ROWS = 100_000
+#: Rows of the table of copies that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -106,15 +108,19 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP, s
     taken = sample(spark, docs, weights, cap, seed)
     chosen = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     chosen = chosen.where("copies > 0").select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "rows")
+    chosen = Stage(spark, "mix").write(chosen)
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     keyed = docs.withColumn("m_words", word_count(docs["text"]))
     on = keyed["doc_id"].eqNullSafe(chosen["m_doc"]) & keyed["source"].eqNullSafe(chosen["m_source"]) & (keyed["m_words"] == chosen["m_size"])
     found = keyed.join(chosen, on)
-    first = W.partitionBy("m_doc", "m_source", "m_size").orderBy("m_words")
-    nth = F.when(F.col("rows") == 1, F.lit(1)).otherwise(F.row_number().over(first))
-    found = found.withColumn("m_nth", nth)
-    times = F.floor((F.col("copies") * F.col("m_nth")) / F.col("rows")) - F.floor((F.col("copies") * (F.col("m_nth") - 1)) / F.col("rows"))
-    spread = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))
-    return found.select(*[keyed[c] for c in docs.columns], spread.alias("m_copy")).drop("m_copy")
+    own = [keyed[c] for c in docs.columns]
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    single = found.where("rows = 1").select(*own, times(F.col("copies")).alias("m_copy"))
+    nth = F.row_number().over(W.partitionBy("m_doc", "m_source", "m_size").orderBy("m_words"))
+    share = F.floor((F.col("copies") * F.col("m_nth")) / F.col("rows")) - F.floor((F.col("copies") * (F.col("m_nth") - 1)) / F.col("rows"))
+    several = found.where("rows > 1").withColumn("m_nth", nth).withColumn("m_times", share).where("m_times > 0").select(*own, times(F.col("m_times")).alias("m_copy"))
+    return single.unionByName(several).drop("m_copy") if len(set(docs.columns)) == len(docs.columns) else single.union(several).drop("m_copy")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

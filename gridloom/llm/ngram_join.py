@@ -389,5 +389,29 @@ def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each component does: the one whose doc_id names it.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id stay, unless
+    another row has the very same text; of those alike, one stays.
+    """
+    table = Stage(spark, "keep-one").write(similarity_join(spark, docs, percent))
+    left = table.where("doc_id <> component_id").count()
+    named = docs.where("doc_id IS NOT NULL")
+    drop = table.where("doc_id <> component_id").select(F.col("doc_id").alias("d_doc")).distinct()
+    again = table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a_doc"))
+    many = again.count()
+    if left <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
+    kept = named.join(drop, named["doc_id"] == F.col("d_doc"), "left_anti")
+    if many:
+        again = F.broadcast(again) if many <= BROADCAST_ROWS else again
+        once = kept.join(again, kept["doc_id"] == F.col("a_doc"), "left_anti")
+        kept = once.unionByName(kept.join(again, kept["doc_id"] == F.col("a_doc"), "left_semi").dropDuplicates(["doc_id"]))
+    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    names = named.select(F.col("text").alias("n_text")).distinct()
+    return kept if table.where("doc_id IS NULL").isEmpty() else kept.unionByName(nameless.join(names, nameless["text"] == F.col("n_text"), "left_anti"))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(spark, read(spark, sf_dir, "documents"))

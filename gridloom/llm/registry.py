@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.llm import embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
+import corpus_pipeline
+from gridloom.llm import embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,13 +12,18 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_licenses": licenses.op3_licenses,
         "op4_packing": packing.op4_packing,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_quality": quality.op6_quality,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing": mixing.ORACLE}
+    found = {"op9_mixing": mixing.ORACLE}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
