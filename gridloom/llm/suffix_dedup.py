@@ -273,28 +273,36 @@ def marks_of_unit(table: pa.Table) -> pa.Table:
     return pa.table({"m_key": pa.array(keys[picked], pa.int64()), "marks": pa.array(marks, pa.binary())})
 
 
-CONTEXT = {"key": pa.int64(), "context": pa.int64(), "doc": pa.int64(), "row_key": pa.int64(), "low": pa.int64(), "windows": pa.int32(), "lead": pa.int32(), "bytes": pa.binary()}
+def emit_contexts(with_bytes: bool):
+    """One row per marked run: what tells it apart and where it is, or its bytes too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column("marks").to_pylist()
+            docs, keys = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
+            for low, high, data, offsets in text_slices(batch):
+                runs = Runs(data, offsets)
+                starts = np.searchsorted(runs.text, np.arange(high - low))
+                pick = np.concatenate([np.frombuffer(marks[low + i], np.uint32).astype(np.int64) + starts[i] for i in range(high - low)])
+                a, b, text = runs.low[pick], runs.high[pick] + WINDOW, runs.text[pick]
+                lead = runs.anchor[pick] - a
+                out = {"key": runs.key[pick].view(np.int64), "doc": docs[low + text], "row_key": keys[low + text], "low": a - offsets[text]}
+                if with_bytes:
+                    raw = data.tobytes()
+                    out |= {"lead": lead.astype(np.int32), "bytes": pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())}
+                else:
+                    with np.errstate(over="ignore"):
+                        context = mix(runs.span_hash(a, b) + mix(lead.astype(np.uint64) + np.uint64(77)) + mix(runs.key[pick]))
+                    out |= {"context": context.view(np.int64), "windows": (b - a - WINDOW + 1).astype(np.int32), "run": (pick - starts[text]).astype(np.int32)}
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=[*out])
+
+    return run
 
 
-def emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per run with a shared anchor."""
+def packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = batch.column("marks").to_pylist()
-        docs, keys = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
-        for low, high, data, offsets in text_slices(batch):
-            runs = Runs(data, offsets)
-            starts = np.searchsorted(runs.text, np.arange(high - low))
-            numbers = [np.frombuffer(marks[low + i], np.uint32).astype(np.int64) + starts[i] for i in range(high - low)]
-            pick = np.concatenate(numbers)
-            a, b, text = runs.low[pick], runs.high[pick] + WINDOW, runs.text[pick]
-            raw = data.tobytes()
-            with np.errstate(over="ignore"):
-                context = runs.span_hash(a, b) ^ mix((runs.anchor[pick] - a).astype(np.uint64) + np.uint64(77))
-            columns = [
-                pa.array(runs.key[pick].view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[low + text]), pa.array(keys[low + text]), pa.array(a - offsets[text]),
-                pa.array((b - a - WINDOW + 1).astype(np.int32)), pa.array((runs.anchor[pick] - a).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*CONTEXT])
+        marks = [np.sort(np.array(v, np.uint32)).tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["m_key", "marks"])
 
 
 def equal_aligned(contexts: list[bytes], leads: list[int], window: int = WINDOW) -> Iterator[list[tuple[int, int]]]:
@@ -387,20 +395,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sent = texts.select("row_key", "text").mapInArrow(send_anchors(buckets), "bucket int, unit long, keys binary, owners binary, head boolean")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "unit long, keys binary, owners binary, head boolean")
     marks = stage.write(shared.groupBy("unit").applyInArrow(marks_of_unit, "m_key long, marks binary").dropDuplicates(["m_key"]))
-    marked = _joined(marks, texts, "m_key", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks")
-    schema = "key long, context long, doc long, row_key long, low long, windows int, lead int, bytes binary"
-    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts, schema))
+    marked = _joined(marks, texts, "m_key", "length(marks) + 40", "inner")
+    where = "key long, doc long, row_key long, low long, "
+    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "context long, windows int, run int"))
     # every occurrence of a context but the first is a repeat
-    firsts = contexts.groupBy("key", "context").agg(F.min(F.struct("doc", "low", "row_key")).alias("first"))
-    firsts = stage.write(firsts.select(F.col("key").alias("f_key"), F.col("context").alias("f_context"), F.col("first.doc").alias("f_doc"), F.col("first.low").alias("f_low"), F.col("first.row_key").alias("f_row")))
-    joined = contexts.drop("bytes").join(firsts, (F.col("key") == F.col("f_key")) & (F.col("context") == F.col("f_context")))
+    firsts = contexts.groupBy("context").agg(F.min(F.struct("doc", "low", "row_key", "run", "key")).alias("first"))
+    firsts = stage.write(firsts.select(F.col("context").alias("f_context"), F.col("first.doc").alias("f_doc"), F.col("first.low").alias("f_low"), F.col("first.row_key").alias("f_row"), F.col("first.run").alias("f_run"), F.col("first.key").alias("f_key")))
+    joined = contexts.drop("key", "run").join(firsts.select("f_context", "f_doc", "f_low"), F.col("context") == F.col("f_context"))
     whole = joined.where("doc <> f_doc OR low <> f_low").select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
-    # windows of the first occurrences of anchors with several contexts
-    several = firsts.groupBy("f_key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("f_key").alias("s_key"))
-    named = firsts.join(several, F.col("f_key") == F.col("s_key"), "left_semi")
-    kept = contexts.join(named, (F.col("key") == F.col("f_key")) & (F.col("context") == F.col("f_context")) & (F.col("doc") == F.col("f_doc")) & (F.col("low") == F.col("f_low")), "left_semi")
-    parts = max(1, -(-(several.count() * 3) // BUCKET_RUNS))
-    split = kept.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, low long, high long")
+    # bytes of the first occurrences of contexts whose anchor has several
+    several = firsts.groupBy("f_key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("f_key").alias("s_key"), "contexts")
+    number = several.agg(F.sum("contexts")).first()[0] or 0
+    named = firsts.join(several, F.col("f_key") == F.col("s_key")).groupBy("f_row").agg(F.collect_list("f_run").alias("runs"))
+    again = stage.write(named.mapInArrow(packed_runs, "m_key long, marks binary"))
+    bytes_of = _joined(again, texts, "m_key", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
+    parts = max(1, -(-number // BUCKET_RUNS))
+    split = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, low long, high long")
     intervals = whole.unionByName(split)
     spans = stage.write(intervals.groupBy("i_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     out = _joined(spans, rows, "i_key", "16 * size(spans) + 40", "left")
