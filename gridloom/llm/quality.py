@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import read
 from gridloom.llm.textkernel import Words, mix, text_slices
 
-SAMPLE = 3_000
+SAMPLE = 1_500
 BUCKETS = 1 << 16
 FAMILIES = 3
 THRESHOLD = 0.25
@@ -89,10 +89,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict | None:
         for family, (at, text) in enumerate(buckets(words)):
             size = np.bincount(text, minlength=len(words.counts))
             key, count = np.unique(text * BUCKETS + at, return_counts=True)
-            rows.append(key // BUCKETS + low)
-            cols.append(key % BUCKETS + family * BUCKETS)
-            values.append(count / size[key // BUCKETS])
+            rows.append((key // BUCKETS + low).astype(np.int32))
+            cols.append((key % BUCKETS + family * BUCKETS).astype(np.int32))
+            values.append((count / size[key // BUCKETS]).astype(np.float32))
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    del rows, cols, values
     n, m = len(texts), FAMILIES * BUCKETS
     fold = mix(np.arange(n, dtype=np.uint64)) % np.uint64(5) == 0
     if len({*y[~fold]}) < 2 or len({*y[fold]}) < 2:
