@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from gridloom.plans import grid_queries, table_queries  # noqa: F401  (they register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(grid_queries.Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(grid_queries.SQL)
