@@ -11,9 +11,9 @@ It is applied where texts are alike, not to the whole corpus in one task:
    windows mostly share their anchor; a run of such windows is one row's worth.
 2. Anchors go to buckets as packed key fragments; a bucket tells which occur
    twice. Only runs with a shared anchor are looked at further.
-3. Runs with the same anchor and the same bytes are one context; all its
-   occurrences but the first are repeats as a whole (a minimum before the
-   shuffle, then a join). The contexts of an anchor that has several are put
+3. Texts that an earlier document has as a whole need no further look. Runs with
+   the same anchor and the same bytes are one context; all its occurrences but the
+   first are repeats as a whole. The contexts of an anchor that has several are put
    through a suffix array, whose symbols are short blocks aligned at the anchor;
    suffixes with enough common symbols give the candidates, and the bytes of
    their windows decide which start elsewhere earlier.
@@ -34,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import Stage, read
 from gridloom.llm.textkernel import _VALUES, _powers, mix, text_slices
 
 WINDOW = 100
+#: Bytes of text handled at once.
+SLICE = 1 << 19
 GRAM = 32
 #: Anchor keys of a bucket, about; runs of a bucket of windows, about.
 BUCKET_KEYS = 500_000
@@ -220,7 +223,7 @@ def send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for low, high, data, offsets in text_slices(batch):
+            for low, high, data, offsets in text_slices(batch, span=SLICE):
                 unit += 1
                 runs = Runs(data, offsets)
                 order = np.argsort(runs.key)
@@ -280,7 +283,7 @@ def emit_contexts(with_bytes: bool):
         for batch in batches:
             marks = batch.column("marks").to_pylist()
             docs, keys = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
-            for low, high, data, offsets in text_slices(batch):
+            for low, high, data, offsets in text_slices(batch, span=SLICE):
                 runs = Runs(data, offsets)
                 starts = np.searchsorted(runs.text, np.arange(high - low))
                 pick = np.concatenate([np.frombuffer(marks[low + i], np.uint32).astype(np.int64) + starts[i] for i in range(high - low)])
@@ -392,6 +395,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size * 2 / (WINDOW - GRAM + 2) / BUCKET_KEYS)))))
     texts = rows.where(F.octet_length("text") >= WINDOW)
+    # a text that an earlier document has as a whole is all repeats
+    named = texts.select("doc", "row_key", F.md5(F.col("text").cast("binary")).alias("same"), F.octet_length("text").cast("long").alias("bytes"))
+    least = named.groupBy("same").agg(F.min("doc").alias("first")).withColumnRenamed("same", "l_same")
+    copies = stage.write(named.join(least, F.col("same") == F.col("l_same")).where("doc > first").select(F.col("row_key").alias("c_key"), "bytes").distinct())
+    texts = _joined(copies.select("c_key"), texts, "c_key", "32", "left_anti")
     sent = texts.select("row_key", "text").mapInArrow(send_anchors(buckets), "bucket int, unit long, keys binary, owners binary, head boolean")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "unit long, keys binary, owners binary, head boolean")
     marks = stage.write(shared.groupBy("unit").applyInArrow(marks_of_unit, "m_key long, marks binary").dropDuplicates(["m_key"]))
@@ -399,14 +407,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     where = "key long, doc long, row_key long, low long, "
     contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "context long, windows int, run int"))
     # every occurrence of a context but the first is a repeat
-    firsts = contexts.groupBy("context").agg(F.min(F.struct("doc", "low", "row_key", "run", "key")).alias("first"))
-    firsts = stage.write(firsts.select(F.col("context").alias("f_context"), F.col("first.doc").alias("f_doc"), F.col("first.low").alias("f_low"), F.col("first.row_key").alias("f_row"), F.col("first.run").alias("f_run"), F.col("first.key").alias("f_key")))
-    joined = contexts.drop("key", "run").join(firsts.select("f_context", "f_doc", "f_low"), F.col("context") == F.col("f_context"))
-    whole = joined.where("doc <> f_doc OR low <> f_low").select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
+    first = F.first(F.struct("doc", "low")).over(W.partitionBy("context").orderBy("doc", "low"))
+    placed = contexts.withColumn("first", first).withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low")))
+    placed = stage.write(placed.select("key", "context", "row_key", "low", "windows", "run", "again"))
+    whole = placed.where("again").select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
+    whole = whole.unionByName(copies.select(F.col("c_key").alias("i_key"), F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
     # bytes of the first occurrences of contexts whose anchor has several
-    several = firsts.groupBy("f_key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("f_key").alias("s_key"), "contexts")
+    firsts = placed.where("NOT again")
+    several = firsts.groupBy("key").agg(F.min("context").alias("c1"), F.max("context").alias("c2"), F.count(F.lit(1)).alias("contexts")).where("c1 <> c2").select(F.col("key").alias("s_key"), "contexts")
     number = several.agg(F.sum("contexts")).first()[0] or 0
-    named = firsts.join(several, F.col("f_key") == F.col("s_key")).groupBy("f_row").agg(F.collect_list("f_run").alias("runs"))
+    named = firsts.join(several, F.col("key") == F.col("s_key")).groupBy("row_key").agg(F.collect_set("run").alias("runs"))
     again = stage.write(named.mapInArrow(packed_runs, "m_key long, marks binary"))
     bytes_of = _joined(again, texts, "m_key", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
     parts = max(1, -(-number // BUCKET_RUNS))
