@@ -211,10 +211,12 @@ def keep_good(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = judge(model, threshold)
-        for batch in batches:
-            two = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            kept = [k for part in decide(iter([two])) for k in part.column(7).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                two = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
+                kept = [k for part in decide(iter([two])) for k in part.column(7).to_pylist()]
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

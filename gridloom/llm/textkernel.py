@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SPAN = 1 << 21
+SPAN = 1 << 19
 _RNG = np.random.default_rng(20240611)
 _VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(1, 1 << 60)) * 8 + 5
