@@ -413,15 +413,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = placed.where("again").select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
     whole = whole.unionByName(copies.select(F.col("c_key").alias("i_key"), F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
     # bytes of the first occurrences of contexts whose anchor has several
-    firsts = placed.where("NOT again")
-    several = firsts.groupBy("key").agg(F.min("context").alias("c1"), F.max("context").alias("c2"), F.count(F.lit(1)).alias("contexts")).where("c1 <> c2").select(F.col("key").alias("s_key"), "contexts")
-    number = several.agg(F.sum("contexts")).first()[0] or 0
-    named = firsts.join(several, F.col("key") == F.col("s_key")).groupBy("row_key").agg(F.collect_set("run").alias("runs"))
+    own = W.partitionBy("key")
+    firsts = placed.where("NOT again").select("key", "context", "row_key", "run")
+    firsts = firsts.withColumns({"c1": F.min("context").over(own), "c2": F.max("context").over(own)}).where("c1 <> c2")
+    # dealt out before they are gathered: what a row costs then does not depend on the number of tasks
+    named = firsts.select("row_key", "run").repartition("row_key").groupBy("row_key").agg(F.collect_set("run").alias("runs"))
     again = stage.write(named.mapInArrow(packed_runs, "m_key long, marks binary"))
     bytes_of = _joined(again, texts, "m_key", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
-    parts = max(1, -(-number // BUCKET_RUNS))
+    number = again.agg(F.sum(F.length("marks") / 4)).first()[0] or 0
+    parts = max(1, -(-int(number) // BUCKET_RUNS))
     split = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, low long, high long")
-    intervals = whole.unionByName(split)
+    intervals = whole.unionByName(split).repartition("i_key")
     spans = stage.write(intervals.groupBy("i_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     out = _joined(spans, rows, "i_key", "16 * size(spans) + 40", "left")
     return out.select("doc_id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
