@@ -79,14 +79,19 @@ def mass_matrix(dim: Dim, weight=None) -> np.ndarray:
     return coefficient(Partial("mass", None if weight is None else (lambda x, t: weight(x))), dim)
 
 
+def lhs_mass(p: Partial, dim: Dim) -> np.ndarray:
+    """Mass matrix that a partial term is solved with: its own left-hand weight times the volume jacobian."""
+    weights = [f for f in (p.lhs, dim.jacobian) if f is not None]
+    return mass_matrix(dim, lambda x: np.prod([np.asarray(f(x), float) for f in weights], axis=0))
+
+
 def chain(parts: tuple[Partial, ...], dim: Dim, t: float = 0.0) -> np.ndarray:
     """Product of the partial terms, each with its left-hand mass solved."""
     out = None
     for p in parts:
         m = np.eye(dim.degree << dim.level) if p.identity else coefficient(p, dim, t)
-        lhs = p.lhs or p.jacobian or dim.jacobian
-        if lhs is not None and not p.identity:
-            m = np.linalg.solve(mass_matrix(dim, lhs), m)
+        if (p.g or p.jacobian) and (p.lhs or dim.jacobian):
+            m = np.linalg.solve(lhs_mass(p, dim), m)
         out = m if out is None else out @ m
     return out
 
@@ -107,7 +112,8 @@ class Elements:
         limits = [d.level for d in problem.dims]
         sets = [t for t in itertools.product(*[range(v + 1) for v in limits]) if full or sum(t) <= max(limits)]
         sets.sort(key=lambda t: t[::-1])
-        sets.sort(key=lambda t: -sum(t))
+        if not full:
+            sets.sort(key=lambda t: -sum(t))
         levels, cells = [], []
         for t in sets:
             for c in itertools.product(*[range(1 << max(0, v - 1)) for v in t[::-1]]):
@@ -239,7 +245,7 @@ def boundary(problem: Problem, elements: Elements, t: float) -> np.ndarray:
                         if e == d:
                             at = np.array([dim.low if side == "left" else dim.high])
                             v = trace_vector(p, dim, side, float(np.asarray(values[e](at, t)).ravel()[0]), t)
-                            v = np.linalg.solve(mass_matrix(dim, p.lhs or p.jacobian or dim.jacobian), v) if (p.lhs or p.jacobian or dim.jacobian) else v
+                            v = np.linalg.solve(lhs_mass(p, dim), v) if p.lhs or dim.jacobian else v
                             for before in reversed(parts[:k]):
                                 v = chain((before,), dim, t) @ v
                         else:

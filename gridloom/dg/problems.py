@@ -68,7 +68,7 @@ def surface(z):
     return np.sqrt(np.maximum(0.0, 1 - z * z))
 
 
-def pitch_angle(name: str, electric: float = 0.0, collision: float = 0.0, radiation: float = 0.0, start=None) -> Problem:
+def pitch_angle(name: str, electric: float = 0.0, collision: float = 0.0, radiation: float = 0.0, start=None, rule=None) -> Problem:
     """df/dt = -E d/dz((1 - z^2) f) + C d/dz((1 - z^2) df/dz) - R d/dz(z (1 - z^2) f) on [-1, 1]."""
     terms = []
     if electric:
@@ -78,7 +78,7 @@ def pitch_angle(name: str, electric: float = 0.0, collision: float = 0.0, radiat
         terms.append(Term(((Partial("div", scale, "downwind", "dirichlet", "dirichlet", jacobian=surface), Partial("grad", scale, "upwind", "neumann", "neumann", jacobian=surface)),), "collision"))
     if radiation:
         terms.append(Term(((Partial("div", lambda z, t: -radiation * z * surface(z), "downwind", "dirichlet", "dirichlet", jacobian=surface),),), "radiation"))
-    return Problem(name, (Dim(-1.0, 1.0, 2, 2, "z"),), tuple(terms), ((start or const(1.0),),))
+    return Problem(name, (Dim(-1.0, 1.0, 2, 2, "z"),), tuple(terms), ((start or const(1.0),),), step_rule=rule or (lambda d: (d.high - d.low) / (1 << d.level)))
 
 
 #: Coefficients of the collision problem's start in Legendre polynomials.
@@ -89,6 +89,9 @@ def bell(z, t=0.0):
     return np.exp(-(z**2) / 0.1**2)
 
 
+#: Fixed value: shift of the bell that the electric and collision problem starts from.
+SHIFT = 0.36
+
 PI = np.pi
 BUILDERS = {
     "continuity_1": partial(continuity, "continuity_1", [1.0], [("cos", 2 * PI)], [1.0], 1.0),
@@ -100,9 +103,9 @@ BUILDERS = {
     "diffusion_1": diffusion_1,
     "diffusion_2": diffusion_2,
     "fokkerplanck_1d_4p3": partial(pitch_angle, "fokkerplanck_1d_4p3", radiation=1.0, start=bell),
-    "fokkerplanck_1d_4p4": partial(pitch_angle, "fokkerplanck_1d_4p4", electric=4.0, collision=1.0),
-    "fokkerplanck_1d_4p5": partial(pitch_angle, "fokkerplanck_1d_4p5", electric=2.0, collision=1.0, radiation=2.0),
-    "fokkerplanck_1d_pitch_C": partial(pitch_angle, "fokkerplanck_1d_pitch_C", collision=1.0, start=lambda z, t=0.0: np.polynomial.legendre.legval(z, LEGENDRE_START)),
+    "fokkerplanck_1d_4p4": partial(pitch_angle, "fokkerplanck_1d_4p4", electric=4.0, collision=1.0, start=lambda z, t=0.0: bell(z + SHIFT)),
+    "fokkerplanck_1d_4p5": partial(pitch_angle, "fokkerplanck_1d_4p5", electric=2.0, collision=1.0, radiation=2.0, start=bell),
+    "fokkerplanck_1d_pitch_C": partial(pitch_angle, "fokkerplanck_1d_pitch_C", collision=1.0, start=lambda z, t=0.0: np.polynomial.legendre.legval(z, LEGENDRE_START), rule=lambda d: ((d.high - d.low) / (1 << d.level)) ** 2),
     "fokkerplanck_1d_pitch_E_case1": partial(pitch_angle, "fokkerplanck_1d_pitch_E_case1", electric=1.0),
     "fokkerplanck_1d_pitch_E_case2": partial(pitch_angle, "fokkerplanck_1d_pitch_E_case2", electric=1.0, start=bell),
 }
