@@ -176,6 +176,20 @@ def separable(problem: Problem, functions, dofs: np.ndarray, t: float = 0.0, cal
     return combine(vectors, dofs)
 
 
+def apply_rows(factors: list[list[np.ndarray]], dofs: np.ndarray, x: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+    """Rows of the sum of Kronecker products times x, block by block, so that no system matrix is held."""
+    own = dofs[rows]
+    out = np.zeros(len(own))
+    for low in range(0, len(own), 512):
+        block = own[low : low + 512]
+        for one in factors:
+            part = np.broadcast_to(x, (len(block), len(x))).copy()
+            for d, f in enumerate(one):
+                part *= f[np.ix_(block[:, d], dofs[:, d])]
+            out[low : low + len(block)] += part.sum(1)
+    return out
+
+
 class Operators:
     """One-dimensional matrices of all terms at a time, applied to state vectors of an element set."""
 
@@ -196,17 +210,7 @@ class Operators:
         return out
 
     def apply(self, x: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
-        """Rows of the product, block by block, so that no system matrix is held."""
-        own = self.dofs[rows]
-        out = np.zeros(len(own))
-        for low in range(0, len(own), 512):
-            block = own[low : low + 512]
-            for factors in self.factors:
-                part = np.broadcast_to(x, (len(block), len(x))).copy()
-                for d, f in enumerate(factors):
-                    part *= f[np.ix_(block[:, d], self.dofs[:, d])]
-                out[low : low + len(block)] += part.sum(1)
-        return out
+        return apply_rows(self.factors, self.dofs, x, rows)
 
     def diagonal(self) -> np.ndarray:
         return sum(np.prod([f[self.dofs[:, d], self.dofs[:, d]] for d, f in enumerate(factors)], axis=0) for factors in self.factors)
