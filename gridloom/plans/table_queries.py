@@ -262,9 +262,9 @@ def to_refine(spark, sf):
     return A.to_refine(segments(spark, sf), 0.4).select("key", F.round("norm", 2).alias("norm"))
 
 
-@query("b03_to_drop", f"WITH {SEG} SELECT key, round(norm2, 2) AS norm FROM norms, total WHERE norm2 <= t2 * 0.01")
+@query("b03_to_drop", f"WITH {SEG} SELECT key, round(norm2, 2) AS norm FROM norms, total WHERE norm2 <= t2 * 0.05")
 def to_drop(spark, sf):
-    return A.to_drop(segments(spark, sf), 0.1, False).select("key", F.round("norm", 2).alias("norm"))
+    return A.to_drop(segments(spark, sf), 0.5, False).select("key", F.round("norm", 2).alias("norm"))
 
 
 @query("k06_coarsen", f"WITH {SEG}, kept AS (SELECT seg.* FROM seg JOIN norms USING (key), total WHERE norm > t * 0.08), numbered AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM (SELECT DISTINCT key FROM kept)) SELECT key, dof, round(v, 2) AS v, pos::INTEGER AS pos FROM kept JOIN numbered USING (key)")
