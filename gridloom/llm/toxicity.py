@@ -45,7 +45,7 @@ ROUNDS = 4
 FLOOR = -1.5
 #: Least log-likelihood by which a word must prefer toxic documents to be a positive instance from the start.
 EVIDENCE = 15.0
-CACHE = 400_000
+CACHE = 200_000
 #: Words whose subsequences are held at once.
 BLOCK = 8_192
 LETTERS = 64
