@@ -54,14 +54,14 @@ def coefficient(p: Partial, dim: Dim, t: float = 0.0, rotate: bool = True) -> np
                 out[i, :, (i - 1) % n, :] += (-fl[i] - ml[i]) * lr
                 out[i, :, i, :] += (-fl[i] + ml[i]) * ll
             elif p.kind == "penalty":
-                out[i, :, i, :] += abs(ml[i]) * ll if left == "dirichlet" else 0
+                out[i, :, i, :] += ml[i] * ll if left == "dirichlet" else 0
             elif left == "neumann":
                 out[i, :, i, :] += -2 * fl[i] * ll
             if inner_right:
                 out[i, :, i, :] += (fr[i] + mr[i]) * rr
                 out[i, :, (i + 1) % n, :] += (fr[i] - mr[i]) * rl
             elif p.kind == "penalty":
-                out[i, :, i, :] += abs(mr[i]) * rr if right == "dirichlet" else 0
+                out[i, :, i, :] += mr[i] * rr if right == "dirichlet" else 0
             elif right == "neumann":
                 out[i, :, i, :] += 2 * fr[i] * rr
     matrix = out.reshape(n * k, n * k)

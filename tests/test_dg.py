@@ -200,3 +200,39 @@ def test_options_and_specs_are_checked():
     with pytest.raises(ValueError):
         problem("continuity_2").with_terms([0, 0])
     assert all(problem(n) for n in BUILDERS)
+
+
+def test_relaxation_reaches_its_exact_state():
+    from gridloom.dg import kinetic as K
+    from gridloom.dg.problems import const
+
+    k = K.kinetic("relaxation_1x1v").at([0, 4], 3)
+    for *_, state in K.run(k, 10, 5e-4, True):
+        pass
+    one = basis.project(const(1.0), 3, 0, -0.5, 0.5)
+    bell = basis.project(K.maxwell(2.75, 0.5), 3, 4, -8.0, 12.0)
+    want = operators.combine([one, bell], state.elements.dofs(3))
+    assert np.linalg.norm(state.x - want) < 2e-3 * np.linalg.norm(want) * 2
+
+
+@pytest.mark.parametrize(("name", "levels", "dt", "drift"), [("two_stream", [4, 4], 6.25e-3, 5.5e-5), ("landau", [4, 4], 0.019634954084936, 1e-9)])
+def test_kinetic_invariants(name, levels, dt, drift):
+    from gridloom.dg import kinetic as K
+
+    k = K.kinetic(name).at(levels, 3)
+    start = K.initial(k, True)
+    m = K.Moments(k, start.elements)
+    for *_, state in K.run(k, 4, dt, True, start):
+        pass
+    assert abs(m.energy(state.x) / m.energy(start.x) - 1) < drift and abs(m.mass(state.x) - m.mass(start.x)) < 1e-4
+
+
+def test_all_kinetic_problems_step():
+    from gridloom.dg import kinetic as K
+
+    for name in K.BUILDERS:
+        k = K.kinetic(name)
+        k = k.at([2] + [3 if k.velocities == 1 else 1] * k.velocities, 2)
+        start = K.initial(k)
+        m = K.Moments(k, start.elements)
+        assert np.isfinite(m.mass(start.x)) and np.isfinite(K.run(k, 1, 1e-4).__next__()[2].x).all(), name
