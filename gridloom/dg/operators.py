@@ -42,7 +42,12 @@ def coefficient(p: Partial, dim: Dim, t: float = 0.0, rotate: bool = True) -> np
         if p.kind != "penalty":
             out[at, :, at, :] -= np.einsum("cq,qi,qj->cij", weight, slope, phi)
         low, high = (legendre(np.array([v]), k)[0][0] / np.sqrt(h) for v in (-1.0, 1.0))
-        edges = c(dim.low + h * np.arange(n + 1))
+        at_edges = dim.low + h * np.arange(n + 1)
+        edges = c(at_edges)
+        bad = ~np.isfinite(edges)  # a coefficient that has no value at an end is taken a little inside
+        if bad.any():
+            inward = np.where(at_edges < 0.5 * (dim.low + dim.high), 1e-7, -1e-7) * h
+            edges[bad] = c(at_edges + inward)[bad]
         fl, fr = edges[:-1] / 2, edges[1:] / 2
         ml, mr = s * np.abs(fl), s * np.abs(fr)
         if p.kind == "penalty":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -92,6 +93,58 @@ def bell(z, t=0.0):
 #: Fixed value: shift of the bell that the electric and collision problem starts from.
 SHIFT = 0.36
 
+erf = np.vectorize(math.erf, otypes=[float])
+#: Mass ratio, charge and electric field of each case of the runaway problem.
+RUNAWAY = {1: (0.042, 1.0, 0.0025), 2: (0.042, 1.0, 0.25), 3: (0.042, 1.0, 0.0025), 4: (0.3, 5.0, 0.4)}
+
+
+def runaway(case: int) -> Problem:
+    """Runaway electrons in momentum p and pitch z: collisions (three terms) and electric force (three terms)."""
+    delta, charge, electric = RUNAWAY[case]
+    speed = lambda p: p / np.sqrt(1 + (delta * p) ** 2)
+
+    def psi(x):
+        with np.errstate(all="ignore"):
+            return np.where(np.abs(x) < 1e-5, 0.0, (erf(x) - x * 2 / np.sqrt(np.pi) * np.exp(-x * x)) / (2 * x * x))
+
+    def along(p, t=0.0):
+        with np.errstate(all="ignore"):
+            return np.sqrt(psi(speed(p)) / speed(p))
+
+    def across(p, t=0.0):
+        v = speed(p)
+        with np.errstate(all="ignore"):
+            return np.sqrt(0.5 / v * (charge + erf(v) - psi(v) + delta**4 * v * v / 2))
+
+    drag = lambda p, t=0.0: 2 * psi(speed(p))
+    square, linear = (lambda p: p * p), (lambda p: p)
+    keep = (Partial(), Partial())
+    mass = Partial("mass", across, jacobian=linear)
+    terms = (
+        Term(((Partial("div", along, "upwind", "dirichlet", "neumann", jacobian=square), Partial("grad", along, "downwind", "neumann", "dirichlet", jacobian=square)), keep), "C1"),
+        Term(((Partial("div", drag, "downwind", "neumann", "dirichlet", jacobian=square),), IDENTITY), "C2"),
+        Term(((mass, mass), (Partial("div", None, "upwind", "dirichlet", "dirichlet", jacobian=surface), Partial("grad", None, "downwind", "neumann", "neumann", jacobian=surface))), "C3"),
+        Term(((Partial("div", const(-electric), "downwind", "dirichlet", "neumann", jacobian=square),), (Partial("mass", lambda z, t: np.maximum(z, 0.0)),)), "E1"),
+        Term(((Partial("div", const(-electric), "upwind", "neumann", "dirichlet", jacobian=square),), (Partial("mass", lambda z, t: np.minimum(z, 0.0)),)), "E2"),
+        Term(((Partial("mass", None, jacobian=linear),), (Partial("div", lambda z, t: -electric * surface(z), "downwind", "neumann", "neumann", jacobian=surface),)), "E3"),
+    )
+    if case == 1:
+        start = (lambda p, t=0.0: np.where(p <= 5, 1.5 / 125, 0.0), lambda z, t=0.0: np.where(z <= 0, 1.5 / 125, 0.0))
+    elif case == 2:
+        start = (lambda p, t=0.0: 2 / (8 * np.sqrt(np.pi)) * np.exp(-p * p / 8), const(1.0))
+    elif case == 3:
+        start = (lambda p, t=0.0: 2 / (3 * np.sqrt(np.pi)) * np.exp(-p * p), lambda z, t=0.0: np.polynomial.legendre.legval(z, LEGENDRE_START))
+    else:
+        bulk = lambda p: np.exp(-2 / delta**2 * np.sqrt(1 + (delta * p) ** 2))
+        x, w = np.polynomial.legendre.leggauss(20)
+        h = 20.0 / 1000
+        at = (0.5 * (x + 1) + np.arange(1000)[:, None]) * h
+        whole = (at * at * bulk(at) * w).sum() * h / 2
+        start = (lambda p, t=0.0: bulk(p) / (2 * whole), const(1.0))
+    dims = (Dim(0.0, 10.0, 2, 2, "p", lambda p: p * p), Dim(-1.0, 1.0, 2, 2, "z"))
+    return Problem(f"fokkerplanck_2d_complete_case{case}", dims, terms, (start,))
+
+
 PI = np.pi
 BUILDERS = {
     "continuity_1": partial(continuity, "continuity_1", [1.0], [("cos", 2 * PI)], [1.0], 1.0),
@@ -106,6 +159,7 @@ BUILDERS = {
     "fokkerplanck_1d_4p4": partial(pitch_angle, "fokkerplanck_1d_4p4", electric=4.0, collision=1.0, start=lambda z, t=0.0: bell(z + SHIFT)),
     "fokkerplanck_1d_4p5": partial(pitch_angle, "fokkerplanck_1d_4p5", electric=2.0, collision=1.0, radiation=2.0, start=bell),
     "fokkerplanck_1d_pitch_C": partial(pitch_angle, "fokkerplanck_1d_pitch_C", collision=1.0, start=lambda z, t=0.0: np.polynomial.legendre.legval(z, LEGENDRE_START), rule=lambda d: ((d.high - d.low) / (1 << d.level)) ** 2),
+    **{f"fokkerplanck_2d_complete_case{c}": partial(runaway, c) for c in RUNAWAY},
     "fokkerplanck_1d_pitch_E_case1": partial(pitch_angle, "fokkerplanck_1d_pitch_E_case1", electric=1.0),
     "fokkerplanck_1d_pitch_E_case2": partial(pitch_angle, "fokkerplanck_1d_pitch_E_case2", electric=1.0, start=bell),
 }

@@ -236,3 +236,13 @@ def test_all_kinetic_problems_step():
         start = K.initial(k)
         m = K.Moments(k, start.elements)
         assert np.isfinite(m.mass(start.x)) and np.isfinite(K.run(k, 1, 1e-4).__next__()[2].x).all(), name
+
+
+@pytest.mark.parametrize("case", [1, 2, 3, 4])
+def test_runaway_keeps_its_electrons(case):
+    p = problem(f"fokkerplanck_2d_complete_case{case}", 3, 3)
+    dt = 1e-3
+    states = [s for *_, s in stepping.run(p, 3, dt=dt, implicit=True)]
+    weights = operators.combine([basis.project(lambda x: x * x, 3, 3, 0.0, 10.0), basis.project(lambda z: np.ones_like(z), 3, 3, -1.0, 1.0)], states[0].elements.dofs(3))
+    mass = [weights @ s.x for s in states]
+    assert np.isfinite(mass).all() and abs(mass[-1] / mass[0] - 1) < 5e-3
