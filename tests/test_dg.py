@@ -246,3 +246,20 @@ def test_runaway_keeps_its_electrons(case):
     weights = operators.combine([basis.project(lambda x: x * x, 3, 3, 0.0, 10.0), basis.project(lambda z: np.ones_like(z), 3, 3, -1.0, 1.0)], states[0].elements.dofs(3))
     mass = [weights @ s.x for s in states]
     assert np.isfinite(mass).all() and abs(mass[-1] / mass[0] - 1) < 5e-3
+
+
+def test_fields_share_grids(spark):
+    from gridloom.dg.fields import Field, FieldSystem
+    from gridloom.dg.spec import Dim
+
+    dims = [Dim(-1.0, 1.0, 3, 2, "x"), Dim(-2.0, 2.0, 2, 2, "v"), Dim(0.0, 1.0, 2, 2, "z")]
+    wave = lambda x, t=0.0: np.cos(np.pi * x)
+    system = FieldSystem(dims, [Field("f", ("x", "v"), ((wave, wave),)), Field("g", ("x",), ((wave,),), "closure"), Field("h", ("z",), ((wave,),))])
+    system.load_initial()
+    assert system.place["f"][0] == system.place["g"][0] == 0 and system.place["h"][0] == 1
+    assert np.linalg.norm(system.get("h")) > 0 and system.frame(spark).count() == len(system.state)
+    for bad in ([Field("f", ("y",), ((wave,),))], [Field("f", ("x",), ((wave,),))] * 2):
+        with pytest.raises(ValueError):
+            FieldSystem(dims, bad)
+    with pytest.raises(KeyError):
+        system.get("none")
