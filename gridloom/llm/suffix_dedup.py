@@ -365,6 +365,25 @@ def repeated_windows(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("i_key", "low", "high"), columns, strict=True)})
 
 
+def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and adjacent intervals of each row as one."""
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    for batch in batches:
+        for first in range(0, batch.num_rows, 500):
+            part = batch.slice(first, 500)
+            lists = part.column(1)
+            flat = lists.flatten()
+            low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                order = np.argsort(low[a:b], kind="stable")
+                start, end = low[a:b][order], np.maximum.accumulate(high[a:b][order])
+                cut = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+                out.append([{"low": x, "high": y} for x, y in zip(start[cut].tolist(), end[np.append(cut[1:], len(start)) - 1].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["i_key", "spans"])
+
+
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
@@ -424,7 +443,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = max(1, -(-int(number) // BUCKET_RUNS))
     split = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, low long, high long")
     intervals = whole.unionByName(split).repartition("i_key")
-    spans = stage.write(intervals.groupBy("i_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    spans = intervals.groupBy("i_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = stage.write(spans.mapInArrow(unite, "i_key long, spans array<struct<low:long,high:long>>"))
     out = _joined(spans, rows, "i_key", "16 * size(spans) + 40", "left")
     return out.select("doc_id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
