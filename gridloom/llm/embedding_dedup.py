@@ -327,3 +327,19 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "embeddings"))[0]
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, link.y FROM reach JOIN link ON link.x = reach.r
+)
+SELECT v.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v LEFT JOIN (SELECT x, count(*) AS n FROM link GROUP BY x) l ON l.x = v.vec_id JOIN (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id) m ON m.vec_id = v.vec_id
+"""

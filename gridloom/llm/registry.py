@@ -23,7 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    found = {"op9_mixing": mixing.ORACLE}
+    found = {"op1_ngram_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
