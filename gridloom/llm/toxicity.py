@@ -188,10 +188,12 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     norm_a, norm_b = left.norms(), right.norms()
     dense = np.zeros(LETTERS**3)
     bounds = np.searchsorted(part, np.arange(len(b) + 1))
+    taken = [(w, at.astype(np.int32)) for w, at in left.subsequences()]
     for j in range(len(b)):
         own = slice(bounds[j], bounds[j + 1])
         dense[triple[own]] = weight[own]
-        out[:, j] = left.dot(dense) / np.maximum(norm_a * norm_b[j], 1e-12)
+        total = sum(w * dense[at] for w, at in taken)
+        out[:, j] = np.add.reduceat(total, left.starts[:-1]) / np.maximum(norm_a * norm_b[j], 1e-12)
         dense[triple[own]] = 0
     return out
 
@@ -259,9 +261,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     part, triple, weight = Strings(marks).features()
     norm = Strings(marks).norms()
     folded, bias = np.zeros(LETTERS**3), -1.0
+    rows: dict[str, np.ndarray] = {}  # kernel values with the landmarks
     for _ in range(rounds):
         pos, neg = sorted(positives), sorted(({*negatives} | {*hard}) - positives.keys())
-        x = kernel(pos + neg, marks) @ whiten
+        new = [w for w in pos + neg if w not in rows]
+        rows.update(zip(new, kernel(new, marks), strict=True) if new else ())
+        x = np.array([rows[w] for w in pos + neg]) @ whiten
         goal = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         p = np.sqrt([positives[w] for w in pos])
         n = np.array([1.0 + 2.0 * (w in hard) for w in neg])
