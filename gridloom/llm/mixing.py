@@ -106,8 +106,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP, s
     in all three share their copies evenly, in their order of arrival at a key.
     """
     taken = sample(spark, docs, weights, cap, seed)
-    chosen = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    chosen = chosen.where("copies > 0").select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "rows")
+    chosen = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("m_copies"), F.count(F.lit(1)).alias("m_rows"))
+    chosen = chosen.where("m_copies > 0").select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_copies", "m_rows")
     chosen = Stage(spark, "mix").write(chosen)
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
@@ -116,10 +116,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP, s
     found = keyed.join(chosen, on)
     own = [keyed[c] for c in docs.columns]
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
-    single = found.where("rows = 1").select(*own, times(F.col("copies")).alias("m_copy"))
+    single = found.where("m_rows = 1").select(*own, times(F.col("m_copies")).alias("m_copy"))
     nth = F.row_number().over(W.partitionBy("m_doc", "m_source", "m_size").orderBy("m_words"))
-    share = F.floor((F.col("copies") * F.col("m_nth")) / F.col("rows")) - F.floor((F.col("copies") * (F.col("m_nth") - 1)) / F.col("rows"))
-    several = found.where("rows > 1").withColumn("m_nth", nth).withColumn("m_times", share).where("m_times > 0").select(*own, times(F.col("m_times")).alias("m_copy"))
+    share = F.floor((F.col("m_copies") * F.col("m_nth")) / F.col("m_rows")) - F.floor((F.col("m_copies") * (F.col("m_nth") - 1)) / F.col("m_rows"))
+    several = found.where("m_rows > 1").withColumn("m_nth", nth).withColumn("m_times", share).where("m_times > 0").select(*own, times(F.col("m_times")).alias("m_copy"))
     return single.unionByName(several).drop("m_copy") if len(set(docs.columns)) == len(docs.columns) else single.union(several).drop("m_copy")
 
 

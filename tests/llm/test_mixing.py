@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from gridloom.llm import mixing
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies long, rows int"
 
 
 def waterfill(sizes, weights):
