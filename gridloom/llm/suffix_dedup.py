@@ -13,7 +13,8 @@ It is applied where texts are alike, not to the whole corpus in one task:
    twice. Only runs with a shared anchor are looked at further.
 3. Texts that an earlier document has as a whole need no further look. Runs with
    the same anchor and the same bytes are one context; all its occurrences but the
-   first are repeats as a whole. The contexts of an anchor that has several are put
+   first are repeats as a whole. Those that follow one in the same text are told
+   where the text is, so a context meets others once per document only. The contexts of an anchor that has several are put
    through a suffix array, whose symbols are short blocks aligned at the anchor;
    suffixes with enough common symbols give the candidates, and the bytes of
    their windows decide which start elsewhere earlier.
@@ -296,7 +297,11 @@ def emit_contexts(with_bytes: bool):
                 else:
                     with np.errstate(over="ignore"):
                         context = mix(runs.span_hash(a, b) + mix(lead.astype(np.uint64) + np.uint64(77)) + mix(runs.key[pick]))
-                    out |= {"context": context.view(np.int64), "windows": (b - a - WINDOW + 1).astype(np.int32), "run": (pick - starts[text]).astype(np.int32)}
+                    # a context that the same text had before is a repeat already
+                    order = np.lexsort((a, context, text))
+                    known = np.zeros(len(pick), bool)
+                    known[order[1:]] = (context[order][1:] == context[order][:-1]) & (text[order][1:] == text[order][:-1])
+                    out |= {"known": known, "context": context.view(np.int64), "windows": (b - a - WINDOW + 1).astype(np.int32), "run": (pick - starts[text]).astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=[*out])
 
     return run
@@ -424,12 +429,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marks = stage.write(shared.groupBy("unit").applyInArrow(marks_of_unit, "m_key long, marks binary").dropDuplicates(["m_key"]))
     marked = _joined(marks, texts, "m_key", "length(marks) + 40", "inner")
     where = "key long, doc long, row_key long, low long, "
-    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "context long, windows int, run int"))
+    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "known boolean, context long, windows int, run int"))
     # every occurrence of a context but the first is a repeat
     first = F.first(F.struct("doc", "low")).over(W.partitionBy("context").orderBy("doc", "low"))
-    placed = contexts.withColumn("first", first).withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low")))
+    placed = contexts.where("NOT known").withColumn("first", first).withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low")))
     placed = stage.write(placed.select("key", "context", "row_key", "low", "windows", "run", "again"))
-    whole = placed.where("again").select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
+    whole = placed.where("again").select("row_key", "low", "windows").unionByName(contexts.where("known").select("row_key", "low", "windows"))
+    whole = whole.select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
     whole = whole.unionByName(copies.select(F.col("c_key").alias("i_key"), F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
     # bytes of the first occurrences of contexts whose anchor has several
     own = W.partitionBy("key")
