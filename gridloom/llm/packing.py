@@ -36,7 +36,7 @@ LIMIT = 4096
 END = 1
 BLOCK_ROWS = 200_000
 #: Entries of a worker's cache of encoded words.
-CACHE = 250_000
+CACHE = 450_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 #: Outside of this, lower-casing and white space could differ between Python and the tokenizer.
 ODD = re.compile("[^\x00-\u024f]|[\u0130\x1c-\x1f]")
