@@ -68,3 +68,23 @@ def test_query_needs_no_shuffle_or_python(spark):
     docs = spark.createDataFrame([(1, "x", None, None, 1, 1, "s")], SCHEMA)
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_and_hyphenated_notices_are_tried(spark):
+    table = licenses.rules()
+    assert all(k.isalnum() for r in table for k in r["keyword"])
+    names = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", name).replace("[cs]", "c").replace("?", "").replace("[.]", ".") for _, name, _ in licenses.LICENSES]
+    notices = ["Permission is hereby granted, free of charge, to any person", "Permission to use, copy, modify, and/or distribute this software", "is in the public domain", *names]
+    joints = (" ", "\n# ", "-", "  ", "\n * ")
+    data = [j.join(n.split()) for n in notices for j in joints]
+    data.append("you may use this file\n# only under the\n# MIT License")
+    docs = spark.createDataFrame([(i, t, None, None, 1, 1, "s") for i, t in enumerate(data)], SCHEMA)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    free = [r | {"keyword": [""]} for r in table]
+    for i, t in enumerate(data):
+        own, confidence = labels(t, free)
+        assert own and own <= set(got[i][0].split(",")) and got[i][1] >= confidence, repr(t)
+        first = got[i - i % len(joints)][0]
+        if i < len(data) - 1:
+            assert set(filter(None, first.split(","))) <= set(got[i][0].split(",")), (repr(t), first)
+    assert got[len(data) - 1] == ("mit", 0.95)
