@@ -11,10 +11,14 @@ the nearest vectors, then expanding over all nodes within the range, a little
 beyond it so that a link is not lost behind a node just outside. Pairs found are
 verified by their cosine; a pair of several common shards counts in the first.
 
-A sample of vectors is compared with all rows, in blocks; if the search found
-less than ``RECALL`` of their links, the shards' overlap is doubled and the graph
-built again. A shard's output is its vectors' link counts and a spanning forest
-of its links, so it grows with the vectors, not with their pairs.
+Vectors are drawn and compared with all rows, in blocks, until ``AUDIT`` of them
+have a few links; those with few and with many links are judged apart, as a mean
+over the vectors and over the links, so that a large group hides no small one. If
+the search found less than ``RECALL`` of any, the shards' overlap is doubled and
+the graph built again. Too few linked vectors are no evidence: pairs made at the
+threshold then fill up for them, found if they share a shard. A shard's output is
+its vectors' link counts and a spanning forest of its links, so it grows with the
+vectors, not with their pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; so do vectors of different lengths with each
@@ -24,6 +28,7 @@ component unless alone; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -48,9 +53,15 @@ CANDIDATES = 40
 DEGREE = 20
 ALPHA = 1.2
 BEAM = 16
+#: Linked vectors that the audit wants, the fewest links that are many, how many vectors are drawn at most after each step, and judged of a kind.
 AUDIT = 100
+MANY = 16
+DRAWN = (1_000, 4_000, 16_000)
+JUDGED = 500
 RECALL = 0.95
 
+log = logging.getLogger(__name__)
+
 
 def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id, node (digest of the unit vector, null if there is none), unit vector as bytes."""
@@ -269,13 +280,59 @@ def exact_counts(queries: list[tuple[bytes, np.ndarray]], threshold: float):
             for d, own in by_size.items():
                 rows = [i for i, u in enumerate(units) if len(u) == d]
                 if rows:
-                    near = np.array([queries[i][1] for i in own]) @ np.array([units[i] for i in rows]).T >= threshold
-                    total[own] += near @ size[rows]
+                    x = np.array([units[i] for i in rows]).T
+                    for low in range(0, len(own), 512):
+                        part = own[low : low + 512]
+                        total[part] += (np.array([queries[i][1] for i in part]) @ x >= threshold) @ size[rows]
         yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in queries], pa.binary()), pa.array(total)], names=["node", "links"])
 
     return run
 
 
+def audited(classes: DataFrame, n: int, threshold: float) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """Links of linked vectors beyond their own copies, and the vectors to make pairs of for want of more of them."""
+    drawn = classes.select("node", "unit", "size").orderBy(F.xxhash64(F.lit("audit"), "node")).limit(DRAWN[-1]).collect()
+    queries, copies = [(bytes(r["node"]), np.frombuffer(r["unit"], np.float64)) for r in drawn], {bytes(r["node"]): r["size"] for r in drawn}
+    few, many, low = {}, {}, 0
+    for high in DRAWN:
+        if low >= n or len(few) >= AUDIT:
+            break
+        found = classes.select("node", "unit", "size").mapInArrow(exact_counts(queries[low:high], threshold), "node binary, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        for r in found.orderBy("node").collect():
+            v, links = bytes(r["node"]), r["links"] - copies[bytes(r["node"])]
+            if links:
+                (few if links < MANY else many)[v] = links
+        low = high
+    lacking = 0 if low >= n else max(0, AUDIT - len(few))
+    judged = {v: k for kind in (few, many) for v, k in list(kind.items())[:JUDGED]}
+    return judged, [u for _, u in queries[:lacking]]
+
+
+def shared(middle: dict[int, np.ndarray], units: list[np.ndarray], overlap: int, threshold: float) -> list[float]:
+    """Of each vector: whether it shares a shard with one at the threshold from it, in some direction."""
+    rng, out = np.random.default_rng(5), []
+    for u in units:
+        side = rng.normal(size=len(u))
+        side -= side @ u * u
+        norm = np.linalg.norm(side)
+        other = threshold * u + np.sqrt(1 - threshold**2) * side / norm if norm > 1e-9 else u
+        c = middle.get(len(u), np.zeros((1, len(u))))
+        near = [set(np.argsort(-(c @ v), kind="stable")[:overlap].tolist()) for v in (u, other)]
+        out.append(float(bool(near[0] & near[1])))
+    return out
+
+
+def measured(want: dict[bytes, int], had: dict[bytes, int], made: list[float]) -> float:
+    """The least of the recalls of vectors with few links (and made pairs) and with many, per vector and per link."""
+    parts = []
+    for many in (False, True):
+        links = np.array([k for k in want.values() if (k >= MANY) == many] + ([] if many else [1] * len(made)), float)
+        found = np.array([min(had.get(v, 0), k) for v, k in want.items() if (k >= MANY) == many] + ([] if many else made), float)
+        if len(links):
+            parts += [float((found / links).mean()), float(found.sum() / links.sum())]
+    return min(parts, default=1.0)
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) of each row, and the recall that the audit found."""
     stage = Stage(spark, "embedding-dedup")
@@ -286,14 +343,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     n = classes.count()
     sample = [np.frombuffer(r["unit"], np.float64) for r in classes.select("node", "unit").orderBy(F.xxhash64("node")).limit(SAMPLE).collect()]
     middle = {d: centroids([u for u in sample if len(u) == d], min(MOST_SHARDS, -(-n // SHARD))) for d in {len(u) for u in sample}}
-    chosen = [(r["node"], np.frombuffer(r["unit"], np.float64)) for r in classes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(AUDIT).collect()]
-    chosen = [(bytes(v), u) for v, u in chosen]
-    exact = {}
-    if chosen:
-        found = classes.select("node", "unit", "size").mapInArrow(exact_counts(chosen, threshold), "node binary, links long").groupBy("node").agg(F.sum("links").alias("links"))
-        exact = {bytes(r["node"]): r["links"] for r in found.collect()}
+    want, spare = audited(classes, n, threshold)
+    most = max(map(len, middle.values()), default=0)
     recall, searched, width = 1.0, None, overlap
     while n:
+        made = shared(middle, spare, width, threshold)
+        if width < most and measured(want, want, made) < RECALL:  # whatever the search finds
+            width *= 2
+            continue
         schema = "shard long, node binary, unit binary, size long, audited boolean, shards array<long>"
         named = classes.select("node", "unit", "size", F.lit(False).alias("audited"))
         dealt = stage.write(named.mapInArrow(assign(middle, width), schema))
@@ -301,14 +358,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")).withColumnRenamed("node", "u_node")
         graph = dealt.join(union, F.col("node") == F.col("u_node"), "left").select("shard", "node", "unit", "size", "shards", "neighbours")
         searched = stage.write(graph.groupBy("shard").applyInArrow(search(threshold), "node binary, other binary, links long"))
-        names = [v for v, _ in chosen]
-        got = searched.where(F.col("other").isNull() & F.col("node").isin(names)).groupBy("node").agg(F.sum("links").alias("links")).collect()
-        copies = {bytes(r["node"]): r["size"] for r in classes.where(F.col("node").isin(names)).select("node", "size").collect()}
-        had = {bytes(r["node"]): r["links"] for r in got}
-        want = sum(exact[v] - copies[v] for v in names)  # without the vector's own copies
-        recall = sum(min(had.get(v, 0), exact[v] - copies[v]) for v in names) / want if want else 1.0
-        if recall >= RECALL or width >= max(map(len, middle.values())):
+        got = searched.where(F.col("other").isNull() & F.col("node").isin(list(want))).groupBy("node").agg(F.sum("links").alias("links")).collect()
+        recall = measured(want, {bytes(r["node"]): r["links"] for r in got}, made)
+        log.info("overlap %d: recall %.3f of %d linked vectors and %d made pairs", width, recall, len(want), len(made))
+        if recall >= RECALL or width >= most:
             break
+        stage.drop(dealt)
+        stage.drop(searched)
         width *= 2
     if searched is None:
         return table.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), recall
@@ -326,7 +382,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read(spark, sf_dir, "embeddings"))[0]
+    out, recall = near_duplicates(spark, read(spark, sf_dir, "embeddings"))
+    if recall < RECALL:
+        raise RuntimeError(f"the search found {recall:.3f} of the audited links, less than {RECALL}")
+    return out
 
 
 ORACLE = """

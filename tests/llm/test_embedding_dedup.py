@@ -77,3 +77,39 @@ def test_pruning_matches_its_definition():
             kept.append(p)
             left = [q for q in left if 1.44 * dist(p, q) > dist(i, q)]
         assert got.tolist() == kept
+
+
+def paired(n, pairs, group, dim=32, seed=5):
+    """Unclustered vectors, of which some have a partner at cosine 0.92, and a group of unequal copies."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(n, dim)))
+    side = rng.normal(size=(pairs, dim))
+    side = unit(side - (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    near = 0.92 * x[:pairs] + np.sqrt(1 - 0.92**2) * side
+    return np.vstack([x, near, unit(x[-1] + rng.normal(size=(group, dim)) * 0.004)])
+
+
+def found_pairs(spark, x, n, pairs):
+    frame = spark.createDataFrame([(i, v, 1, "n", 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int, node string, kept int")
+    out, recall = ed.near_duplicates(spark, frame.repartition(3))
+    got = {r.vec_id: r.n_links for r in out.collect()}
+    return np.mean([got[i] > 0 for i in range(pairs)]), recall
+
+
+def test_a_large_group_hides_no_lost_pairs(spark):
+    x = paired(300, 40, 200)
+    nodes = [i.to_bytes(16, "big") for i in range(len(x))]
+    classes = spark.createDataFrame([(bytearray(v), bytearray(u.tobytes()), 1) for v, u in zip(nodes, x, strict=True)], "node binary, unit binary, size long")
+    want, spare = ed.audited(classes, len(x), 0.9)
+    assert {nodes.index(v): k for v, k in want.items()} == {i: int(k) for i, k in enumerate((x @ x.T >= 0.9).sum(1) - 1) if k} and not spare
+    lost = {v: k for v, k in want.items() if k > 1}
+    assert sum(lost.values()) > 0.95 * sum(want.values()) and ed.measured(want, lost, []) == 0
+    assert ed.measured(want, want, []) == 1 and ed.measured({}, {}, [1.0, 0.0]) == 0.5
+
+
+def test_no_linked_vector_is_no_evidence(spark, monkeypatch):
+    for name, value in (("SHARD", 12), ("SAMPLE", 120), ("AUDIT", 10), ("DRAWN", (5, 10))):
+        monkeypatch.setattr(ed, name, value, raising=False)
+    found, recall = found_pairs(spark, paired(1500, 15, 0, 64), 1500, 15)
+    assert found >= 0.95 and recall >= ed.RECALL
