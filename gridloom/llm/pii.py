@@ -2,8 +2,11 @@
 
 Base spans are the leftmost non-overlapping matches of four expressions, kept if
 their digits check out. Beyond them, seed entities induce lexical patterns: a
-pattern is a key word with its separator ("password=", 'token = "'), an
-instance is the shape of the value that follows. Spark counts all pattern and
+pattern is a key word with its separator ("password=", 'token = "'), or the one
+to three words with their signs to the left or the right of a value ("call",
+"passport no"); an instance is the shape of the value there. A value beside words
+holds a digit or an @ and at least 3 signs, and may be grouped by blanks. Each side
+and number of words has shapes of its own. Spark counts all pattern and
 instance pairs of the corpus and scores this graph in rounds: a shape's
 confidence starts as the part of its values that are seeds (base entities, and
 strings that are keys by their shape); a pattern's confidence is the mean of its
@@ -36,6 +39,13 @@ BASE = (
 KEY, SECRET = "key", "secret"
 KEY_SHAPE = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 PAIR = r"""([A-Za-z][A-Za-z_-]{1,29})(\s?[=:]\s?["']?)([A-Za-z0-9+/_=.@-]{6,})"""
+#: A value beside words: a phone number, groups with a digit apart by one blank, or signs with a digit or an @ among them.
+VALUE = (
+    r"(?<![A-Za-z0-9])(?:\+[0-9][\x20().0-9-]+[0-9](?![A-Za-z0-9])|(?=[A-Z]*[0-9])[A-Z0-9]{2,6}(?:\x20(?=[A-Z]*[0-9])[A-Z0-9]{2,6}(?![A-Za-z0-9]))+"
+    r"|(?=[A-Za-z+/_.%-]*[0-9@])[A-Za-z0-9][A-Za-z0-9+/_.@%-]+[A-Za-z0-9])"
+)
+#: Words of a context at most, and the characters that they are looked for in.
+WORDS, WINDOW = 3, 64
 #: A value that is a seed though it is of no base kind: long hexadecimal strings and keys.
 SEED = r"^((?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}|AKIA[0-9A-Z]{16})$"
 ROUNDS = 4
@@ -93,6 +103,20 @@ def pairs(docs: DataFrame) -> DataFrame:
     return found.withColumn("low", F.col("high") - F.length("value"))
 
 
+def contexts(docs: DataFrame) -> DataFrame:
+    """One row per value, side and number of words beside it, as of pairs(); separator is the side and the number."""
+    found = docs.where("text_key IS NOT NULL AND (t RLIKE '[0-9]' OR contains(t, '@'))").select("text_key", "t", F.explode(F.expr(spans("t", quoted(VALUE)))).alias("x"))
+    clean = lambda x: f"split(regexp_replace(lower({x}), '[0-9]+', '9'), '[\\\\x20\\\\x09-\\\\x0D]+')"
+    left = clean(f"substr(t, greatest(x.low - {WINDOW}, 0) + 1, least(x.low, {WINDOW}))")
+    right = clean(f"substr(t, x.high + 1, {WINDOW})")
+    found = found.select("text_key", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.found").alias("value"), F.expr(left).alias("l"), F.expr(right).alias("r"))
+    found = found.withColumns({"l": F.expr("IF(element_at(l, -1) = '', slice(l, 1, size(l) - 1), l)"), "r": F.expr("IF(r[0] = '', slice(r, 2, size(r)), r)")})
+    sides = [f"named_struct('key', IF(size({c}) >= {n}, array_join(slice({c}, {-n if c == 'l' else 1}, {n}), ' '), ''), 'separator', '{side}{n}')" for c, side in (("l", "<"), ("r", ">")) for n in range(1, WORDS + 1)]
+    found = found.withColumns({"shape": shape(F.col("value")), "seed": seeds(F.col("value")) | phone(F.col("value"))})
+    found = found.select("text_key", "low", "high", "value", "shape", "seed", F.explode(F.expr(f"filter(array({', '.join(sides)}), c -> c.key <> '')")).alias("c"))
+    return found.select("text_key", "low", "high", "c.key", "c.separator", "value", F.concat("c.separator", "shape").alias("shape"), "seed")
+
+
 def shape(value):
     """Letters and digits by class, runs shortened: the value's form without its content."""
     s = F.when(value.rlike(r"^[0-9a-f]+$") & value.rlike("[0-9]") & value.rlike("[a-f]"), F.lit("hex"))
@@ -107,6 +131,10 @@ def seeds(value):
     return value.rlike(SEED) | whole(BASE[0][1]) | whole(BASE[1][1]) | F.expr("value RLIKE '^[0-9][0-9-]+$' AND " + _luhn("value"))
 
 
+def phone(value):
+    return value.rlike("^" + BASE[3][1] + "$") & F.expr(f"length({_digits('value')}) BETWEEN 9 AND 15")
+
+
 def confident_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(key, separator, shape) above both thresholds, from the graph (key, separator, shape, n, seeds, values)."""
     prior = graph.groupBy("shape").agg((F.sum("seeds") / F.sum("n")).alias("prior"))
@@ -130,9 +158,9 @@ def find(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row (as keep_0, ...), t, email, ip, card, phone (base spans), base and all (arrays of low, rank, high)."""
     stage = Stage(spark, "pii")
     t = docs.select(*[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)], F.coalesce(docs["text"], F.lit("")).alias("t"))
-    keyed = t.withColumn("text_key", F.when(F.expr("contains(t, '=') OR contains(t, ':')"), F.md5(F.col("t").cast("binary"))))
+    keyed = t.withColumn("text_key", F.when(F.expr("contains(t, '=') OR contains(t, ':') OR contains(t, '@') OR t RLIKE '[0-9]'"), F.md5(F.col("t").cast("binary"))))
     found = pairs(keyed.select("t", "text_key")).withColumns({"shape": shape(F.col("value")), "seed": seeds(F.col("value"))})
-    found = stage.write(found)
+    found = stage.write(found.unionByName(contexts(keyed.select("t", "text_key"))))
     graph = stage.write(found.groupBy("key", "separator", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.approx_count_distinct("value").alias("values")))
     best = confident_patterns(graph).select(F.col("key").alias("b_key"), F.col("separator").alias("b_separator"), F.col("shape").alias("b_shape"))

@@ -107,3 +107,20 @@ def test_redact_keeps_the_rest(spark):
     got = {r.doc_id: r for r in pii.redact(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1].text == "a 😀 [email] b [phone]." and got[2].text is None and got[2].lang == "x" and got[3].text == ""
     assert pii.report(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_beside_seeds_find_other_values(spark):
+    rng = random.Random(6)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    data = [f"{word()} please call +1 (874) {number(3)}-{number(4)} {word()}" for _ in range(60)]
+    data += [f"{word()} please call {number(3)} {number(4)} {word()}" for _ in range(6)]
+    data += [f"{word()} write to {word()}{number(2)}@{word()}.org or {word()}" for _ in range(60)] + [f"{word()} write to {word()}{number(2)}@{word()} or {word()}" for _ in range(6)]
+    clean = [f"{word()} {word()} year{number(2)} {word()} in {number(4)} {word()}" for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "b", 0) for i, t in enumerate(data + clean)], SCHEMA)
+    got = {r.doc_id: r.spans for r in pii.report(spark, docs).collect()}
+    for i, t in enumerate(data):
+        assert got[i], t
+    m = re.search("[0-9]{3} [0-9]{4}", data[60])
+    assert f"secret:{m.start()}:{m.end()}" in got[60]
+    assert all(got[i] == "" for i in range(len(data), len(data) + len(clean)))
