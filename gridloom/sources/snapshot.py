@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.dg import kinetic
 from gridloom.dg.operators import Elements, leveled
 from gridloom.dg.problems import problem
 from gridloom.dg.stepping import State
@@ -40,5 +41,6 @@ def read(spark: SparkSession, path: str, run: str, step: int | None = None) -> t
     head = header(spark, path, run, step)
     rows = state_frame(spark, path, run, head["step"]).orderBy("pos").toPandas()
     elements = Elements(np.array(rows["lev"].tolist()), np.array(rows["cell"].tolist()))
-    p = leveled(problem(head["pde"], json.loads(head["levels"]), head["degree"]), elements)
+    build = kinetic.described if head["pde"] in kinetic.BUILDERS else problem
+    p = leveled(build(head["pde"], json.loads(head["levels"]), head["degree"]), elements)
     return State(p, elements, np.concatenate([np.asarray(s, float) for s in rows["seg"]])), head

@@ -263,3 +263,18 @@ def test_fields_share_grids(spark):
             FieldSystem(dims, bad)
     with pytest.raises(KeyError):
         system.get("none")
+
+
+def test_kinetic_problems_are_described_and_restarted(spark, tmp_path):
+    from gridloom.dg import kinetic
+    from gridloom.dg.problems import BUILDERS
+    from gridloom.plans.pde_queries import description
+
+    assert {r["name"] for r in description(spark, "").collect()} == {*BUILDERS, *kinetic.BUILDERS}
+    k = kinetic.kinetic("two_stream").at([3, 3], 3)
+    *_, (_, _, want) = kinetic.run(k, 2, 6.25e-3)
+    (i, t, state), *_ = kinetic.run(k, 1, 6.25e-3)
+    snapshot.write(spark, f"{tmp_path}/k", "r", i, t, 6.25e-3, state)
+    again, _ = snapshot.read(spark, f"{tmp_path}/k", "r")
+    *_, (_, _, got) = kinetic.run(k, 1, 6.25e-3, state=again)
+    assert np.array_equal(got.x, want.x)
