@@ -8,7 +8,7 @@ Neighbours in that order have like sizes, so the words taken miss the target by
 a few documents' size at most.
 
 The prefix sum never gathers a source in one task: documents are counted in
-blocks (source, size class, salt), the block table is prefix-summed, and only a
+blocks (source, size class, and in a large class size and range of doc_id), the block table is prefix-summed, and only a
 block's own documents are numbered together. A block holds about
 ``BLOCK_ROWS`` documents, whatever the size of the source.
 
@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 BLOCK_ROWS = 100_000
+#: Ranges of doc_id that the rows of one large size are cut into.
+PARTS = 200
 #: Rows of the table of copies that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -83,14 +85,19 @@ def sample(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP
         on = [left[k].eqNullSafe(named[f"r_{k}"]) for k in keys]
         return left.join(named, on, "left").drop(*[f"r_{k}" for k in keys])
 
+    # a large class is cut by size, a large size by ranges of doc_id: the order is (size, doc_id) at any size
     blocked = joined(sized.withColumn("cls", cls), salts, ["source", "cls"])
-    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(0).cast("int")
-    blocked = blocked.withColumn("salt", salt).drop("salts")
-    before = F.sum("n").over(W.partitionBy("source").orderBy("cls", "salt").rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocked.groupBy("source", "cls", "salt").agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks.select("source", "cls", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = joined(blocked, blocks, ["source", "cls", "salt"])
-    rank = F.col("before") + F.row_number().over(W.partitionBy("source", "cls", "salt").orderBy("size", "doc_id"))
+    blocked = blocked.withColumn("sub", F.when(F.col("salts") > 1, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    cuts = blocked.where("salts > 1").groupBy("source", "sub").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", [i / PARTS for i in range(1, PARTS)]).alias("cuts"))
+    cuts = cuts.where(F.col("n") > BLOCK_ROWS).select("source", "sub", "cuts")
+    blocked = joined(blocked, cuts, ["source", "sub"])
+    salt = F.coalesce(F.expr("CASE WHEN salts > 1 AND cuts IS NOT NULL THEN size(filter(cuts, c -> c < doc_id)) END"), F.lit(0))
+    blocked = blocked.withColumn("salt", salt).drop("salts", "cuts")
+    before = F.sum("n").over(W.partitionBy("source").orderBy("cls", "sub", "salt").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocked.groupBy("source", "cls", "sub", "salt").agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select("source", "cls", "sub", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = joined(blocked, blocks, ["source", "cls", "sub", "salt"])
+    rank = F.col("before") + F.row_number().over(W.partitionBy("source", "cls", "sub", "salt").orderBy("size", "doc_id"))
     ranked = joined(ranked.withColumn("rank", rank), rates, ["source"])
     start = offset(F.col("source"), seed)
     copies = F.floor(start + F.col("rate") * F.col("rank")) - F.floor(start + F.col("rate") * (F.col("rank") - 1))

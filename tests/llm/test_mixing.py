@@ -76,3 +76,12 @@ def test_mix_emits_copies(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.sample(spark, docs).count() == 0 and mixing.mix(spark, docs).count() == 0
+
+
+def test_order_does_not_depend_on_the_block(spark, monkeypatch):
+    rows = [(i * 7919 % 1009, "w " * (1 + i % 3 if i % 4 else 2), None, f"s{i % 2}", 1) for i in range(1, 700)] + [(None, "w w", None, "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = lambda: sorted(map(str, mixing.sample(spark, docs).select("doc_id", "source", "size", "copies").collect()))
+    want = taken()
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    assert taken() == want
