@@ -1,7 +1,7 @@
 """Quality rules: fixed counts plus a hashed n-gram logistic regression.
 
 Features are three families of hashed n-grams, each a distribution over its
-buckets: words, pairs of words, and runs of four bytes. A text's score is the sum of the
+buckets: words, pairs of words, and runs of four characters. A text's score is the sum of the
 families' mean weights, which one gather and one segment sum over an Arrow batch
 give. The model is fitted on the driver from at most ``SAMPLE`` labelled rows,
 chosen by a hash of doc_id; on a fifth of them that took no part in the fit a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import read
-from gridloom.llm.textkernel import Words, mix, text_slices
+from gridloom.llm.textkernel import Words, mix, span_hashes, text_slices
 
 SAMPLE = 1_500
 BUCKETS = 1 << 16
@@ -33,8 +33,8 @@ THRESHOLD = 0.25
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-_SYMBOLS = np.zeros(256, np.int8)
-_SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
@@ -49,23 +49,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int
     return sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
 
 
+def character_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each run of four characters within its text."""
+    starts = np.flatnonzero((words.data & 0xC0) != 0x80)
+    ends = np.append(starts, len(words.data))
+    low, high = starts[: max(0, len(starts) - 3)], ends[4 : 4 + max(0, len(starts) - 3)]
+    text = np.searchsorted(words.offsets, low, "right") - 1
+    inside = high <= words.offsets[1:][text] if len(low) else np.zeros(0, bool)
+    low, high, text = low[inside], high[inside], text[inside]
+    return span_hashes(words.data, words.eight, low, high), text
+
+
 def buckets(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of each n-gram by family."""
-    data, n = words.data, len(words.data)
+    """(bucket, text) of each n-gram by family; words are taken as they are written."""
     pairs, whole = words.shingles(2)
     of_word = words.text_of_words()
-    low = np.arange(max(0, n - 3))
-    with np.errstate(over="ignore"):
-        four = data.astype(np.uint32)
-        grams = four[: n - 3] | four[1 : n - 2] << np.uint32(8) | four[2 : n - 1] << np.uint32(16) | four[3:] << np.uint32(24) if n > 3 else np.zeros(0, np.uint32)
-        grams = (grams * np.uint32(2654435761)) >> np.uint32(16)
-    of_gram = np.repeat(np.arange(len(words.counts)), np.diff(words.offsets))[: len(low)]
-    inside = low + 4 <= words.offsets[1:][of_gram] if len(low) else np.zeros(0, bool)
+    grams, of_gram = character_grams(words)
     shift = np.uint64(48)
     return [
         ((words.hashes >> shift).astype(np.int64), of_word),
         ((pairs[whole] >> shift).astype(np.int64), of_word[whole]),
-        (grams[inside].astype(np.int64), of_gram[inside]),
+        ((grams >> shift).astype(np.int64), of_gram),
     ]
 
 
@@ -140,7 +144,9 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def base_counts(words: Words) -> dict[str, np.ndarray]:
     """word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     data, n = words.data, len(words.counts)
-    out = {"word_chars": words.sum_by_text(((data & 0xC0) != 0x80) & ~words.space), "n_symbols": words.sum_by_text(_SYMBOLS[data])}
+    inner = words.places_by_text(np.flatnonzero((data & 0xC0) == 0x80))  # bytes of a character but its first; none is a space
+    word_bytes = np.bincount(words.text_of_words(), words.ends - words.starts, n).astype(np.int64)
+    out = {"word_chars": word_bytes - inner, "n_symbols": words.places_by_text(np.flatnonzero(_SYMBOLS[data]))}
     # lines that hold a word, by the words' place among the line ends
     line_ends = np.unique(np.concatenate([np.flatnonzero(data == 10), words.offsets[1:]]))
     at = np.searchsorted(line_ends, words.starts, "right")  # a word's line ends at the first end past its start

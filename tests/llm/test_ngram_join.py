@@ -100,3 +100,12 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[ids[i]] == min(ids[:121]) for i in range(121))
     assert all(got[ids[i]] == min(ids[150:250]) for i in range(150, 250))
     assert got[ids[260]] == min(ids[260], ids[261])
+
+
+def test_regular_words_do_not_collide(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word, None, "n", 1, 2, "t"), (2, other, None, "n", 1, 2, "t"), (3, word, None, "n", 1, 2, "t")], SCHEMA)
+    assert sorted(map(tuple, ngram_join.similarity_join(spark, docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]

@@ -79,3 +79,27 @@ def test_labels_of_one_kind_keep_all(spark):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
     assert model is None and quality.keep_good(docs, model).count() == 1
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_regular_words_do_not_collide(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"{word}\n{other}\n{word}x\n{word}\n" + " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, text, None, None, 1, None, "p"), (2, "z" * 3000 + "\n" + "z" * 2999 + "y\n" + "z" * 3000, None, None, 1, None, "p")], SCHEMA)
+    got = {r.doc_id: r for r in quality.judge_documents(docs, None).collect()}
+    assert (got[1].n_dup_lines, got[2].n_dup_lines) == (1, 1)
+
+
+def test_character_grams_are_characters():
+    texts = ["aébc日", "ébc日", "", "abc", "abcd"]
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    words = Words(np.frombuffer("".join(texts).encode(), np.uint8), offsets, False)
+    grams, text = quality.character_grams(words)
+    assert text.tolist() == [0, 0, 1, 4] and grams[1] == grams[2] and len({*grams.tolist()}) == 3
