@@ -13,7 +13,12 @@ strings that are keys by their shape); a pattern's confidence is the mean of its
 shapes', drawn to zero when its support is small; a shape's becomes the mean of
 its patterns'. A value is reported if its pattern and its shape end above the
 thresholds, whether or not it was a seed: so new identifiers are found by the
-company they keep. The graph has no texts in it, only keys, shapes and counts.
+company they keep. The graph has no texts in it, only keys, shapes and counts;
+values are written nowhere, only their hashes under a salt of the run.
+
+All expressions and joins of spans take time in proportion to the text (or n log
+n in its spans), and none recurses, so that any text goes through: runs of a
+megabyte of digits, letters or labels are tested.
 
 Defined cases: a null text is empty; a text without spans has empty spans and
 the checksum of the empty string; repeated rows get each their own result; other
@@ -22,11 +27,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import Stage, read
-from gridloom.llm.spans import quoted, spans
+from gridloom.llm.spans import blocks, bound, cut, quoted, running, spans
 
 #: The base kinds in their order, and their expressions.
 BASE = (
@@ -35,14 +42,21 @@ BASE = (
     ("card", r"[0-9]([\x20-]?[0-9])+"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: The same matches without a way back: groups repeat possessively, and a match starts where a run of its characters does or a match ended.
+FAST = {
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": BASE[3][1],
+}
 #: Kinds that the method adds: keys by their shape, values by their context.
 KEY, SECRET = "key", "secret"
 KEY_SHAPE = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 PAIR = r"""([A-Za-z][A-Za-z_-]{1,29})(\s?[=:]\s?["']?)([A-Za-z0-9+/_=.@-]{6,})"""
-#: A value beside words: a phone number, groups with a digit apart by one blank, or signs with a digit or an @ among them.
+#: A value beside words: a phone number, groups with a digit apart by one blank, or signs with a digit or an @ among their first 64.
 VALUE = (
-    r"(?<![A-Za-z0-9])(?:\+[0-9][\x20().0-9-]+[0-9](?![A-Za-z0-9])|(?=[A-Z]*[0-9])[A-Z0-9]{2,6}(?:\x20(?=[A-Z]*[0-9])[A-Z0-9]{2,6}(?![A-Za-z0-9]))+"
-    r"|(?=[A-Za-z+/_.%-]*[0-9@])[A-Za-z0-9][A-Za-z0-9+/_.@%-]+[A-Za-z0-9])"
+    r"(?<![A-Za-z0-9])(?:\+[0-9][\x20().0-9-]+[0-9](?![A-Za-z0-9])|(?=[A-Z]{0,5}[0-9])[A-Z0-9]{2,6}(?:\x20(?=[A-Z]{0,5}[0-9])[A-Z0-9]{2,6}(?![A-Za-z0-9]))++"
+    r"|(?=[A-Za-z+/_.%-]{0,63}[0-9@])[A-Za-z0-9][A-Za-z0-9+/_.@%-]+[A-Za-z0-9])"
 )
 #: Words of a context at most, and the characters that they are looked for in.
 WORDS, WINDOW = 3, 64
@@ -89,7 +103,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     """t (the text) and the arrays email, ip, card, phone and keys beside the columns named keep_*."""
     t = docs.withColumn("digits", F.col("t").rlike("[0-9]"))
     gates = {"email": "contains(t, '@')", "ip": "digits AND contains(t, '.')", "card": "digits", "phone": "digits AND contains(t, '+')"}
-    columns = {kind: F.expr(_kind(i, regex, CHECKS[kind], gates[kind])) for i, (kind, regex) in enumerate(BASE)}
+    columns = {kind: F.expr(_kind(i, FAST[kind], CHECKS[kind], gates[kind])) for i, (kind, _) in enumerate(BASE)}
     columns["keys"] = F.expr(_kind(4, KEY_SHAPE, None, "contains(t, 'AKIA')"))
     return t.withColumns(columns).drop("digits")
 
@@ -105,11 +119,9 @@ def pairs(docs: DataFrame) -> DataFrame:
 
 def contexts(docs: DataFrame) -> DataFrame:
     """One row per value, side and number of words beside it, as of pairs(); separator is the side and the number."""
-    found = docs.where("text_key IS NOT NULL AND (t RLIKE '[0-9]' OR contains(t, '@'))").select("text_key", "t", F.explode(F.expr(spans("t", quoted(VALUE)))).alias("x"))
+    found = docs.where("text_key IS NOT NULL AND (t RLIKE '[0-9]' OR contains(t, '@'))").select("text_key", F.explode(F.expr(spans("t", quoted(VALUE), around=WINDOW))).alias("x"))
     clean = lambda x: f"split(regexp_replace(lower({x}), '[0-9]+', '9'), '[\\\\x20\\\\x09-\\\\x0D]+')"
-    left = clean(f"substr(t, greatest(x.low - {WINDOW}, 0) + 1, least(x.low, {WINDOW}))")
-    right = clean(f"substr(t, x.high + 1, {WINDOW})")
-    found = found.select("text_key", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.found").alias("value"), F.expr(left).alias("l"), F.expr(right).alias("r"))
+    found = found.select("text_key", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.found").alias("value"), F.expr(clean("x.left")).alias("l"), F.expr(clean("x.right")).alias("r"))
     found = found.withColumns({"l": F.expr("IF(element_at(l, -1) = '', slice(l, 1, size(l) - 1), l)"), "r": F.expr("IF(r[0] = '', slice(r, 2, size(r)), r)")})
     sides = [f"named_struct('key', IF(size({c}) >= {n}, array_join(slice({c}, {-n if c == 'l' else 1}, {n}), ' '), ''), 'separator', '{side}{n}')" for c, side in (("l", "<"), ("r", ">")) for n in range(1, WORDS + 1)]
     found = found.withColumns({"shape": shape(F.col("value")), "seed": seeds(F.col("value")) | phone(F.col("value"))})
@@ -128,7 +140,7 @@ def shape(value):
 def seeds(value):
     """Whether a value is an entity of a base kind or a key by its shape."""
     whole = lambda r: value.rlike("^(?:" + r + ")$")
-    return value.rlike(SEED) | whole(BASE[0][1]) | whole(BASE[1][1]) | F.expr("value RLIKE '^[0-9][0-9-]+$' AND " + _luhn("value"))
+    return value.rlike(SEED) | whole(FAST["email"]) | whole(FAST["ip"]) | F.expr("value RLIKE '^[0-9][0-9-]+$' AND " + _luhn("value"))
 
 
 def phone(value):
@@ -160,9 +172,10 @@ def find(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     t = docs.select(*[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)], F.coalesce(docs["text"], F.lit("")).alias("t"))
     keyed = t.withColumn("text_key", F.when(F.expr("contains(t, '=') OR contains(t, ':') OR contains(t, '@') OR t RLIKE '[0-9]'"), F.md5(F.col("t").cast("binary"))))
     found = pairs(keyed.select("t", "text_key")).withColumns({"shape": shape(F.col("value")), "seed": seeds(F.col("value"))})
-    found = stage.write(found.unionByName(contexts(keyed.select("t", "text_key"))))
-    graph = stage.write(found.groupBy("key", "separator", "shape").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.approx_count_distinct("value").alias("values")))
+    found = found.unionByName(contexts(keyed.select("t", "text_key"))).withColumn("value", F.xxhash64(F.lit(uuid.uuid4().hex), "value"))
+    found = stage.write(found)
+    each = found.groupBy("key", "separator", "shape", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+    graph = stage.write(each.groupBy("key", "separator", "shape").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("values")))
     best = confident_patterns(graph).select(F.col("key").alias("b_key"), F.col("separator").alias("b_separator"), F.col("shape").alias("b_shape"))
     on = (F.col("key") == F.col("b_key")) & (F.col("separator") == F.col("b_separator")) & (F.col("shape") == F.col("b_shape"))
     told = found.join(best, on, "left_semi")
@@ -171,8 +184,13 @@ def find(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     own = F.coalesce("text_key", F.concat(F.lit("~"), F.xxhash64("t", "keep_0").cast("string")))
     out = with_base(keyed).withColumn("text_key", own).join(added, F.col("text_key") == F.col("a_key"), "left").drop("a_key", "text_key")
     out = out.withColumn("base", F.expr("array_sort(concat(email, ip, card, phone))"))
-    new = "filter(array_distinct(concat(keys, coalesce(added, " + _NONE + "))), x -> NOT exists(base, b -> b.low <= x.low AND b.high >= x.high))"
-    return out.withColumn("all", F.expr(f"array_sort(concat(base, {new}))")).drop("keys", "added")
+    # sorted by start, base spans first: a new one stays unless a base span that starts before it ends behind it
+    ranked = "array_sort(concat(transform(base, x -> struct(x.low AS low, 0 AS new, x.rank AS rank, x.high AS high)), transform(concat(keys, coalesce(added, " + _NONE + ")), x -> struct(x.low AS low, 1 AS new, x.rank AS rank, x.high AS high))))"
+    ends = bound("transform(s, x -> IF(x.new = 0, x.high, -1))", "h", running("h", "greatest({x}, {y})"))
+    kept = "filter(s, (x, i) -> x.new = 0 OR e[i] < x.high AND (i = 0 OR x <> s[i - 1]))"
+    both = bound(ranked, "s", bound(ends, "e", f"transform({kept}, x -> struct(x.low AS low, x.rank AS rank, x.high AS high))"))
+    out = out.withColumn("all", F.expr(f"CASE WHEN size(keys) > 0 OR added IS NOT NULL THEN array_sort({both}) ELSE base END"))
+    return out.drop("keys", "added")
 
 
 def _joined(array: str) -> str:
@@ -193,11 +211,12 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("text_was_null", docs["text"].isNull())
     out = find(spark, marked, [*names, "text_was_null"])
     kinds = ", ".join(quoted(f"[{k}]") for k in [*(k for k, _ in BASE), KEY, SECRET])
-    step = (
-        f"CASE WHEN x.low < a.pos THEN named_struct('pos', greatest(a.pos, x.high), 'out', a.out) "
-        f"ELSE named_struct('pos', x.high, 'out', concat(a.out, array(substr(t, a.pos + 1, x.low - a.pos), element_at(array({kinds}), x.rank + 1)))) END"
-    )
-    clean = f"aggregate(all, named_struct('pos', 0, 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substr(t, a.pos + 1)))"
+    # e[i]: the furthest end of the spans up to i; a span that starts before it belongs to an earlier one
+    gap = cut("c", "CASE WHEN i > 0 THEN e[i - 1] ELSE 0 END", "x.low")
+    parts = f"transform(all, (x, i) -> CASE WHEN i = 0 OR x.low >= e[i - 1] THEN concat({gap}, element_at(array({kinds}), x.rank + 1)) ELSE '' END)"
+    rest = cut("c", "element_at(e, -1)", "length(t)")
+    ends = bound("transform(all, x -> x.high)", "h", running("h", "greatest({x}, {y})"))
+    clean = bound(blocks("t"), "c", bound(ends, "e", f"concat(array_join({parts}, ''), {rest})"))
     text = F.when(F.col(f"keep_{len(names)}"), F.lit(None).cast("string")).when(F.size("all") > 0, F.expr(clean)).otherwise(F.col("t"))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)])
 

@@ -124,3 +124,67 @@ def test_words_beside_seeds_find_other_values(spark):
     m = re.search("[0-9]{3} [0-9]{4}", data[60])
     assert f"secret:{m.start()}:{m.end()}" in got[60]
     assert all(got[i] == "" for i in range(len(data), len(data) + len(clean)))
+
+
+def test_fast_expressions_find_the_same():
+    import sys
+
+    assert sys.version_info >= (3, 11)  # possessive repeats
+    rng = random.Random(12)
+    for _ in range(4000):
+        text = "".join(rng.choices("01 .-@a_+%(", k=rng.randint(1, 40)))
+        for kind, regex in pii.BASE:
+            at, got = 0, []
+            fast = re.compile(pii.FAST[kind].replace(r"|\G", "|(?:)" if kind == "email" else ""))
+            if kind == "email":  # a match may start where the last one ended
+                fast = re.compile(pii.FAST[kind].replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", r"(?<![A-Za-z0-9._%+-])"))
+                glued = re.compile(pii.FAST[kind].replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", ""))
+                while (m := glued.match(text, at) or fast.search(text, at)) is not None:
+                    got.append(m.span())
+                    at = m.end()
+            else:
+                got = [m.span() for m in fast.finditer(text)]
+            assert got == [m.span() for m in re.finditer(regex, text)], (kind, text)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(13)
+    n = 1_000_000
+    number = lambda: f"{rng.randint(0, 255)}.1.2.3"
+    data = [
+        "7" * 3000, "7" * n, "x" * n + " me@here.org", "x@a" + ".a" * 100_000, "a." * (n // 2), "AB1 " * 50_000, "1 " * 100_000, "+1" + "(" * n, "@" * n,
+        " ".join(number() for _ in range(20_000)), "call " + " call ".join(f"+1 (874) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}" for _ in range(10_000)),
+        "é" * 5000 + " me@here.org " + "é" * 5000 + " 1.2.3.4",
+    ]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "b", 0) for i, t in enumerate(data)], SCHEMA).repartition(4)
+    # linear in Python, unlike the expressions of the definition
+    fast = {k: re.compile(v.replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", r"(?<![A-Za-z0-9._%+-])")) for k, v in pii.FAST.items()}
+    got = {r.doc_id: r for r in pii.report(spark, docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(spark, docs).collect()}
+    for i, t in enumerate(data):
+        want = []
+        for rank, (kind, _) in enumerate(pii.BASE):
+            for m in fast[kind].finditer(t):
+                digits = re.sub("[^0-9]", "", m.group())
+                if kind == "email" or kind == "ip" and all(len(p.lstrip("0")) < 4 and int(p[-4:]) <= 255 for p in m.group().split(".")) or kind == "card" and 12 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 9 <= len(digits) <= 15:
+                    want.append((m.start(), rank, m.end(), kind))
+        assert got[i].base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest(), i
+        spans = [(int(a), -k, int(b)) for k, (_, a, b) in enumerate(x.split(":") for x in got[i].spans.split(",") if x)]
+        if not spans:
+            assert clean[i] == t
+    assert clean[11] == "é" * 5000 + " [email] " + "é" * 5000 + " [ip]"
+    assert "874" not in clean[10] and clean[9] == " ".join(["[ip]"] * 20_000)
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("0123456789.@ab +-", k=rng.randint(1, 200))) for _ in range(300)] + [("word " * 900 + "me@here.org ") * 4]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "b", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    spans = {r.doc_id: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.report(spark, docs).collect()}
+    for r in pii.redact(spark, docs).collect():
+        out, at = "", 0
+        for low, high, kind in spans[r.doc_id]:
+            if low >= at:
+                out += texts[r.doc_id][at:low] + f"[{kind}]"
+            at = max(at, high)
+        assert r.text == out + texts[r.doc_id][at:]
