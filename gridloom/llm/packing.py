@@ -21,22 +21,27 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import Stage, read
+from gridloom.llm.textkernel import Words, _MASKS, mix
 
 LIMIT = 4096
 END = 1
-BLOCK_ROWS = 200_000
-#: Entries of a worker's cache of encoded words.
-CACHE = 450_000
+#: Pieces of a length that are numbered together, about.
+BLOCK_ROWS = 20_000
+#: Words of at most 16 bytes that a worker keeps with their ids (about 40 bytes each), and longer ones.
+CACHE = 400_000
+LONG_CACHE = 20_000
+#: Bytes of text encoded at once.
+GROUP = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 #: Outside of this, lower-casing and white space could differ between Python and the tokenizer.
 ODD = re.compile("[^\x00-\u024f]|[\u0130\x1c-\x1f]")
@@ -48,13 +53,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_marks(data: np.ndarray, cut: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and the first word of each text, with a last comma or full stop behind a letter set apart.
+
+    The pre-tokenizer makes such a sign a piece of its own.
+    """
+    last = cut.ends - 1
+    before = data[np.maximum(last - 1, 0)]
+    marked = (cut.ends - cut.starts > 1) & ((data[last] == 44) | (data[last] == 46)) & (before >= 97) & (before <= 122)
+    more = np.concatenate([[0], np.cumsum(marked)])
+    place = np.arange(len(last)) + more[:-1]
+    starts, ends = (np.empty(len(last) + more[-1], np.int64) for _ in range(2))
+    starts[place], ends[place] = cut.starts, cut.ends - marked
+    starts[place[marked] + 1], ends[place[marked] + 1] = last[marked], cut.ends[marked]
+    return starts, ends, cut.first + more[cut.first]
+
+
 class Encoder:
     """Ids of texts as packed little-endian 32-bit integers.
 
     The vocabulary's pre-tokenizer never joins what white space separates, so a
-    text is split at white space and each distinct word is encoded once. Texts
-    where Python's notion of case or white space could differ go to the library
-    as they are, as do texts with the strings of special tokens.
+    text is split at white space and each distinct word is encoded once. Words of
+    at most 16 bytes are told apart by these bytes and their length in arrays,
+    longer ones in a dictionary; no hash decides. Texts where Python's notion of
+    case or white space could differ go to the library as they are, as do texts
+    with the strings of special tokens.
     """
 
     def __init__(self, path: str):
@@ -63,48 +86,129 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {c: self.whole(c) for c in ".,"}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        #: Whether an id is the last one of a piece.
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.long: dict[bytes, np.ndarray] = {}
+        # the table: order, first and second eight bytes, length, place and number of the ids
+        self.order, self.one, self.two = (np.zeros(0, np.uint64) for _ in range(3))
+        self.size, self.at, self.count = (np.zeros(0, np.int32) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def several(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word.
+
+        A word of letters is one piece of the pre-tokenizer, and the last token
+        of a piece is marked as such; so many of them are encoded as one text.
+        """
+        out: list[np.ndarray | None] = [None] * len(words)
+        names = [w.decode() for w in words]
+        plain = [i for i, w in enumerate(names) if w.isalpha()]
+        parts = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        rest = [i for i, w in enumerate(names) if not w.isalpha()]
+        for own, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join([names[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) == len(own):
+                for i, x, y in zip(own, [0, *stop[:-1].tolist()], stop.tolist(), strict=True):
+                    out[i] = ids[x:y]
+            else:
+                rest += own
+        for low in range(0, len(rest), 20_000):
+            part = rest[low : low + 20_000]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, "<u4")
+        return out
 
     def simple(self, text: str) -> bool:
         if not text.isascii() and ODD.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return False
         return not any(s in text for s in self.special)
 
-    def learn(self, missing: list[str], known: dict[str, bytes]) -> None:
-        """Encodes words; a comma or full stop after a letter is always a token of its own."""
-        rest = []
-        for word in missing:
-            if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
-                base = self.known.get(word[:-1])
-                if base is not None:
-                    known[word] = base + self.known[word[-1]]
-                    continue
-            rest.append(word)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = array("I", found.ids).tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            simple = self.simple(text)
-            if simple and not text.isascii() and not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            split.append(text.lower().split() if simple else None)
-        missing = list(set().union(*[w for w in split if w]) - self.known.keys())
-        fresh: dict[str, bytes] = {}
-        self.learn(missing, fresh)
-        full = len(self.known) >= CACHE
-        self.known.update(fresh)
-        get = self.known.__getitem__
-        out = [self.whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
-        if full:  # words that come late are rare: they are forgotten again
-            for word in fresh:
-                del self.known[word]
+    def lookup(self, order, one, two, size) -> np.ndarray:
+        """Place in the table of each word, -1 if it is not there."""
+        if not len(self.order):
+            return np.full(len(order), -1)
+        at = np.minimum(np.searchsorted(self.order, order), len(self.order) - 1)
+        same = (self.order[at] == order) & (self.one[at] == one) & (self.two[at] == two) & (self.size[at] == size)
+        return np.where(same, at, -1)
+
+    def learn(self, order, one, two, size, words: list[bytes]) -> None:
+        """Adds words, given in ascending order of ``order``, to the table."""
+        found = self.several(words)
+        count = np.array([len(f) for f in found], np.int32)
+        at = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, *found])
+        own = np.searchsorted(self.order, order)
+        self.order, self.one, self.two = (np.insert(a, own, b) for a, b in ((self.order, order), (self.one, one), (self.two, two)))
+        self.size, self.at, self.count = (np.insert(a, own, b.astype(np.int32)) for a, b in ((self.size, size), (self.at, at), (self.count, count)))
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of simple words, and where each text's ids start."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        cut = Words(data, offsets, False, hashed=False)
+        starts, ends, first_word = split_marks(data, cut)
+        size = ends - starts
+        one = cut.eight[starts] & _MASKS[np.minimum(size, 8)]
+        two = np.where(size > 8, cut.eight[np.minimum(starts + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)], np.uint64(0))
+        with np.errstate(over="ignore"):
+            order = mix(one ^ mix(two + size.astype(np.uint64)))
+        # distinct words: of equal order, those that differ from the first are encoded on their own
+        rank = np.argsort(order)
+        new = np.append(True, order[rank][1:] != order[rank][:-1])[: len(rank)]
+        first = rank[new]
+        group = np.zeros(len(rank), np.int64)
+        group[rank] = np.cumsum(new) - 1
+        odd = (size > 16) | (one != one[first][group]) | (two != two[first][group]) | (size != size[first][group])
+        heads, first = first, first[size[first] <= 16]
+        missing = first[self.lookup(order[first], one[first], two[first], size[first]) < 0]
+        if len(self.order):  # as good as never: the table has another word of this order
+            missing = missing[self.order[np.minimum(np.searchsorted(self.order, order[missing]), len(self.order) - 1)] != order[missing]]
+        if len(missing) and len(self.order) < CACHE:  # words that come late are rare: they are not kept
+            self.learn(order[missing], one[missing], two[missing], size[missing], [data[a:b].tobytes() for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
+        place = self.lookup(order[heads], one[heads], two[heads], size[heads])[group]
+        place[odd] = -1
+        count = np.where(place >= 0, self.count[place], 0) if len(self.count) else np.zeros(len(place), np.int64)
+        begin = np.where(place >= 0, self.at[place], 0) if len(self.at) else np.zeros(len(place), np.int64)
+        pool = self.ids
+        alone = np.flatnonzero(place < 0)
+        if len(alone):
+            names = [data[a:b].tobytes() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]
+            if len(self.long) > LONG_CACHE:
+                self.long.clear()
+            fresh = [w for w in dict.fromkeys(names) if w not in self.long]
+            now = dict(zip(fresh, self.several(fresh), strict=True))
+            found = [now[w] if w in now else self.long[w] for w in names]
+            self.long.update((w, f) for w, f in now.items() if 16 < len(w) <= 256)
+            own = np.array([len(f) for f in found], np.int64)
+            count[alone], begin[alone] = own, len(pool) + np.cumsum(own) - own
+            pool = np.concatenate([pool, *found])
+        run = np.concatenate([[0], np.cumsum(count)])
+        ids = pool[np.repeat(begin - run[:-1], count) + np.arange(run[-1])]
+        return ids, run[first_word]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        own, plain = [], []
+        for i, text in enumerate(texts):
+            if not self.simple(text):
+                out[i] = self.whole(text)
+                continue
+            if not text.isascii():
+                if not unicodedata.is_normalized("NFC", text):
+                    text = unicodedata.normalize("NFC", text)
+                text = text.replace("\x85", " ").replace("\xa0", " ")
+            own.append(i)
+            plain.append(text.lower().encode())
+        if own:
+            ids, start = self.words(plain)
+            for k, i in enumerate(own):
+                out[i] = ids[start[k] : start[k + 1]]
         return out
 
 
@@ -125,12 +229,17 @@ def cut(path: str, limit: int, end: int):
         encode = encoder(path)
         seen = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            group = np.concatenate([[0], np.cumsum(sizes + 1)])
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(group, group[low] + GROUP, "right")) - 1)
+                part = batch.slice(low, high - low)
+                low = high
                 docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 out: list[tuple] = []
-                for doc, ids in zip(docs, encode.batch(texts), strict=True):
-                    ids += tail
+                for doc, found in zip(docs, encode.batch(texts), strict=True):
+                    ids = found.tobytes() + tail
                     for k, at in enumerate(range(0, len(ids), step)):
                         piece = ids[at : at + step]
                         seen += 1
@@ -223,11 +332,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT, en
     runs = best_fit_decreasing(histogram, limit)
     fields = "r_length long, first long, last long, bin long, each long, at long"
     plan = F.broadcast(spark.createDataFrame(runs, fields)) if runs else spark.createDataFrame([], fields)
-    wide = [(n, -(-c // BLOCK_ROWS)) for n, c in histogram.items() if c > BLOCK_ROWS]
-    salts = F.lit(1)
-    for length, count in wide:
-        salts = F.when(F.col("length") == length, F.lit(count)).otherwise(salts)
-    blocked = pieces.withColumn("block", F.pmod(F.col("salt"), salts))
+    # at most ``limit`` rows
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // BLOCK_ROWS)) for n, c in histogram.items()] or [(1, 1)], "s_length long, salts long"))
+    blocked = pieces.join(salts, F.col("length") == F.col("s_length")).withColumn("block", F.pmod(F.col("salt"), F.col("salts"))).drop("s_length", "salts")
     sizes = blocked.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("length").alias("b_length"), F.col("block").alias("b_block"), before.alias("before"))

@@ -5,7 +5,9 @@ buckets: words, pairs of words, and runs of four characters. A text's score is t
 families' mean weights, which one gather and one segment sum over an Arrow batch
 give. The model is fitted on the driver from at most ``SAMPLE`` labelled rows,
 chosen by a hash of doc_id; on a fifth of them that took no part in the fit a
-logistic curve is fitted that makes the score a probability. Verdicts compare it
+logistic curve is fitted that makes the score a probability. Of fewer than
+``FEW`` rows each fifth is scored by a fit to the others, and the curve is fitted
+on all. Verdicts compare it
 with the fixed ``THRESHOLD``.
 
 Defined cases: a null text has no words and fails the base rule; without any
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import read
+from gridloom.llm._common import bounded_batches, read
 from gridloom.llm.textkernel import Words, mix, span_hashes, text_slices
 
 SAMPLE = 1_500
+FEW = 500
 BUCKETS = 1 << 16
 FAMILIES = 3
 THRESHOLD = 0.25
@@ -99,26 +102,36 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict | None:
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     del rows, cols, values
     n, m = len(texts), FAMILIES * BUCKETS
-    fold = mix(np.arange(n, dtype=np.uint64)) % np.uint64(5) == 0
-    if len({*y[~fold]}) < 2 or len({*y[fold]}) < 2:
-        fold[:] = False
-    own = ~fold
-    share = np.where(y == 1, 0.5 / max(y[own].sum(), 1), 0.5 / max((1 - y[own]).sum(), 1)) * own
     scale = 1 / np.sqrt(np.bincount(col, value * value, m) / n + 1e-7)  # rare buckets weigh no more than common ones
     value = value * np.minimum(scale[col], 60.0)
-    w, b = np.zeros(m), 0.0
-    first, second = np.zeros(m + 1), np.zeros(m + 1)
-    for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + b, -30, 30)))
-        error = (p - y) * share
-        slope = np.append(np.bincount(col, value * error[row], m) + 1e-4 * w, error.sum())
-        first = 0.9 * first + 0.1 * slope
-        second = 0.99 * second + 0.01 * slope * slope
-        move = 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        w, b = w - move[:-1], b - move[-1]
-    score = np.bincount(row, value * w[col], n) + b
-    test = fold if fold.any() else own
-    slope, level = calibrate(score[test], y[test])
+
+    def descend(own: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Weights and bias fitted on the rows ``own``, and the score of every row."""
+        share = np.where(y == 1, 0.5 / max(y[own].sum(), 1), 0.5 / max((1 - y[own]).sum(), 1)) * own
+        w, b = np.zeros(m), 0.0
+        first, second = np.zeros(m + 1), np.zeros(m + 1)
+        for step in range(1, rounds + 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + b, -30, 30)))
+            error = (p - y) * share
+            slope = np.append(np.bincount(col, value * error[row], m) + 1e-4 * w, error.sum())
+            first = 0.9 * first + 0.1 * slope
+            second = 0.99 * second + 0.01 * slope * slope
+            move = 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            w, b = w - move[:-1], b - move[-1]
+        return w, b, np.bincount(row, value * w[col], n) + b
+
+    part = mix(np.arange(n, dtype=np.uint64)) % np.uint64(5)
+    both = lambda rows: len({*y[rows]}) == 2
+    held, test = np.zeros(n), np.zeros(n, bool)
+    for k in range(5 if n < FEW else 1):
+        fold = part == k
+        if both(~fold) and both(fold):
+            w, b, score = descend(~fold)
+            held[fold], test[fold] = score[fold], True
+    if n < FEW or not test.any():
+        w, b, score = descend(np.ones(n, bool))
+        held, test = (held, test) if test.any() else (score, np.ones(n, bool))
+    slope, level = calibrate(held[test], y[test])
     weights = (w * np.minimum(scale, 60.0)).reshape(FAMILIES, BUCKETS)
     return {"weights": weights.astype(np.float32), "bias": b, "slope": slope, "level": level}
 
@@ -206,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
 
 
 def judge_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     return rows.mapInArrow(judge(model, threshold), RESULT)
 
@@ -224,6 +238,7 @@ def keep_good(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD)
                 kept = [k for part in decide(iter([two])) for k in part.column(7).to_pylist()]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

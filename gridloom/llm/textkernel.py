@@ -89,7 +89,7 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, span: int = SPAN) -> Ite
 class Words:
     """Word bounds and hashes of one slice of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, hashed: bool = True):
         self.data, self.offsets = data, offsets
         n = len(data)
         space = _SPACE[data]
@@ -107,7 +107,8 @@ class Words:
         self.counts = np.diff(self.first)
         self.read = _FOLDED[data] if fold else data
         self.eight = eights(self.read)
-        self.hashes = self.span_hash(self.starts, self.ends)
+        if hashed:
+            self.hashes = self.span_hash(self.starts, self.ends)
 
     def span_hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Hash of bytes[low:high]."""
@@ -131,3 +132,37 @@ class Words:
     def places_by_text(self, places: np.ndarray) -> np.ndarray:
         """How many of the ascending places fall into each text."""
         return np.diff(np.searchsorted(places, self.offsets))
+
+
+class Sent:
+    """Keys that a task has sent twice already.
+
+    A bucket that gathers keys has to learn that a key occurs twice, not how
+    often. What a task sent twice is known to be shared: its later owners need
+    no answer. A table of fixed size holds keys by their low bits; a key that
+    was sent twice keeps its slot. So a key that all texts have reaches its
+    bucket about twice for each task.
+    """
+
+    def __init__(self, slots: int = 1 << 18):
+        self.key, self.times = np.zeros(slots, np.uint64), np.zeros(slots, np.uint8)
+
+    def split(self, keys: np.ndarray) -> np.ndarray:
+        """Of ascending keys, whether each is to be sent; the others are shared for certain."""
+        if not len(keys):
+            return np.zeros(0, bool)
+        new = np.append(True, keys[1:] != keys[:-1])
+        group = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        nth = np.arange(len(keys)) - head[group]
+        own = keys[head]
+        slot = (own & np.uint64(len(self.key) - 1)).astype(np.int64)
+        held = self.key[slot] == own
+        times = np.where(held, self.times[slot], 0)
+        send = nth < np.maximum(2 - times.astype(np.int64), 0)[group]
+        after = np.minimum(times + np.bincount(group[send], minlength=len(own)), 2).astype(np.uint8)
+        put = np.flatnonzero(held | (self.times[slot] < 2))
+        _, first = np.unique(slot[put], return_index=True)
+        put = put[first]
+        self.key[slot[put]], self.times[slot[put]] = own[put], after[put]
+        return send

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import read
+from gridloom.llm._common import bounded_batches, read
 
 LIMIT = 1024
 HUGE = 32_768
@@ -129,6 +129,7 @@ def counts(path: str, limit: int, huge: int, overlap: int):
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, huge: int = HUGE, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     return rows.mapInArrow(counts(path, limit, huge, overlap), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

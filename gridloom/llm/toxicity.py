@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import read
+from gridloom.llm._common import bounded_batches, read
 from gridloom.llm.quality import calibrate, labelled_sample
 
 SAMPLE = 3_000
@@ -324,6 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
 
 def score_documents(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     out = rows.mapInArrow(score(model), "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -55,7 +55,30 @@ def test_encoder_is_the_library():
     rng = random.Random(5)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(1500)] + [f"a{c}b {c} {c}{c}" for c in alphabet]
     for text, got in zip(texts, packing.encoder(WORD).batch(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+        assert got.tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_forgets_and_clashes(monkeypatch):
+    own = Tokenizer.from_file(WORD)
+    rng = random.Random(6)
+    letters = "abcdéß01.,'"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 30))) + " " + "x" * rng.randint(1, 40) for _ in range(600)] + ["", " \n"]
+    monkeypatch.setattr(packing, "CACHE", 50)
+    monkeypatch.setattr(packing, "LONG_CACHE", 5)
+    monkeypatch.setattr(packing, "mix", lambda x: x % np.uint64(7))  # many different words of one order
+    encoder = packing.Encoder(WORD)
+    for _ in range(2):
+        for low in range(0, len(texts), 100):
+            part = texts[low : low + 100]
+            for text, got in zip(part, encoder.batch(part), strict=True):
+                assert got.tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_pack_with_every_length_wide(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 1)
+    texts = ["w " * n for n in range(1, 1500)] * 2
+    bins, total = check_packing(spark, texts, 1600)
+    assert bins <= 1.02 * total / 1600 + 2
 
 
 def check_packing(spark, texts, limit):
