@@ -10,7 +10,9 @@ smaller of the two. A longer prefix thus asks for more matches.
    document sends its prefix in hash order, ``FIRST`` of its size longer than the
    shortest, as packed key fragments by key bucket; a bucket tells which keys
    occur twice; documents with fewer such keys than their partners' shortest
-   prefix asks for are out. Two to three bytes per token leave the scan.
+   prefix asks for are out. Two to three bytes per token leave the scan. A key
+   that a task has sent twice is shared and not sent again, so that a frequent
+   one takes as much of its bucket as there are tasks, not documents.
 2. The sets of the others (equal sets once) are written. Tokens are counted
    among them, and the counts order the tokens, rare ones first. Tokens that
    stand alone join nothing but use up the prefix, which drops more documents.
@@ -40,9 +42,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import Stage, read
+from gridloom.llm._common import Stage, read, skewed_join
 from gridloom.llm.components import components
-from gridloom.llm.textkernel import Words, mix, text_slices
+from gridloom.llm.textkernel import Sent, Words, mix, text_slices
 
 SHINGLE = 5
 #: Similarity of a link, in percent.
@@ -114,12 +116,12 @@ def first_prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def send_prefixes(buckets: int, percent: int):
-    """Rows (bucket, unit, keys, owners) of the documents of a slice, and one row (unit, row keys, matches asked for)."""
+    """Rows (bucket, unit, keys, owners) of the documents of a slice, a row (unit, owners) of keys known to be shared, and one row (unit, row keys, matches asked for)."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     low = np.uint64(32 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = TaskContext.get().partitionId() << 24
+        unit, sent = TaskContext.get().partitionId() << 24, Sent()
         for _, _, part, sets in sets_of(batches):
             unit += 1
             n = np.array([len(s) for s in sets], np.int64)
@@ -129,14 +131,17 @@ def send_prefixes(buckets: int, percent: int):
             keys = mix(keys ^ np.uint64(0xA0761D6478BD642F))  # prefixes hold the least hashes; the buckets should be even
             order = np.argsort(keys)
             keys, owner = keys[order], owner[order]
+            ask = sent.split(keys)
+            shared = owner[~ask].tobytes()
+            keys, owner = keys[ask], owner[ask]
             bounds = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
             short, owner = (keys >> low).astype(np.uint32), owner.astype(np.uint16 if len(sets) < 1 << 16 else np.uint32)
             filled = np.flatnonzero(np.diff(bounds)).tolist()
-            bucket = [*filled, unit % buckets]
+            bucket = [*filled, unit % buckets, unit % buckets]
             head = part.column("row_key").to_numpy().astype(np.int64).tobytes()
-            payload = [short[bounds[b] : bounds[b + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for b in filled] + [head]
-            owners = [owner[bounds[b] : bounds[b + 1]].astype(np.uint32).tobytes() if owner.dtype == np.uint32 else owner[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [asked.astype(np.int32).tobytes()]
-            wide = [owner.dtype == np.uint32] * len(filled) + [None]
+            payload = [short[bounds[b] : bounds[b + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for b in filled] + [None, head]
+            owners = [owner[bounds[b] : bounds[b + 1]].astype(np.uint32).tobytes() if owner.dtype == np.uint32 else owner[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [shared, asked.astype(np.int32).tobytes()]
+            wide = [owner.dtype == np.uint32] * len(filled) + [True, None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int32()), pa.array([unit] * len(bucket), pa.int64()), pa.array(payload, pa.binary()), pa.array(owners, pa.binary()), pa.array(wide, pa.bool_())],
                 names=["bucket", "unit", "keys", "owners", "wide"],
@@ -146,11 +151,11 @@ def send_prefixes(buckets: int, percent: int):
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each unit the owners of keys that occur twice. A head passes through."""
+    """Of a bucket: for each unit the owners of keys that occur twice. Heads and owners of shared keys pass through."""
     rows = table.select(["unit", "keys", "owners", "wide"]).to_pylist()
-    heads = [r for r in rows if r["wide"] is None]
-    rows = [r for r in rows if r["wide"] is not None]
-    units, owners, wide = [r["unit"] for r in heads], [r["owners"] for r in heads], [None] * len(heads)
+    heads = [r for r in rows if r["wide"] is None or r["keys"] is None]
+    rows = [r for r in rows if r["wide"] is not None and r["keys"] is not None]
+    units, owners, wide = [r["unit"] for r in heads], [r["owners"] for r in heads], [r["wide"] for r in heads]
     head_keys = [r["keys"] for r in heads]
     if rows:
         parts = [np.ascontiguousarray(np.frombuffer(r["keys"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for r in rows]
@@ -315,10 +320,14 @@ def star_links(spark: SparkSession, stage: Stage, sets: DataFrame, percent: int)
         own = labelled(postings, labels)
         who = [F.col(c).alias(c) for c in ("n", "low", "high", "label", "node")]
         best = own.groupBy("token", "label").agg(F.max(F.struct(F.col("central").alias("rank"), *who)).alias("top"), F.max(F.struct(F.xxhash64("token", "node", F.lit(turn)).cast("double").alias("rank"), *who)).alias("any"))
-        two = best.groupBy("token").agg(F.slice(F.sort_array(F.collect_set(F.struct("top", "any")), False), 1, 2).alias("tops"), F.count(F.lit(1)).alias("labels"))
-        two = two.where("labels > 1").select(F.col("token").alias("t_token"), "tops")
+        # the most central label of a token and, for its own documents, another one: two extremes, however many labels there are
+        pair = F.struct("top", "any")
+        two = best.groupBy("token").agg(F.max(pair).alias("most"), F.max(F.struct(F.xxhash64("label", F.lit(turn)).alias("by"), "top", "any")).alias("some"), F.min(pair).alias("least"))
+        two = two.where(F.col("most.top.label") != F.col("least.top.label"))
+        some = F.when(F.col("some.top.label") != F.col("most.top.label"), F.struct("some.top", "some.any")).otherwise(F.col("least"))
+        two = two.select(F.col("token").alias("t_token"), "most", some.alias("other"))
         tried = own.join(two, F.col("token") == F.col("t_token"))
-        lead = F.when(F.element_at("tops", 1)["top"]["label"] != F.col("label"), F.element_at("tops", 1)).otherwise(F.element_at("tops", 2))
+        lead = F.when(F.col("most.top.label") != F.col("label"), F.col("most")).otherwise(F.col("other"))
         tried = tried.select("node", "n", "low", "high", lead.alias("leads"))
         tried = tried.select("node", "n", "low", "high", F.explode(F.array("leads.top", "leads.any")).alias("lead"))
         tried = tried.where("n BETWEEN lead.low AND lead.high AND lead.n BETWEEN low AND high")
@@ -376,17 +385,21 @@ def similarity_join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     if not more.isEmpty():
         labels = components(stage, more if links is None else links.unionByName(more))
     # classes of equal sets, their components and the components' smallest doc_id
-    classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    group = F.col("node")
     if labels is not None:
         named = sets.select("node", "digest").join(labels.select(F.col("node").alias("l_node"), "component"), F.col("node") == F.col("l_node")).select(F.col("digest").alias("l_digest"), "component")
         classes = classes.join(named, F.col("node") == F.col("l_digest"), "left")
-        classes = classes.withColumn("group", F.when(F.col("component").isNull(), F.col("node")).otherwise(F.col("component").cast("string").cast("binary")))
-    else:
-        classes = classes.withColumn("group", F.col("node"))
-    smallest = classes.groupBy("group").agg(F.min("least").alias("component_id")).select(F.col("group").alias("g_group"), "component_id")
-    found = classes.join(smallest, F.col("group") == F.col("g_group")).select(F.col("node").alias("f_node"), "component_id")
-    out = table.join(found, F.col("node") == F.col("f_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        group = F.when(F.col("component").isNull(), F.col("node")).otherwise(F.col("component").cast("string").cast("binary"))
+    classes = stage.write(classes.select("node", "least", "rows", group.alias("group")))
+    smallest = stage.write(classes.groupBy(F.col("group").alias("g_group")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    number = classes.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    found = skewed_join(classes.select("node", "rows", "group"), smallest, ("group", "g_group"), "classes", number[0])
+    found = stage.write(found.select(F.col("node").alias("f_node"), "rows", "component_id"))
+    stage.keep(table, found)
+    out = skewed_join(table.where("n > 0").select("doc_id", "n", "node"), found, ("node", "f_node"), "rows", number[1] or 0)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gridloom.llm import ngram_join
 from gridloom.llm.components import components
 from gridloom.llm._common import Stage
+from gridloom.llm.textkernel import Sent
 
 SCHEMA = "doc_id long, text string, lang string, node string, n long, component_id int, token string"
 
@@ -109,3 +111,27 @@ def test_regular_words_do_not_collide(spark):
     other = word.translate(str.maketrans("ab", "ba"))
     docs = spark.createDataFrame([(1, word, None, "n", 1, 2, "t"), (2, other, None, "n", 1, 2, "t"), (3, word, None, "n", 1, 2, "t")], SCHEMA)
     assert sorted(map(tuple, ngram_join.similarity_join(spark, docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_ways_beyond_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BUCKET_KEYS", 50)
+    monkeypatch.setattr("gridloom.llm._common.HEAVY", 3)
+    data = corpus(4)
+    docs = spark.createDataFrame([(d, t, None, "n", 1, 2, "t") for d, t in data], SCHEMA).repartition(2)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.similarity_join(spark, docs).collect())
+    assert got == brute(data)
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(spark, docs).collect() if r.doc_id is not None)
+    assert kept == sorted({int(d) for d, _, c in brute(data) if d == c and d != "None"})
+
+
+def test_sent_keys_are_told_apart():
+    rng = np.random.default_rng(1)
+    sent, counts, asked = Sent(16), {}, {}
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, 60, 25)).astype(np.uint64)
+        for k, ask in zip(keys.tolist(), sent.split(keys).tolist(), strict=True):
+            counts[k] = counts.get(k, 0) + 1
+            asked[k] = asked.get(k, 0) + ask
+            assert ask or counts[k] > 2 and asked[k] >= 2
+    assert all(asked[k] >= min(2, n) for k, n in counts.items()) and sum(asked.values()) < 0.9 * sum(counts.values())
