@@ -10,36 +10,40 @@ It is applied where texts are alike, not to the whole corpus in one task:
    bytes alone, so equal windows have equal anchors at equal places. Neighbouring
    windows mostly share their anchor; a run of such windows is one row's worth.
 2. Anchors go to buckets as packed key fragments; a bucket tells which occur
-   twice. Only runs with a shared anchor are looked at further.
+   twice. Only runs with a shared anchor are looked at further. A key that a task
+   has sent twice is shared for certain and not sent again.
 3. Texts that an earlier document has as a whole need no further look. Runs with
-   the same anchor and the same bytes are one context; all its occurrences but the
-   first are repeats as a whole. Those that follow one in the same text are told
-   where the text is, so a context meets others once per document only. The contexts of an anchor that has several are put
-   through a suffix array, whose symbols are short blocks aligned at the anchor;
-   suffixes with enough common symbols give the candidates, and the bytes of
-   their windows decide which start elsewhere earlier.
+   the same bytes are one context; all its occurrences but the first are repeats
+   as a whole. Those that follow one in the same text are told where the text is,
+   so a context meets others once per document only. The contexts of an anchor
+   that has several are put through a suffix array, whose symbols are short blocks
+   aligned at the anchor; suffixes with enough common symbols give the candidates,
+   and the bytes of their windows decide which start elsewhere earlier. An anchor
+   with more than ``HOT`` contexts (a run of blanks) would be too much for a task:
+   its contexts are taken apart into windows, which are grouped by digest.
 4. The intervals of each document are united and cut out of its text.
 
-Whole contexts are told apart by 64-bit hashes together with their anchor's.
+Whole texts are told apart by SHA-256, contexts and windows of hot anchors by
+128-bit digests, all others by their bytes.
 Defined cases: a null text is empty; rows of one doc_id are one document, so their equal
 starts are not earlier than each other; null doc_ids come after all others; texts
-shorter than the window lose nothing; other columns are ignored.
+shorter than the window lose nothing; other columns are ignored. A long text is taken
+in segments, which needs about six bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import Stage, read
-from gridloom.llm.textkernel import _VALUES, _powers, mix, text_slices
+from gridloom.llm._common import Stage, read, skewed_join
+from gridloom.llm.textkernel import Sent, eights, mix, text_slices
 
 WINDOW = 100
 #: Bytes of text handled at once.
@@ -48,6 +52,11 @@ GRAM = 32
 #: Anchor keys of a bucket, about; runs of a bucket of windows, about.
 BUCKET_KEYS = 500_000
 BUCKET_RUNS = 20_000
+#: Contexts of an anchor that go through one suffix array at most; beyond, their windows are grouped one by one.
+HOT = 20_000
+#: Windows whose anchors are found at once; a place among them and the anchor's width fits ``PLACE`` bits.
+SEGMENT = 1 << 21
+PLACE = 22
 #: Bytes of a symbol of the suffix array.
 BLOCK = 8
 #: Bytes of row marks that may be broadcast; more are joined by a shuffle.
@@ -176,83 +185,97 @@ def repeats_by_suffix_array(texts: list[tuple[int, bytes]], window: int = WINDOW
     return [united(r) for r in removed]
 
 
+def grams_of(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes from each place on."""
+    count = max(0, len(data) - GRAM + 1)
+    eight = eights(data)
+    h = np.full(count, 0x5851F42D4C957F2D, np.uint64)
+    for at in range(0, GRAM, 8):
+        h = mix(h ^ eight[at : at + count])
+    return h
+
+
+def anchors_of(data: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the anchor of each of the first windows of ``data``.
+
+    Hashes are compared in their upper bits, the same number of them everywhere,
+    and then by place: the choice depends on the window's bytes alone.
+    """
+    grams = grams_of(data)
+    count, width = len(grams), WINDOW - GRAM + 1
+    low = np.uint64(PLACE)
+    padded = np.full(-(-count // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:count] = grams >> low << low | np.arange(count, dtype=np.uint64)
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows])
+    anchor = (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    return anchor, grams[anchor]
+
+
 class Runs:
-    """Runs of windows with one anchor: start of the first window, of the last, place and hash of the anchor."""
+    """Runs of windows with one anchor: start of the first window, of the last, place and key of the anchor."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n = len(data)
         self.data, self.offsets = data, offsets
-        up, self.down = _powers(n + 1)
-        with np.errstate(over="ignore"):
-            self.total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUES[data] * up[:n], out=self.total[1:])
-        count = max(0, n - GRAM + 1)
-        grams = self.span_hash(np.arange(count), np.arange(count) + GRAM)
-        bits = np.uint64(max(1, int(count).bit_length()))
-        value = grams >> bits << bits | np.arange(count, dtype=np.uint64)
-        width = WINDOW - GRAM + 1
-        windows = max(0, count - width + 1)
-        if windows:
-            padded = np.full(-(-count // width) * width, np.iinfo(np.uint64).max, np.uint64)
-            padded[:count] = value
-            blocks = padded.reshape(-1, width)
-            ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-            back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-            least = np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows])
-            anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        else:
-            anchor = np.zeros(0, np.int64)
-        place = np.arange(windows)
-        of_text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
-        inside = place + WINDOW <= offsets[1:][of_text] if windows else np.zeros(0, bool)
-        place, anchor, of_text = place[inside], anchor[inside], of_text[inside]
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (of_text[1:] != of_text[:-1])) if len(place) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        self.low, self.anchor, self.text = place[at], anchor[at], of_text[at]
-        self.high = place[np.append(at[1:], len(place)) - 1] if len(at) else place[:0]
-        self.key = grams[self.anchor]
-
-    def span_hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.total[high] - self.total[low]) * self.down[low] + (high - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        parts = []
+        for first in range(0, max(0, len(data) - WINDOW + 1), SEGMENT):
+            windows = min(SEGMENT, len(data) - WINDOW + 1 - first)
+            place = first + np.arange(windows)
+            anchor, key = anchors_of(data[first : first + windows + WINDOW - 1], windows)
+            text = np.searchsorted(offsets, place, "right") - 1 if len(offsets) > 2 else np.zeros(windows, np.int64)
+            inside = place + WINDOW <= offsets[1:][text]
+            place, anchor, key, text = place[inside], anchor[inside] + first, key[inside], text[inside]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))[: len(place)]
+            at = np.flatnonzero(new)
+            last = place[np.append(at[1:], len(place)) - 1] if len(at) else at
+            # anchors are least hashes: mixed again, their keys are spread evenly
+            parts.append((place[at], last, anchor[at], text[at], mix(key[at])))
+        none = np.zeros(0, np.int64)
+        self.low, self.high, self.anchor, self.text, self.key = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, none, none, none.astype(np.uint64))
 
 
 def send_anchors(buckets: int):
-    """Rows (bucket, unit, keys, run numbers), and one row (unit, row keys, runs of each row)."""
+    """Rows (bucket, unit, keys, run numbers), a row (unit, run numbers) of keys known to be shared, and one row (unit, row keys and documents, runs of each row)."""
     bits = buckets.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = TaskContext.get().partitionId() << 24
+        unit, sent = TaskContext.get().partitionId() << 24, Sent()
         for batch in batches:
-            for low, high, data, offsets in text_slices(batch, span=SLICE):
+            for low, high, data, offsets in text_slices(batch, batch.schema.get_field_index("text"), SLICE):
                 unit += 1
                 runs = Runs(data, offsets)
-                order = np.argsort(runs.key)
+                order = np.argsort(runs.key, kind="stable")
                 keys, own = runs.key[order], order.astype(np.uint32)
+                ask = sent.split(keys)
+                shared = own[~ask].tobytes()
+                keys, own = keys[ask], own[ask]
                 bounds = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(buckets + 1, dtype=np.uint64))
                 short = (keys >> np.uint64(32 - bits)).astype(np.uint32)
                 filled = np.flatnonzero(np.diff(bounds)).tolist()
-                head = batch.column(0).slice(low, high - low).to_numpy().astype(np.int64).tobytes()
+                head = np.stack([batch.column(c).slice(low, high - low).to_numpy().astype(np.int64) for c in ("row_key", "doc")]).tobytes()
                 counts = np.bincount(runs.text, minlength=high - low).astype(np.int32).tobytes()
-                first = [short[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [head]
-                second = [own[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [counts]
-                bucket = [*filled, unit % buckets]
-                columns = [pa.array(bucket, pa.int32()), pa.array([unit] * len(bucket), pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array([False] * len(filled) + [True])]
+                first = [short[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [None, head]
+                second = [own[bounds[b] : bounds[b + 1]].tobytes() for b in filled] + [shared, counts]
+                bucket = [*filled, unit % buckets, unit % buckets]
+                columns = [pa.array(bucket, pa.int32()), pa.array([unit] * len(bucket), pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array([False] * (len(filled) + 1) + [True])]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "unit", "keys", "owners", "head"])
 
     return run
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each unit the numbers of runs whose key occurs twice. A head passes through."""
+    """Of a bucket: for each unit the numbers of runs whose key occurs twice. Heads and runs of shared keys pass through."""
     rows = table.select(["unit", "keys", "owners", "head"]).to_pylist()
-    out = [r for r in rows if r["head"]]
-    rows = [r for r in rows if not r["head"]]
+    out = [r for r in rows if r["head"] or r["keys"] is None]
+    rows = [r for r in rows if not r["head"] and r["keys"] is not None]
     if rows:
         parts = [np.frombuffer(r["keys"], np.uint32) for r in rows]
         keys = np.concatenate(parts)
         found = np.sort(keys)
-        twice = np.unique(found[1:][found[1:] == found[:-1]])
+        equal = found[1:][found[1:] == found[:-1]]
+        twice = equal[np.append(True, equal[1:] != equal[:-1])[: len(equal)]]
         if len(twice):
             at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
             hit = np.flatnonzero(twice[at] == keys)
@@ -265,16 +288,20 @@ def shared_anchors(table: pa.Table) -> pa.Table:
 
 
 def marks_of_unit(table: pa.Table) -> pa.Table:
-    """(m_key, marks): for each row the numbers of its runs with a shared anchor."""
+    """(m_key, m_doc, marks): for each row the numbers of its runs with a shared anchor."""
     rows = table.select(["keys", "owners", "head"]).to_pylist()
     head = next(r for r in rows if r["head"])
-    keys, counts = np.frombuffer(head["keys"], np.int64), np.frombuffer(head["owners"], np.int32).astype(np.int64)
+    (keys, docs), counts = np.frombuffer(head["keys"], np.int64).reshape(2, -1), np.frombuffer(head["owners"], np.int32).astype(np.int64)
     runs = np.sort(np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["owners"], np.uint32) for r in rows if not r["head"]]]).astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(counts)])
     bounds = np.searchsorted(runs, starts)
     picked = [i for i in range(len(keys)) if bounds[i + 1] > bounds[i]]
     marks = [(runs[bounds[i] : bounds[i + 1]] - starts[i]).astype(np.uint32).tobytes() for i in picked]
-    return pa.table({"m_key": pa.array(keys[picked], pa.int64()), "marks": pa.array(marks, pa.binary())})
+    return pa.table({"m_key": pa.array(keys[picked], pa.int64()), "m_doc": pa.array(docs[picked], pa.int64()), "marks": pa.array(marks, pa.binary())})
+
+
+def digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=16).digest()
 
 
 def emit_contexts(with_bytes: bool):
@@ -284,33 +311,48 @@ def emit_contexts(with_bytes: bool):
         for batch in batches:
             marks = batch.column("marks").to_pylist()
             docs, keys = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
-            for low, high, data, offsets in text_slices(batch, span=SLICE):
+            for low, high, data, offsets in text_slices(batch, batch.schema.get_field_index("text"), SLICE):
                 runs = Runs(data, offsets)
                 starts = np.searchsorted(runs.text, np.arange(high - low))
                 pick = np.concatenate([np.frombuffer(marks[low + i], np.uint32).astype(np.int64) + starts[i] for i in range(high - low)])
                 a, b, text = runs.low[pick], runs.high[pick] + WINDOW, runs.text[pick]
                 lead = runs.anchor[pick] - a
+                raw = data.tobytes()
                 out = {"key": runs.key[pick].view(np.int64), "doc": docs[low + text], "row_key": keys[low + text], "low": a - offsets[text]}
                 if with_bytes:
-                    raw = data.tobytes()
                     out |= {"lead": lead.astype(np.int32), "bytes": pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())}
                 else:
-                    with np.errstate(over="ignore"):
-                        context = mix(runs.span_hash(a, b) + mix(lead.astype(np.uint64) + np.uint64(77)) + mix(runs.key[pick]))
+                    context = [digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                     # a context that the same text had before is a repeat already
-                    order = np.lexsort((a, context, text))
+                    half = np.frombuffer(b"".join(context), np.uint64).reshape(-1, 2).T
+                    order = np.lexsort((a, half[1], half[0], text))
                     known = np.zeros(len(pick), bool)
-                    known[order[1:]] = (context[order][1:] == context[order][:-1]) & (text[order][1:] == text[order][:-1])
-                    out |= {"known": known, "context": context.view(np.int64), "windows": (b - a - WINDOW + 1).astype(np.int32), "run": (pick - starts[text]).astype(np.int32)}
+                    known[order[1:]] = (half[:, order[1:]] == half[:, order[:-1]]).all(0) & (text[order[1:]] == text[order[:-1]])
+                    out |= {"known": known, "context": pa.array(context, pa.binary()), "windows": (b - a - WINDOW + 1).astype(np.int32), "run": (pick - starts[text]).astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=[*out])
 
     return run
 
 
-def packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of contexts with their bytes: digest, document, start in it, row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1000):
+            part = batch.slice(first, 1000)
+            raw = part.column("bytes").to_pylist()
+            count = np.array([len(r) - WINDOW + 1 for r in raw], np.int64)
+            own = np.repeat(np.arange(len(raw)), count)
+            start = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            digests = [digest(r[k : k + WINDOW]) for r, n in zip(raw, count.tolist(), strict=True) for k in range(n)]
+            columns = [pa.array(digests, pa.binary())] + [pa.array(part.column(c).to_numpy()[own] + (start if c == "low" else 0)) for c in ("doc", "low", "row_key")]
+            yield pa.RecordBatch.from_arrays(columns, names=["window", "doc", "low", "row_key"])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run numbers of a row as one string of bytes."""
     for batch in batches:
-        marks = [np.sort(np.array(v, np.uint32)).tobytes() for v in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["m_key", "marks"])
+        marks = [np.sort(np.array(v, np.uint32)).tobytes() for v in batch.column("runs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("hot"), batch.column("row_key"), batch.column("doc"), pa.array(marks, pa.binary())], names=["hot", "m_key", "m_doc", "marks"])
 
 
 def equal_aligned(contexts: list[bytes], leads: list[int], window: int = WINDOW) -> Iterator[list[tuple[int, int]]]:
@@ -349,10 +391,10 @@ def equal_aligned(contexts: list[bytes], leads: list[int], window: int = WINDOW)
 
 
 def repeated_windows(table: pa.Table) -> pa.Table:
-    """Of a bucket of contexts: intervals (row_key, low, high) of windows that start earlier elsewhere."""
+    """Of a bucket of contexts: intervals (row_key, doc, low, high) of windows that start earlier elsewhere."""
     table = table.sort_by("key")
     keys, doc, row, low, lead, raw = (table.column(k).to_pylist() for k in ("key", "doc", "row_key", "low", "lead", "bytes"))
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     start = 0
     for stop in range(1, len(keys) + 1):
         if stop < len(keys) and keys[stop] == keys[start]:
@@ -364,10 +406,10 @@ def repeated_windows(table: pa.Table) -> pa.Table:
             for d, at, k in places:
                 if (d, at) != first:
                     later.setdefault(k, []).append((at, at + WINDOW))
-        out += [(row[k], a, b) for k, found in later.items() for a, b in united(found)]
+        out += [(row[k], doc[k], a, b) for k, found in later.items() for a, b in united(found)]
         start = stop
-    columns = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("i_key", "low", "high"), columns, strict=True)})
+    columns = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("i_key", "i_doc", "low", "high"), columns, strict=True)})
 
 
 def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +418,7 @@ def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            lists = part.column(1)
+            lists = part.column(2)
             flat = lists.flatten()
             low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -386,7 +428,7 @@ def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, end = low[a:b][order], np.maximum.accumulate(high[a:b][order])
                 cut = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
                 out.append([{"low": x, "high": y} for x, y in zip(start[cut].tolist(), end[np.append(cut[1:], len(start)) - 1].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["i_key", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["i_key", "i_doc", "spans"])
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,52 +448,75 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(stage_rows: DataFrame, texts: DataFrame, key: str, size: str, how: str) -> DataFrame:
+    """``texts`` joined on row_key and doc with a written table of rows, by broadcast if that is small."""
     total = stage_rows.agg(F.sum(F.expr(size))).first()[0] or 0
     small = F.broadcast(stage_rows) if total <= BROADCAST_BYTES else stage_rows
-    return texts.join(small, F.col("row_key") == F.col(key), how)
+    return texts.join(small, (F.col("row_key") == F.col(f"{key}_key")) & (F.col("doc") == F.col(f"{key}_doc")), how)
+
+
+def later_ones(stage: Stage, places: DataFrame, key: str) -> DataFrame:
+    """``places`` (doc, low, ...) with ``again``: whether the key has an earlier place. A key's rows need not meet in one task."""
+    first = places.groupBy(F.col(key).alias("p_key")).agg(F.min(F.struct("doc", "low")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = stage.write(first)
+    told = skewed_join(places, first, (key, "p_key"), "rows", places.count())
+    out = stage.write(told.withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low"))).drop("first"))
+    stage.drop(first)
+    return out
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     stage = Stage(spark, "suffix-dedup")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    rows = rows.withColumns({"row_key": F.xxhash64("doc_id", "text"), "doc": F.coalesce("doc_id", F.lit(LAST))})
+    rows = rows.withColumns({"row_key": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit(LAST))})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size * 2 / (WINDOW - GRAM + 2) / BUCKET_KEYS)))))
     texts = rows.where(F.octet_length("text") >= WINDOW)
     # a text that an earlier document has as a whole is all repeats
-    named = texts.select("doc", "row_key", F.md5(F.col("text").cast("binary")).alias("same"), F.octet_length("text").cast("long").alias("bytes"))
-    least = named.groupBy("same").agg(F.min("doc").alias("first")).withColumnRenamed("same", "l_same")
-    copies = stage.write(named.join(least, F.col("same") == F.col("l_same")).where("doc > first").select(F.col("row_key").alias("c_key"), "bytes").distinct())
-    texts = _joined(copies.select("c_key"), texts, "c_key", "32", "left_anti")
-    sent = texts.select("row_key", "text").mapInArrow(send_anchors(buckets), "bucket int, unit long, keys binary, owners binary, head boolean")
+    named = stage.write(texts.select("doc", "row_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("same"), F.octet_length("text").cast("long").alias("bytes")))
+    least = stage.write(named.groupBy(F.col("same").alias("l_same")).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    copies = skewed_join(named, least, ("same", "l_same"), "rows", named.count()).where("doc > first")
+    copies = stage.write(copies.select(F.col("row_key").alias("c_key"), F.col("doc").alias("c_doc"), "bytes").distinct())
+    stage.drop(named)
+    stage.drop(least)
+    texts = _joined(copies.select("c_key", "c_doc"), texts, "c", "32", "left_anti")
+    sent = texts.select("row_key", "doc", "text").mapInArrow(send_anchors(buckets), "bucket int, unit long, keys binary, owners binary, head boolean")
     shared = sent.groupBy("bucket").applyInArrow(shared_anchors, "unit long, keys binary, owners binary, head boolean")
-    marks = stage.write(shared.groupBy("unit").applyInArrow(marks_of_unit, "m_key long, marks binary").dropDuplicates(["m_key"]))
-    marked = _joined(marks, texts, "m_key", "length(marks) + 40", "inner")
+    marks = stage.write(shared.groupBy("unit").applyInArrow(marks_of_unit, "m_key long, m_doc long, marks binary").dropDuplicates(["m_key", "m_doc"]))
+    marked = _joined(marks, texts, "m", "length(marks) + 40", "inner")
     where = "key long, doc long, row_key long, low long, "
-    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "known boolean, context long, windows int, run int"))
+    contexts = stage.write(marked.select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(False), where + "known boolean, context binary, windows int, run int"))
     # every occurrence of a context but the first is a repeat
-    first = F.first(F.struct("doc", "low")).over(W.partitionBy("context").orderBy("doc", "low"))
-    placed = contexts.where("NOT known").withColumn("first", first).withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low")))
-    placed = stage.write(placed.select("key", "context", "row_key", "low", "windows", "run", "again"))
-    whole = placed.where("again").select("row_key", "low", "windows").unionByName(contexts.where("known").select("row_key", "low", "windows"))
-    whole = whole.select(F.col("row_key").alias("i_key"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
-    whole = whole.unionByName(copies.select(F.col("c_key").alias("i_key"), F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
+    placed = later_ones(stage, contexts.where("NOT known"), "context")
+    span = ["row_key", "doc", "low", "windows"]
+    whole = placed.where("again").select(*span).unionByName(contexts.where("known").select(*span))
+    whole = whole.select(F.col("row_key").alias("i_key"), F.col("doc").alias("i_doc"), "low", (F.col("low") + F.col("windows") - 1 + WINDOW).alias("high"))
+    whole = whole.unionByName(copies.select(F.col("c_key").alias("i_key"), F.col("c_doc").alias("i_doc"), F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")))
     # bytes of the first occurrences of contexts whose anchor has several
-    own = W.partitionBy("key")
-    firsts = placed.where("NOT again").select("key", "context", "row_key", "run")
-    firsts = firsts.withColumns({"c1": F.min("context").over(own), "c2": F.max("context").over(own)}).where("c1 <> c2")
+    firsts = placed.where("NOT again").select("key", "row_key", "doc", "run")
+    several = stage.write(firsts.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    firsts = skewed_join(firsts, several.withColumn("hot", F.col("rows") > HOT), ("key", "s_key"), "rows", contexts.count())
     # dealt out before they are gathered: what a row costs then does not depend on the number of tasks
-    named = firsts.select("row_key", "run").repartition("row_key").groupBy("row_key").agg(F.collect_set("run").alias("runs"))
-    again = stage.write(named.mapInArrow(packed_runs, "m_key long, marks binary"))
-    bytes_of = _joined(again, texts, "m_key", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
-    number = again.agg(F.sum(F.length("marks") / 4)).first()[0] or 0
-    parts = max(1, -(-int(number) // BUCKET_RUNS))
-    split = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, low long, high long")
-    intervals = whole.unionByName(split).repartition("i_key")
-    spans = intervals.groupBy("i_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    spans = stage.write(spans.mapInArrow(unite, "i_key long, spans array<struct<low:long,high:long>>"))
-    out = _joined(spans, rows, "i_key", "16 * size(spans) + 40", "left")
+    named = firsts.select("row_key", "doc", "run", "hot").repartition("row_key").groupBy("row_key", "doc", "hot").agg(F.collect_set("run").alias("runs"))
+    again = stage.write(named.mapInArrow(packed, "hot boolean, m_key long, m_doc long, marks binary"))
+    intervals = whole
+    for hot in (False, True):
+        own = again.where(F.col("hot") == hot).drop("hot")
+        number = own.agg(F.sum(F.length("marks") / 4)).first()[0] or 0
+        if not number:
+            continue
+        bytes_of = _joined(own, texts, "m", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
+        if hot:
+            windows = stage.write(bytes_of.mapInArrow(emit_windows, "window binary, doc long, low long, row_key long"))
+            found = later_ones(stage, windows, "window").where("again").select(F.col("row_key").alias("i_key"), F.col("doc").alias("i_doc"), "low", (F.col("low") + WINDOW).alias("high"))
+        else:
+            parts = max(1, -(-int(number) // BUCKET_RUNS))
+            found = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, i_doc long, low long, high long")
+        intervals = intervals.unionByName(found)
+    spans = intervals.repartition("i_key").groupBy("i_key", "i_doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = stage.write(spans.mapInArrow(unite, "i_key long, i_doc long, spans array<struct<low:long,high:long>>"))
+    stage.keep(spans)
+    out = _joined(spans, rows, "i", "16 * size(spans) + 40", "left")
     return out.select("doc_id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -81,3 +81,45 @@ def test_empty(spark):
     assert sd.remove_repeats(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(1, None, None, "s", 1, 2, "d")], SCHEMA)
     assert [tuple(r)[:4] for r in sd.remove_repeats(spark, docs).collect()] == [(1, 0, 0, 0)]
+
+
+def removed(spark, data, parts=3):
+    docs = spark.createDataFrame([(d, t, None, "s", 1, 2, "d") for d, t in data], SCHEMA).repartition(parts)
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(spark, docs).collect())
+
+
+def test_hot_anchors_and_shuffled_ways(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 2)
+    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(sd, "BUCKET_KEYS", 50)
+    monkeypatch.setattr("gridloom.llm._common.HEAVY", 3)
+    rng = random.Random(5)
+    blank = ["".join(rng.choices("abc", k=40)) + " " * rng.randint(60, 300) + "".join(rng.choices("abc", k=40)) for _ in range(60)]
+    data = corpus(4) + [(1000 + i, t) for i, t in enumerate(blank)]
+    assert removed(spark, data) == brute(data)
+
+
+def test_long_texts_are_taken_in_segments(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(700)
+    data = [(i, text(rng.randint(900, 3000)) + passage + text(500) + passage[100:400]) for i in range(12)]
+    whole = removed(spark, data)
+    assert whole == brute(data)
+    low, place = [], []
+    for segment in (1 << 21, 256, 300):
+        monkeypatch.setattr(sd, "SEGMENT", segment)
+        b = data[0][1].encode()
+        runs = sd.Runs(sd.np.frombuffer(b, sd.np.uint8), sd.np.array([0, len(b)]))
+        of = sd.np.repeat(runs.anchor, runs.high - runs.low + 1)
+        low.append(len(of))
+        place.append(of.tolist())
+    assert low == [len(b) - 99] * 3 and place[0] == place[1] == place[2]
+
+
+def test_keys_are_spread(spark):
+    rng = random.Random(7)
+    b = "".join(rng.choices("abcdefgh ", k=200_000)).encode()
+    runs = sd.Runs(sd.np.frombuffer(b, sd.np.uint8), sd.np.array([0, len(b)]))
+    counts = sd.np.bincount((runs.key >> sd.np.uint64(60)).astype(int), minlength=16)
+    assert counts.max() < 1.3 * counts.mean()
