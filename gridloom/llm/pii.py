@@ -63,6 +63,8 @@ WORDS, WINDOW = 3, 64
 #: A value that is a seed though it is of no base kind: long hexadecimal strings and keys.
 SEED = r"^((?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}|AKIA[0-9A-Z]{16})$"
 ROUNDS = 4
+#: Bytes of the added spans that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Weight of the doubt against a pattern or shape, in occurrences.
 DOUBT = 2.0
 PATTERN_LEAST = 0.6
@@ -180,9 +182,15 @@ def find(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     on = (F.col("key") == F.col("b_key")) & (F.col("separator") == F.col("b_separator")) & (F.col("shape") == F.col("b_shape"))
     told = found.join(best, on, "left_semi")
     added = told.groupBy("text_key").agg(F.collect_set(F.struct("low", F.lit(5).alias("rank"), "high")).alias("added")).withColumnRenamed("text_key", "a_key")
-    # rows without pairs have a key of their own, so that they are dealt out evenly
-    own = F.coalesce("text_key", F.concat(F.lit("~"), F.xxhash64("t", "keep_0").cast("string")))
-    out = with_base(keyed).withColumn("text_key", own).join(added, F.col("text_key") == F.col("a_key"), "left").drop("a_key", "text_key")
+    added = stage.write(added)
+    stage.keep(added)
+    size = added.agg(F.sum(12 * F.size("added") + 60)).first()[0] or 0
+    out, own = with_base(keyed), F.col("text_key")
+    if size <= BROADCAST_BYTES:
+        added = F.broadcast(added)
+    else:  # rows without pairs get a key of their own, so that they are dealt out evenly
+        own = F.coalesce("text_key", F.concat(F.lit("~"), F.xxhash64("t", "keep_0").cast("string")))
+    out = out.withColumn("text_key", own).join(added, F.col("text_key") == F.col("a_key"), "left").drop("a_key", "text_key")
     out = out.withColumn("base", F.expr("array_sort(concat(email, ip, card, phone))"))
     # sorted by start, base spans first: a new one stays unless a base span that starts before it ends behind it
     ranked = "array_sort(concat(transform(base, x -> struct(x.low AS low, 0 AS new, x.rank AS rank, x.high AS high)), transform(concat(keys, coalesce(added, " + _NONE + ")), x -> struct(x.low AS low, 1 AS new, x.rank AS rank, x.high AS high))))"

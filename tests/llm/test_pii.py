@@ -188,3 +188,12 @@ def test_redaction_joins_overlapping_spans(spark):
                 out += texts[r.doc_id][at:low] + f"[{kind}]"
             at = max(at, high)
         assert r.text == out + texts[r.doc_id][at:]
+
+
+def test_added_spans_beyond_the_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [f"some words password={''.join(rng.choices('0123456789abcdef', k=18))}a1 more" for _ in range(30)] + ["plain words", None]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "b", 0) for i, t in enumerate(data)], SCHEMA)
+    near = sorted(map(tuple, pii.report(spark, docs).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, pii.report(spark, docs).collect())) == near and any("secret" in r[-1] for r in near)
