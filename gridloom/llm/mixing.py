@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from gridloom.llm._common import Stage, read
 
@@ -110,7 +111,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP, s
     """The mixed corpus: each row of ``docs`` as often as it was sampled, with its own columns.
 
     Copies are assigned to documents by (doc_id, source, size); rows that repeat
-    in all three share their copies evenly, in their order of arrival at a key.
+    in all three share their copies evenly, in the order of a digest of the text
+    and a hash of the other columns, so that reruns agree.
     """
     taken = sample(spark, docs, weights, cap, seed)
     chosen = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("m_copies"), F.count(F.lit(1)).alias("m_rows"))
@@ -124,7 +126,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP, s
     own = [keyed[c] for c in docs.columns]
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
     single = found.where("m_rows = 1").select(*own, times(F.col("m_copies")).alias("m_copy"))
-    nth = F.row_number().over(W.partitionBy("m_doc", "m_source", "m_size").orderBy("m_words"))
+    others = [docs[f.name] for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (MapType, VariantType))]
+    order = (F.md5(docs["text"].cast("binary")), F.xxhash64(*others))
+    nth = F.row_number().over(W.partitionBy("m_doc", "m_source", "m_size").orderBy(*order))
     share = F.floor((F.col("m_copies") * F.col("m_nth")) / F.col("m_rows")) - F.floor((F.col("m_copies") * (F.col("m_nth") - 1)) / F.col("m_rows"))
     several = found.where("m_rows > 1").withColumn("m_nth", nth).withColumn("m_times", share).where("m_times > 0").select(*own, times(F.col("m_times")).alias("m_copy"))
     return single.unionByName(several).drop("m_copy") if len(set(docs.columns)) == len(docs.columns) else single.union(several).drop("m_copy")

@@ -85,3 +85,10 @@ def test_order_does_not_depend_on_the_block(spark, monkeypatch):
     want = taken()
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
     assert taken() == want
+
+
+def test_mix_is_repeatable_for_repeated_keys(spark):
+    rows = [(i % 4, f"{chr(97 + i % 26)}{i} w", f"l{i}", "s0" if i % 2 else "s1", i) for i in range(160)] + [(9, "z " * 400, None, "s2", 1)]
+    docs = lambda n: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+    one, two = (sorted(map(str, mixing.mix(spark, docs(n)).collect())) for n in (1, 7))
+    assert one == two and len(one) != len(rows)
