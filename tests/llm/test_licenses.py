@@ -88,3 +88,25 @@ def test_wrapped_and_hyphenated_notices_are_tried(spark):
         if i < len(data) - 1:
             assert set(filter(None, first.split(","))) <= set(got[i][0].split(",")), (repr(t), first)
     assert got[len(data) - 1] == ("mit", 0.95)
+
+
+def test_every_sentence_finds_its_rule(spark):
+    table = licenses.rules()
+    assert len(licenses.NOTICES) + len(licenses.NAMED) + len(licenses.LICENSES) >= 250
+    plain = lambda body: re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"[()?:]|s:[.]\{[^}]*\}", "", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)[?]?", r"\1", body.replace("(?s:.{0,120})", " x ").replace("(?s:.{0,160})", " x ").replace("(?s:.{0,80})", " x ").replace("(?s:.{0,60})", " x "))))
+    bodies = [(r[0], plain(r[1])) for r in (*licenses.NOTICES, *licenses.NAMED) if "{2}" not in r[1]]
+    data = [j.join(b.split()) for _, b in bodies for j in (" ", "\n// ")]
+    docs = spark.createDataFrame([(i, t, None, None, 1, 1, "s") for i, t in enumerate(data)], SCHEMA)
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan(docs).collect()}
+    free = [r | {"keyword": [""]} for r in table]
+    for i, t in enumerate(data):
+        own, confidence = labels(t, free)
+        assert own, t
+        assert own <= got[i][0] and got[i][1] >= confidence, t
+
+
+def test_many_mentions_in_one_text(spark):
+    text = "under the MIT License and the Apache License 2.0, " * 8000
+    docs = spark.createDataFrame([(1, text, None, None, 1, 1, "s")], SCHEMA)
+    r = licenses.scan(docs).collect()[0]
+    assert r.labels == "apache-2.0,mit" and len(r.detections) == 16_000
