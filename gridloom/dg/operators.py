@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from gridloom.dg.basis import legendre, nodes, project, wavelet_matrix
+from gridloom.dg.solve import Factors
 from gridloom.dg.spec import FLUX, Dim, Partial, Problem, Term
 
 
@@ -198,12 +199,38 @@ def apply_rows(factors: list[list[np.ndarray]], dofs: np.ndarray, x: np.ndarray,
 class Operators:
     """One-dimensional matrices of all terms at a time, applied to state vectors of an element set."""
 
+    _last: Operators | None = None
+
     def __init__(self, problem: Problem, elements: Elements, t: float = 0.0, flag: str | None = None):
         self.problem, self.elements = problem, elements
         self.dofs = elements.dofs(problem.degree)
         terms = [x for x in problem.terms if flag is None or x.flag in ("both", flag)]
         self.factors = [[chain(c, d, t) for c, d in zip(x.chains, problem.dims, strict=True)] for x in terms]
 
+    @staticmethod
+    def cached(problem: Problem, elements: Elements, t: float) -> Operators:
+        """The operators of the last call, if problem and elements are the same and no coefficient depends on time."""
+        last = Operators._last
+        if last is None or last.problem is not problem or last.elements is not elements or last.depends and last.t != t:
+            last = Operators._last = Operators(problem, elements, t)
+            last.t, last.depends = t, problem.depends_on_time()
+            last.factored = {}
+        return last
+
+    def factors_of(self, dt: float) -> Factors:
+        """LU factors of the implicit step's matrix, made once for a step size."""
+        if dt not in self.factored:
+            self.factored = {dt: Factors(np.eye(len(self.dofs)) - dt * self.matrix())}
+        return self.factored[dt]
+
+    def memory(self, limit: int) -> dict:
+        """Bytes of matrices, indices and vectors, and in how many calls the rows go through within ``limit``."""
+        matrices = sum(f.nbytes for factors in self.factors for f in factors)
+        vectors, row = 3 * 8 * len(self.dofs), 2 * 8 * len(self.dofs)
+        rows = max(1, (limit - matrices - self.dofs.nbytes - vectors) // row)
+        calls = -(-len(self.dofs) // rows)
+        return {"matrices": matrices, "indices": self.dofs.nbytes, "vectors": vectors, "rows_of_a_call": int(min(rows, len(self.dofs))), "calls": int(calls)}
+
     def matrix(self) -> np.ndarray:
         """Dense system matrix; for small sets only."""
         out = np.zeros((len(self.dofs), len(self.dofs)))

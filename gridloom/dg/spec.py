@@ -107,6 +107,23 @@ class Problem:
             raise ValueError("one flag per term, at least one of them on")
         return replace(self, terms=tuple(t for t, on in zip(self.terms, mask, strict=True) if on))
 
+    def along(self, d: int = 0) -> Problem:
+        """The problem in one of its dimensions alone, as moments need it."""
+        one = lambda parts: (parts[d],)
+        terms = tuple(replace(t, chains=one(t.chains)) for t in self.terms)
+        sources = tuple(replace(s, functions=one(s.functions)) for s in self.sources)
+        return replace(self, dims=one(self.dims), terms=terms, initial=tuple(one(f) for f in self.initial), sources=sources, exact=None)
+
+    def depends_on_time(self) -> bool:
+        """Whether a coefficient differs between times, at some points of its dimension."""
+        for t in self.terms:
+            for dim, parts in zip(self.dims, t.chains, strict=True):
+                x = dim.low + (dim.high - dim.low) * np.array([0.11, 0.37, 0.52, 0.83])
+                for p in parts:
+                    if p.g is not None and len({np.asarray(p.g(x, at), float).tobytes() for at in (0.0, 0.3, 1.7)}) > 1:
+                        return True
+        return False
+
     def step(self, cfl: float = 0.01, dt: float | None = None) -> float:
         return dt if dt is not None else self.step_rule(self.dims[0]) * cfl
 

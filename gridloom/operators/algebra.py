@@ -73,3 +73,19 @@ def kron(a: DataFrame, b: DataFrame, b_rows: int, b_cols: int) -> DataFrame:
     small = b.agg(F.collect_list(F.struct("row", "col", "v")).alias("block"))
     both = a.join(F.broadcast(small)).withColumn("e", F.explode("block"))
     return both.select((F.col("row") * b_rows + F.col("e.row")).alias("row"), (F.col("col") * b_cols + F.col("e.col")).alias("col"), (F.col("v") * F.col("e.v")).alias("v"))
+
+
+def batched_gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(batch, row, col, v) = alpha A B of each batch: one equi-join on batch and inner index for all the small products."""
+    right = b.select(F.col("batch").alias("b_batch"), F.col("row").alias("b_row"), F.col("col").alias("b_col"), F.col("v").alias("b_v"))
+    joined = a.join(right, (F.col("batch") == F.col("b_batch")) & (F.col("col") == F.col("b_row")))
+    return joined.groupBy("batch", "row", F.col("b_col").alias("col")).agg((F.sum(F.col("v") * F.col("b_v")) * alpha).alias("v"))
+
+
+def batched_chain(matrices: list[DataFrame], x: DataFrame) -> DataFrame:
+    """(batch, i, v): matrices (batch, row, col, v) applied to the vectors (batch, i, v) of their batch, the last one first."""
+    for m in reversed(matrices):
+        vector = x.select(F.col("batch").alias("x_batch"), F.col("i").alias("x_i"), F.col("v").alias("x_v"))
+        joined = m.join(vector, (F.col("batch") == F.col("x_batch")) & (F.col("col") == F.col("x_i")))
+        x = joined.groupBy("batch", F.col("row").alias("i")).agg(F.sum(F.col("v") * F.col("x_v")).alias("v"))
+    return x

@@ -50,6 +50,17 @@ def kind(row: str, col: str):
     return F.when(F.col(row) == F.col(col), "diag").when(nested | (a < 2), "volume").otherwise("edge")
 
 
+def is_connected(l_a, c_a, l_b, c_b):
+    """Whether two cells of a periodic dimension are connected, as an expression of their levels and cells."""
+    low, high = F.least(l_a, l_b), F.greatest(l_a, l_b)
+    coarse, fine = F.when(l_a <= l_b, c_a).otherwise(c_b), F.when(l_a <= l_b, c_b).otherwise(c_a)
+    scale = pow2(high - low)
+    start, end = coarse * scale, (coarse + 1) * scale
+    last = pow2(high - 1)
+    ends = ((start == 0) & (fine + 1 == last)) | ((end == last) & (fine == 0))
+    return (low <= 1) | ((fine <= end) & (fine + 1 >= start)) | ends
+
+
 def connected_elements(elements: DataFrame, edges: DataFrame, d: int) -> DataFrame:
     """Pairs (row, col) of element positions that are connected in every dimension.
 

@@ -172,6 +172,16 @@ def connectivity(spark, sf):
     return C.edges_1d(spark, 6)
 
 
+@query("d02_connected_cells", edges_sql(5) + """, every AS (SELECT a.i AS row, b.i AS col FROM generate_series(0, 31) a(i), generate_series(0, 31) b(i))
+SELECT x.row::BIGINT AS row, x.col::BIGINT AS col, e.row IS NOT NULL AS connected FROM every x LEFT JOIN (SELECT DISTINCT row, col FROM edges) e ON e.row = x.row AND e.col = x.col""")
+def connected_cells(spark, sf):
+    """The predicate on every pair of 32 cells."""
+    cells = C.cells_1d(spark, 5)
+    pairs = cells.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    l_b, c_b = S.level_of(F.col("col")), S.cell_of(F.col("col"))
+    return pairs.select(F.col("idx").alias("row"), "col", C.is_connected(F.col("l"), F.col("c"), l_b, c_b).alias("connected"))
+
+
 @query("c23_dof_connectivity", edges_sql(4) + " SELECT row * 3 + p AS row, col * 3 + q AS col FROM edges, generate_series(0, 2) a(p), generate_series(0, 2) b(q)")
 def dof_connectivity(spark, sf):
     three = F.sequence(F.lit(0), F.lit(2))

@@ -458,3 +458,44 @@ def windowed(spark, sf):
     from gridloom.streaming.timers import per_window
 
     return per_window(read(spark, sf, "events"))
+
+
+SQUARES = """m AS (SELECT vec_id AS batch, (i - 1) // 8 AS row, (i - 1) % 8 AS col, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) g(i))"""
+
+
+def squares(spark, sf):
+    """Each vector of 64 as an 8 by 8 matrix: (batch, row, col, v)."""
+    return vectors(spark, sf).select(F.col("vec").alias("batch"), F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), "v")
+
+
+@query("j12_batched_gemm", f"WITH {SQUARES} SELECT a.batch, a.row::BIGINT AS row, b.col::BIGINT AS col, round(sum(a.v * b.v), 9) + 0.0 AS v FROM m a JOIN m b ON a.batch = b.batch AND a.col = b.row GROUP BY ALL")
+def batched_products(spark, sf):
+    """Every vector's matrix times itself."""
+    m = squares(spark, sf)
+    return L.batched_gemm(m, m).withColumn("v", F.round("v", 9) + 0.0)
+
+
+@query("j11_batched_chain", f"WITH {SQUARES}, one AS (SELECT batch, row, sum(v) AS v FROM m GROUP BY ALL), two AS (SELECT m.batch, m.row, sum(m.v * one.v) AS v FROM m JOIN one ON m.batch = one.batch AND m.col = one.row GROUP BY ALL) SELECT batch, row::BIGINT AS i, round(v, 9) + 0.0 AS v FROM two")
+def batched_chains(spark, sf):
+    """Every vector's matrix applied twice to a vector of ones."""
+    m = squares(spark, sf)
+    ones = m.where("row = 0").select("batch", F.col("col").alias("i"), F.lit(1.0).alias("v"))
+    return L.batched_chain([m, m], ones).withColumn("v", F.round("v", 9) + 0.0)
+
+
+@query("j06_cell_projection", """WITH c AS (SELECT i, -1 + i / 16.0::DOUBLE AS a, -1 + (i + 1) / 16.0::DOUBLE AS b, 1 / 16.0::DOUBLE AS h FROM generate_series(0, 31) g(i))
+SELECT i::BIGINT AS cell, 0 AS degree, round((sin(pi() * b) - sin(pi() * a)) / (pi() * sqrt(h)), 9) + 0.0 AS v FROM c
+UNION ALL SELECT i::BIGINT, 1, round(sqrt(3 / h) * 2 / h * ((b - a) / 2 * (sin(pi() * b) + sin(pi() * a)) / pi() + (cos(pi() * b) - cos(pi() * a)) / (pi() * pi())), 9) + 0.0 FROM c""")
+def cell_projection(spark, sf):
+    """cos(pi x) on the Legendre basis of each cell of level 5, by ten nodes a cell and a sum."""
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(10)
+    node = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(x, w, strict=True)]))
+    h = 1 / 16
+    rows = spark.range(32).select(F.col("id").alias("cell"), node.alias("q"))
+    at = F.lit(-1.0) + (F.col("cell") + (F.col("q.x") + 1) / 2) * h
+    rows = rows.select("cell", F.col("q.x").alias("r"), (F.cos(at * np.pi) * F.col("q.w") * h / 2 / h**0.5).alias("f"))
+    basis = F.explode(F.array(F.struct(F.lit(0).alias("degree"), F.lit(1.0).alias("p")), F.struct(F.lit(1).alias("degree"), (F.col("r") * 3**0.5).alias("p"))))
+    rows = rows.select("cell", "f", basis.alias("b"))
+    return rows.groupBy("cell", F.col("b.degree").alias("degree")).agg((F.round(F.sum(F.col("f") * F.col("b.p")), 9) + 0.0).alias("v"))

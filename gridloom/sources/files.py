@@ -55,7 +55,19 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, i long, v double")
 
 
+def number(v):
+    """Up to 12 significant digits; zeros go from the end of the mantissa only."""
+    long = F.format_string("%.12g", v)
+    short = F.regexp_replace(F.regexp_replace(long, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(long.contains("."), short).otherwise(long)
+
+
 def dump_rows(matrix: DataFrame, path: str) -> None:
     """One text line per matrix row, numbers apart by blanks with 12 digits."""
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: F.regexp_replace(F.format_string("%.12g", x["v"]), r"\.?0+$", "")), " ")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: number(x["v"])), " ")
     matrix.groupBy("row").agg(line.alias("value")).orderBy("row").select("value").write.text(path)
+
+
+def dump_vector(vector: DataFrame, path: str) -> None:
+    """One line with all numbers of a vector (i, v)."""
+    dump_rows(vector.select(F.lit(0).alias("row"), F.col("i").alias("col"), "v"), path)

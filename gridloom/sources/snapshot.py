@@ -19,10 +19,11 @@ def write(spark: SparkSession, path: str, run: str, step: int, time: float, dt:
     p, size = state.problem, state.problem.degree ** len(state.problem.dims)
     head = [(run, step, p.name, p.degree, dt, time, len(p.dims), len(state.x), json.dumps([d.level for d in p.dims]), json.dumps(extra or {}))]
     schema = "run string, step int, pde string, degree int, dt double, time double, ndims int, dof long, levels string, extra string"
-    spark.createDataFrame(head, schema).write.mode("append").partitionBy("run", "step").parquet(f"{path}/header")
     rows = pd.DataFrame({"run": run, "step": step, "pos": np.arange(len(state.elements)), "lev": state.elements.levels.tolist(), "cell": state.elements.cells.tolist(), "seg": state.x.reshape(-1, size).tolist()})
     frame = spark.createDataFrame(rows, "run string, step int, pos long, lev array<int>, cell array<int>, seg array<double>")
-    frame.write.mode("append").partitionBy("run", "step").parquet(f"{path}/elements")
+    # a step that is written again replaces what an attempt before it left; the header comes last and makes it valid
+    for part, name in ((frame, "elements"), (spark.createDataFrame(head, schema), "header")):
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "step").parquet(f"{path}/{name}")
 
 
 def header(spark: SparkSession, path: str, run: str, step: int | None = None) -> dict:

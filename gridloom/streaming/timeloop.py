@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.dg import stepping
@@ -12,17 +14,20 @@ def advance(spark: SparkSession, path: str, run: str, steps: DataFrame, name: st
     """Streaming query: the number of rows of a micro-batch is the number of steps taken.
 
     The state between batches is the last snapshot, so a query that is started
-    again goes on where the last one ended.
+    again goes on where the last one ended. A snapshot names its micro-batch, and
+    a batch that is replayed after a failure is not taken twice.
     """
     from gridloom.dg.problems import problem
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         count = rows.count()
         if not count:
             return
         try:
             state, head = snapshot.read(spark, path, run)
             first = head["step"] + 1
+            if json.loads(head["extra"]).get("batch", -1) >= number:
+                return
         except Exception as e:  # noqa: BLE001  nothing written yet
             if "PATH_NOT_FOUND" not in str(e) and not isinstance(e, IndexError):
                 raise
@@ -30,6 +35,6 @@ def advance(spark: SparkSession, path: str, run: str, steps: DataFrame, name: st
         dt = state.problem.step(cfl)
         for i, t, after in stepping.run(state.problem, first + count, cfl=cfl, start=state, first=first):
             state, last, time = after, i, t
-        snapshot.write(spark, path, run, last, time, dt, state)
+        snapshot.write(spark, path, run, last, time, dt, state, {"batch": number})
 
     return steps.writeStream.foreachBatch(batch)

@@ -6,7 +6,7 @@ import pytest
 
 from gridloom.dg import basis, operators, stepping
 from gridloom.dg.problems import BUILDERS, problem
-from gridloom.dg.solve import gmres, poisson, tridiagonal
+from gridloom.dg.solve import Factors, gmres, poisson, tridiagonal
 from gridloom.dg.spec import Options, Partial
 from gridloom.operators import connect
 from gridloom.sources import files, snapshot
@@ -278,3 +278,106 @@ def test_kinetic_problems_are_described_and_restarted(spark, tmp_path):
     again, _ = snapshot.read(spark, f"{tmp_path}/k", "r")
     *_, (_, _, got) = kinetic.run(k, 1, 6.25e-3, state=again)
     assert np.array_equal(got.x, want.x)
+
+
+def test_distributed_steps_equal_the_drivers(spark):
+    from gridloom.dg import distributed
+
+    for name, implicit, options in (("continuity_2", False, {}), ("diffusion_1", True, {"dt": 1e-3})):
+        p = problem(name, 3, 2)
+        for (_, _, far), (_, _, near) in zip(distributed.run(spark, p, 2, implicit=implicit, **options), stepping.run(p, 2, implicit=implicit, **options), strict=True):
+            want = {tuple(d): v for d, v in zip(near.elements.dofs(p.degree).tolist(), near.x, strict=True)}
+            got = {tuple(r)[:-1]: r.v for r in far.collect()}
+            assert set(got) <= set(want)
+            scale = max(map(abs, want.values()))
+            assert all(abs(got.get(k, 0.0) - v) < 1e-9 * scale for k, v in want.items())
+
+
+def test_distributed_steps_refuse_boundaries(spark):
+    from gridloom.dg import distributed
+
+    refused = [n for n in BUILDERS if any(q.left_values is not None or q.right_values is not None for t in problem(n).terms for c in t.chains for q in c)]
+    for name in refused[:1]:
+        with pytest.raises(ValueError, match="boundaries"):
+            distributed.Steps(spark, problem(name, 2, 2))
+
+
+def test_factors_solve_again():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(30, 30))
+    f = Factors(a)
+    b = rng.normal(size=(30, 4))
+    np.testing.assert_allclose(a @ f.solve(b), b, atol=1e-10)
+    np.testing.assert_allclose(f.inverse() @ a, np.eye(30), atol=1e-10)
+    np.testing.assert_allclose(f.determinant(), np.linalg.det(a), rtol=1e-10)
+    with pytest.raises(np.linalg.LinAlgError):
+        Factors(np.zeros((3, 3)))
+
+
+def test_operators_are_kept_while_nothing_changes(monkeypatch):
+    made = []
+    real = operators.Operators.__init__
+    monkeypatch.setattr(operators.Operators, "__init__", lambda self, *a, **k: (made.append(1), real(self, *a, **k))[1])
+    p = problem("diffusion_2", 2, 2)
+    direct = [s.x for _, _, s in stepping.run(p, 3, implicit=True)]
+    assert len(made) == 1 and not p.depends_on_time()
+    dense = [s.x for _, _, s in stepping.run(p, 3, implicit=True, solver="gmres_dense")]
+    np.testing.assert_allclose(direct[-1], dense[-1], atol=1e-10)
+
+
+def test_numbers_round_trip(spark, tmp_path):
+    values = [0.0, 1.0, -2.5, 100.0, 1e20, 1e-10, 1.5e-300, 1e300, 123456789012.0, 0.1, -3e-5, 1e5, 1e12, 10.0, 120.0, 1.25e15]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    files.dump_vector(frame, f"{tmp_path}/vector")
+    text = "".join(spark.read.text(f"{tmp_path}/vector").toPandas()["value"]).split()
+    assert [float(x) for x in text] == values and text[:6] == ["0", "1", "-2.5", "100", "1e+20", "1e-10"]
+
+
+def test_replayed_batches_are_not_taken_twice(spark, tmp_path):
+    path, source = f"{tmp_path}/snap", f"{tmp_path}/in"
+    spark.createDataFrame([(1,), (2,)], "n int").write.parquet(source)
+    rows = spark.read.parquet(source)
+    handler = []
+
+    class Writer:
+        def foreachBatch(self, f):  # noqa: N802
+            handler.append(f)
+
+    class Steps:
+        writeStream = Writer()  # noqa: N815
+
+    advance(spark, path, "r", Steps(), "diffusion_1", levels=3, degree=2)
+    for number in (0, 0, 1, 1):
+        handler[0](rows, number)
+        handler[0](rows, number)
+    state, head = snapshot.read(spark, path, "r")
+    assert head["step"] == 3
+    for _, _, want in stepping.run(problem("diffusion_1", 3, 2), 4):
+        pass
+    np.testing.assert_allclose(state.x, want.x, atol=1e-13)
+    snapshot.write(spark, path, "r", 3, head["time"], head["dt"], state, {"batch": 1})  # an attempt that is made again
+    assert len(snapshot.read(spark, path, "r")[0].x) == len(state.x)
+
+
+def test_plots(spark, tmp_path):
+    from gridloom.dg import plots
+
+    p = problem("continuity_2", 4, 3)
+    state = stepping.initial(p)
+    for _, _, state in stepping.run(p, 1):
+        pass
+    values = plots.realspace(spark, state).toPandas()
+    d = p.dims
+    want = p.exact_time(p.step()) * p.exact[0](values["x1"].to_numpy(), p.step()) * p.exact[1](values["x2"].to_numpy(), p.step())
+    assert np.abs(values["v"].to_numpy() - want).max() < 0.05 * np.abs(want).max()
+    planes = plots.middle_planes(plots.realspace(spark, state), p)
+    assert list(planes) == [("x1", "x2")] and plots.element_centres(spark, state).count() == len(state.elements)
+    snapshot.write(spark, f"{tmp_path}/s", "r", 0, p.step(), p.step(), state)
+    seen = plots.view(spark, f"{tmp_path}/s", "r").toPandas()
+    np.testing.assert_allclose(seen["v"], values["v"], atol=1e-13)
+    assert len(d) == 2
+
+
+def test_first_dimension_alone():
+    p = problem("continuity_3").along(1)
+    assert len(p.dims) == 1 and all(len(t.chains) == 1 for t in p.terms) and p.initial
