@@ -11,6 +11,7 @@ state is checkpointed, so that the plan of a step does not grow with their numbe
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.dg.basis import project
-from gridloom.dg.operators import chain, mass_matrix
+from gridloom.dg.operators import boundary_parts, chain, mass_matrix
 from gridloom.dg.spec import Problem
 from gridloom.functions.scalar import index_1d
 from gridloom.operators.connect import kron_apply
@@ -57,18 +58,25 @@ def matrix_rows(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"row": row, "col": col, "v": matrix[row, col]}), "row long, col long, v double")
 
 
-def separable_rows(spark: SparkSession, problem: Problem, dofs: DataFrame, functions, t: float, factor: float = 1.0) -> DataFrame:
-    """(i1..id, v) of a product of one-dimensional functions: a join with one small vector per dimension."""
+def product_rows(spark: SparkSession, problem: Problem, dofs: DataFrame, vectors: list[np.ndarray], factor: float = 1.0) -> DataFrame:
+    """(i1..id, v) of a product of one-dimensional vectors: a join with one small table per dimension."""
     out, value = dofs, F.lit(float(factor))
-    for k, (dim, f) in enumerate(zip(problem.dims, functions, strict=True), 1):
-        v = project(lambda x, f=f: f(x, t), dim.degree, dim.level, dim.low, dim.high, dim.jacobian)
-        v = v if dim.jacobian is None else np.linalg.solve(mass_matrix(dim), v)
+    for k, v in enumerate(vectors, 1):
         small = spark.createDataFrame(pd.DataFrame({f"s{k}": np.arange(len(v)), f"f{k}": v}), f"s{k} long, f{k} double")
         out = out.join(F.broadcast(small), F.col(f"i{k}") == F.col(f"s{k}")).drop(f"s{k}")
         value = value * F.col(f"f{k}")
     return out.withColumn("v", value).select(*keys(problem), "v")
 
 
+def separable_rows(spark: SparkSession, problem: Problem, dofs: DataFrame, functions, t: float, factor: float = 1.0) -> DataFrame:
+    """(i1..id, v) of a product of one-dimensional functions."""
+    vectors = []
+    for dim, f in zip(problem.dims, functions, strict=True):
+        v = project(lambda x, f=f: f(x, t), dim.degree, dim.level, dim.low, dim.high, dim.jacobian)
+        vectors.append(v if dim.jacobian is None else np.linalg.solve(mass_matrix(dim), v))
+    return product_rows(spark, problem, dofs, vectors, factor)
+
+
 def total(problem: Problem, parts: list[tuple[float, DataFrame]]) -> DataFrame:
     """Weighted sum of vectors, combined before the shuffle."""
     scaled = [p.select(*keys(problem), (F.col("v") * float(w)).alias("v")) for w, p in parts]
@@ -79,16 +87,18 @@ def total(problem: Problem, parts: list[tuple[float, DataFrame]]) -> DataFrame:
 
 
 class Steps:
-    """Operators, element set and sources of a problem without inhomogeneous boundaries, for steps of a state in long form."""
+    """Operators, element set, sources and boundaries of a problem, for steps of a state in long form."""
 
     def __init__(self, spark: SparkSession, problem: Problem):
-        for term in problem.terms:
-            for parts in term.chains:
-                if any(p.left_values is not None or p.right_values is not None for p in parts):
-                    raise ValueError("inhomogeneous boundaries take the driver's steps")
         self.spark, self.problem = spark, problem
         self.dofs = settled(dof_table(spark, problem))
-        self.terms = [[matrix_rows(spark, chain(c, d, 0.0)) for c, d in zip(t.chains, problem.dims, strict=True)] for t in problem.terms]
+        self.at(0.0)
+
+    def at(self, t: float) -> None:
+        """Builds the one-dimensional matrices for a time, unless those that are there hold for it too."""
+        if not hasattr(self, "terms") or self.problem.depends_on_time() and t != self.time:
+            self.time = t
+            self.terms = [[matrix_rows(self.spark, chain(c, d, t)) for c, d in zip(x.chains, self.problem.dims, strict=True)] for x in self.problem.terms]
 
     def initial(self) -> DataFrame:
         p = self.problem
@@ -100,41 +110,52 @@ class Steps:
         out = [(1.0, kron_apply(state, factors, d).select(*keys(self.problem), "v")) for factors in self.terms]
         return total(self.problem, out).join(self.dofs, keys(self.problem), "left_semi")
 
-    def slope(self, state: DataFrame, t: float) -> DataFrame:
+    def forcing(self, t: float, factor: float = 1.0) -> list[tuple[float, DataFrame]]:
+        """Sources and boundary contributions at a time, times a factor."""
         p = self.problem
-        parts = [(1.0, self.apply(state))] + [(s.time(t), separable_rows(self.spark, p, self.dofs, s.functions, t)) for s in p.sources]
-        return total(p, parts)
+        sources = [(factor * s.time(t), separable_rows(self.spark, p, self.dofs, s.functions, t)) for s in p.sources]
+        return sources + [(factor * w, product_rows(self.spark, p, self.dofs, v)) for w, v in boundary_parts(p, t)]
+
+    def slope(self, state: DataFrame, t: float) -> DataFrame:
+        return total(self.problem, [(1.0, self.apply(state)), *self.forcing(t)])
 
     def explicit(self, state: DataFrame, t: float, dt: float) -> DataFrame:
-        """Third-order Runge-Kutta."""
+        """Third-order Runge-Kutta, with the matrices of the step's start."""
         p = self.problem
+        self.at(t)
         k1 = settled(self.slope(state, t))
         k2 = settled(self.slope(total(p, [(1.0, state), (0.5 * dt, k1)]), t + 0.5 * dt))
         k3 = self.slope(total(p, [(1.0, state), (-dt, k1), (2 * dt, k2)]), t + dt)
         return settled(total(p, [(1.0, state), (dt / 6, k1), (2 * dt / 3, k2), (dt / 6, k3)]))
 
-    def dot(self, a: DataFrame, b: DataFrame) -> float:
-        """Inner product; one number comes to the driver."""
-        other = b.withColumnRenamed("v", "w")
-        return a.join(other, keys(self.problem)).agg(F.sum(F.col("v") * F.col("w"))).first()[0] or 0.0
+    def dots(self, a: DataFrame, others: list[DataFrame]) -> np.ndarray:
+        """Inner products of a vector with several in one job; one number of each comes to the driver."""
+        every = [b.select(*keys(self.problem), F.col("v").alias("w"), F.lit(i).alias("other")) for i, b in enumerate(others)]
+        found = a.join(reduce(DataFrame.unionByName, every), keys(self.problem)).groupBy("other").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+        out = np.zeros(len(others))
+        for r in found.collect():
+            out[r["other"]] = r["dot"]
+        return out
+
+    def norm(self, a: DataFrame) -> float:
+        return float(np.sqrt(a.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0))
 
     def implicit(self, state: DataFrame, t: float, dt: float, tolerance: float = 1e-10, most: int = 40) -> DataFrame:
         """Backward Euler by GMRES without a matrix: the basis vectors stay in the folder, only their inner products come here."""
         p = self.problem
-        sources = [(dt * s.time(t + dt), separable_rows(self.spark, p, self.dofs, s.functions, t + dt)) for s in p.sources]
-        b = settled(total(p, [(1.0, state), *sources]))
+        self.at(t)
+        b = settled(total(p, [(1.0, state), *self.forcing(t + dt, dt)]))
         system = lambda v: total(p, [(1.0, v), (-dt, self.apply(v))])
         r = settled(total(p, [(1.0, b), (-1.0, system(state))]))
-        beta, scale = np.sqrt(self.dot(r, r)), np.sqrt(self.dot(b, b)) or 1.0
+        beta, scale = self.norm(r), self.norm(b) or 1.0
         if beta <= tolerance * scale:
             return state
         basis, h = [settled(total(p, [(1 / beta, r)]))], np.zeros((most + 1, most))
         for j in range(most):
             w = settled(system(basis[j]))
-            for i, q in enumerate(basis):
-                h[i, j] = self.dot(w, q)
+            h[: j + 1, j] = self.dots(w, basis)
             w = settled(total(p, [(1.0, w), *[(-h[i, j], q) for i, q in enumerate(basis)]]))
-            h[j + 1, j] = np.sqrt(self.dot(w, w))
+            h[j + 1, j] = self.norm(w)
             rhs = np.zeros(j + 2)
             rhs[0] = beta
             y, *_ = np.linalg.lstsq(h[: j + 2, : j + 1], rhs, rcond=None)

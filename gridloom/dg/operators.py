@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -266,10 +267,8 @@ def trace_vector(p: Partial, dim: Dim, side: str, value: float, t: float) -> np.
     return wavelet_matrix(dim.degree, dim.level) @ out.ravel()
 
 
-def boundary(problem: Problem, elements: Elements, t: float) -> np.ndarray:
-    """Sum of all inhomogeneous boundary contributions at a time."""
-    dofs = elements.dofs(problem.degree)
-    out = np.zeros(len(dofs))
+def boundary_parts(problem: Problem, t: float) -> Iterator[tuple[float, list[np.ndarray]]]:
+    """(factor, one vector per dimension) of each inhomogeneous boundary contribution at a time."""
     for term in problem.terms:
         for d, parts in enumerate(term.chains):
             for k, p in enumerate(parts):
@@ -289,7 +288,15 @@ def boundary(problem: Problem, elements: Elements, t: float) -> np.ndarray:
                             v = v if dim.jacobian is None else np.linalg.solve(mass_matrix(dim), v)
                             v = chain(term.chains[e][: k + 1], dim, t) @ v
                         vectors.append(v)
-                    out += combine(vectors, dofs) * (factor(t) if factor is not None else t)
+                    yield (factor(t) if factor is not None else t), vectors
+
+
+def boundary(problem: Problem, elements: Elements, t: float) -> np.ndarray:
+    """Sum of all inhomogeneous boundary contributions at a time."""
+    dofs = elements.dofs(problem.degree)
+    out = np.zeros(len(dofs))
+    for factor, vectors in boundary_parts(problem, t):
+        out += combine(vectors, dofs) * factor
     return out
 
 
@@ -299,4 +306,4 @@ def leveled(problem: Problem, elements: Elements) -> Problem:
     return replace(problem, dims=tuple(replace(d, level=int(v)) for d, v in zip(problem.dims, top, strict=True)))
 
 
-__all__ = ["Elements", "Operators", "Term", "boundary", "chain", "coefficient", "combine", "leveled", "mass_matrix", "separable"]
+__all__ = ["Elements", "Operators", "Term", "boundary", "boundary_parts", "chain", "coefficient", "combine", "leveled", "mass_matrix", "separable"]

@@ -25,8 +25,8 @@ def realspace(spark: SparkSession, state: State) -> DataFrame:
     tensor = np.zeros(size)
     tensor[tuple(dofs.T)] = state.x
     for k, d in enumerate(dims):
-        tensor = np.moveaxis(np.tensordot(realspace_matrix(d.degree, d.level, d.low, d.high), tensor, axes=(1, k)), 0, k)
-    axes = [nodes(d.degree, d.level, d.low, d.high)[0].ravel() for d in dims]
+        tensor = np.moveaxis(np.tensordot(realspace_matrix(d.degree, d.level, d.low, d.high, d.degree), tensor, axes=(1, k)), 0, k)
+    axes = [nodes(d.degree, d.level, d.low, d.high, d.degree)[0].ravel() for d in dims]
     grid = np.meshgrid(*axes, indexing="ij")
     columns = {f"x{k + 1}": g.ravel() for k, g in enumerate(grid)}
     return spark.createDataFrame(pd.DataFrame({**columns, "v": tensor.ravel()}))

@@ -293,15 +293,6 @@ def test_distributed_steps_equal_the_drivers(spark):
             assert all(abs(got.get(k, 0.0) - v) < 1e-9 * scale for k, v in want.items())
 
 
-def test_distributed_steps_refuse_boundaries(spark):
-    from gridloom.dg import distributed
-
-    refused = [n for n in BUILDERS if any(q.left_values is not None or q.right_values is not None for t in problem(n).terms for c in t.chains for q in c)]
-    for name in refused[:1]:
-        with pytest.raises(ValueError, match="boundaries"):
-            distributed.Steps(spark, problem(name, 2, 2))
-
-
 def test_factors_solve_again():
     rng = np.random.default_rng(3)
     a = rng.normal(size=(30, 30))
@@ -362,7 +353,7 @@ def test_replayed_batches_are_not_taken_twice(spark, tmp_path):
 def test_plots(spark, tmp_path):
     from gridloom.dg import plots
 
-    p = problem("continuity_2", 4, 3)
+    p = problem("continuity_2", 5, 3)  # the projection itself is 2 % off here, 13 % at level 4
     state = stepping.initial(p)
     for _, _, state in stepping.run(p, 1):
         pass
