@@ -8,8 +8,10 @@ nearer to it, by a factor, than the vector itself. The adjacency lists of a
 vector's shards are united. Then each shard searches for its own vectors on the
 united graph: greedily from the shard's medoid and from the vector's own node to
 the nearest vectors, then expanding over all nodes within the range, a little
-beyond it so that a link is not lost behind a node just outside. Pairs found are
-verified by their cosine; a pair of several common shards counts in the first.
+beyond it so that a link is not lost behind a node just outside. Neighbours in the
+range that belong to other shards come along as the shard's fringe, with their own
+lists, so that the search crosses shards where links may. Pairs found are verified
+by their cosine; a link counts in the first of the vector's shards that hold the other.
 
 Vectors are drawn and compared with all rows, in blocks, until ``AUDIT`` of them
 have a few links; those with few and with many links are judged apart, as a mean
@@ -66,10 +68,10 @@ log = logging.getLogger(__name__)
 def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id, node (digest of the unit vector, null if there is none), unit vector as bytes."""
     for batch in batches:
-        nodes, units = [], []
-        for row in batch.column(1):
-            v = row.as_py()
-            x = np.array(v, np.float64) if v is not None and len(v) and None not in v else np.zeros(0)
+        nodes, units, column = [], [], batch.column(1)
+        flat, ends, given = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+        for i in range(len(column)):
+            x = flat[ends[i] : ends[i + 1]] if given[i] else np.zeros(0)  # null components are NaN here
             norm = np.sqrt((x * x).sum()) if len(x) and np.isfinite(x).all() else 0.0
             if norm > 0 and not np.isfinite(norm) or 0 < norm < 1e-150:  # squares overflow or vanish
                 x = x / np.abs(x).max()
@@ -102,7 +104,7 @@ def centroids(sample: list[np.ndarray], k: int, rounds: int = 8) -> np.ndarray:
 
 
 def assign(middle: dict[int, np.ndarray], overlap: int):
-    """Rows (shard, node, unit, size, shards): one for each of the nearest shards. Shards of different dimensions are apart."""
+    """Rows (node, unit, size, shards): the nearest shards in order. Shards of different dimensions are apart."""
     base, at = {}, 0
     for d in sorted(middle):
         base[d] = at
@@ -111,7 +113,7 @@ def assign(middle: dict[int, np.ndarray], overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = matrix(batch.column("unit"))
-            take, shard, lists = [], [], []
+            shards: list[list[int]] = [[]] * len(units)
             for d in {len(u) for u in units}:
                 rows = [i for i, u in enumerate(units) if len(u) == d]
                 if d in middle:
@@ -119,11 +121,9 @@ def assign(middle: dict[int, np.ndarray], overlap: int):
                 else:  # a length that the sample missed: one shard of its own
                     near = np.full((len(rows), 1), -d)
                 for i, own in zip(rows, near.tolist(), strict=True):
-                    take += [i] * len(own)
-                    shard += own
-                    lists += [sorted(own)] * len(own)
-            kept = batch.select(["node", "unit", "size", "audited"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *kept.columns, pa.array(lists, pa.list_(pa.int64()))], names=["shard", "node", "unit", "size", "audited", "shards"])
+                    shards[i] = sorted(own)
+            kept = batch.select(["node", "unit", "size"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shards, pa.list_(pa.int64()))], names=["node", "unit", "size", "shards"])
 
     return run
 
@@ -158,24 +158,30 @@ def nearest(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def build(table: pa.Table) -> pa.Table:
-    """(node, neighbours) of one shard, with reverse edges, pruned to ``DEGREE``."""
-    table = table.sort_by("node")
-    x, nodes = np.array(matrix(table.column("unit"))), table.column("node").to_pylist()
-    kept = robust_prune(x, nearest(x, CANDIDATES), DEGREE, ALPHA)
-    both: list[set[int]] = [set(k.tolist()) for k in kept]
-    for i, k in enumerate(kept):
-        for j in k.tolist():
-            both[j].add(i)
-    width = max(map(len, both), default=0)
-    if width > DEGREE:
-        ranked = np.full((len(both), width), -1)
-        for i, b in enumerate(both):
-            own = np.fromiter(b, int, len(b))
-            ranked[i, : len(own)] = own[np.lexsort((own, -(x[own] @ x[i])))]
-        again = robust_prune(x, ranked, DEGREE, 1.0)
-        both = [{*again[i].tolist(), *kept[i].tolist()} for i in range(len(both))]
-    return pa.table({"node": pa.array(nodes, pa.binary()), "neighbours": pa.array([[nodes[j] for j in sorted(b)] for b in both], pa.list_(pa.binary()))})
+def build(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """(node, neighbours, close) of one shard, with reverse edges, pruned to ``DEGREE``; close ones are within ``least``."""
+        table = table.sort_by("node")
+        x, nodes = np.array(matrix(table.column("unit"))), table.column("node").to_pylist()
+        kept = robust_prune(x, nearest(x, CANDIDATES), DEGREE, ALPHA)
+        both: list[set[int]] = [set(k.tolist()) for k in kept]
+        for i, k in enumerate(kept):
+            for j in k.tolist():
+                both[j].add(i)
+        width = max(map(len, both), default=0)
+        if width > DEGREE:
+            ranked = np.full((len(both), width), -1)
+            for i, b in enumerate(both):
+                own = np.fromiter(b, int, len(b))
+                ranked[i, : len(own)] = own[np.lexsort((own, -(x[own] @ x[i])))]
+            again = robust_prune(x, ranked, DEGREE, 1.0)
+            both = [{*again[i].tolist(), *kept[i].tolist()} for i in range(len(both))]
+        lists = [sorted(b) for b in both]
+        close = [[j for j, inside in zip(b, x[b] @ x[i] >= least, strict=True) if inside] if b else [] for i, b in enumerate(lists)]
+        named = [pa.array([[nodes[j] for j in b] for b in some], pa.list_(pa.binary())) for some in (lists, close)]
+        return pa.table({"node": pa.array(nodes, pa.binary()), "neighbours": named[0], "close": named[1]})
+
+    return run
 
 
 def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: int, beam: int) -> np.ndarray:
@@ -225,20 +231,27 @@ def expand(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndar
 
 def search(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Of one shard: (node, other, links): link counts per node, and the edges of a spanning forest."""
+        """Of one shard and its fringe: (node, other, links): link counts per node, and the edges of a spanning forest."""
         table = table.sort_by("node")
         x, nodes, shard = np.array(matrix(table.column("unit"))), table.column("node").to_pylist(), table.column("shard")[0].as_py()
         size = table.column("size").to_numpy()
-        shards = table.column("shards").to_pylist()
+        homes, fringes = table.column("shards").to_pylist(), table.column("fringe").to_pylist()
         at = {v: i for i, v in enumerate(nodes)}
         lists = [[at[v] for v in own or () if v in at] for own in table.column("neighbours").to_pylist()]
         links = np.full((len(nodes), max(1, max(map(len, lists)))), -1)
         for i, own in enumerate(lists):
             links[i, : len(own)] = own
-        # vectors of a same first common shard
-        width = max(map(len, shards))
-        member = np.array([s + [-1 << 60] * (width - len(s)) for s in shards])
-        medoid = int((x @ x.mean(0)).argmax())
+        members = np.array([i for i, own in enumerate(homes) if shard in own])
+        # of each member the shards before this one, and whether they hold a node
+        before = [[s for s in own if s < shard] if shard in own else [] for own in homes]
+        number = {s: k for k, s in enumerate(sorted({s for own in before for s in own}))}
+        held = np.zeros((len(nodes), len(number) + 1), bool)
+        for i, own in enumerate(homes):
+            held[i, [number[s] for s in {*own, *(fringes[i] or ())} if s in number]] = True
+        earlier = np.full((len(nodes), max(1, max(map(len, before)))), len(number))
+        for i, own in enumerate(before):
+            earlier[i, : len(own)] = [number[s] for s in own]
+        medoid = int(members[(x[members] @ x[members].mean(0)).argmax()])
         count, parent = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
 
         def root(i: int) -> int:
@@ -247,14 +260,13 @@ def search(threshold: float):
                 i = parent[i]
             return i
 
-        for low in range(0, len(nodes), 256):
-            queries = np.arange(low, min(low + 256, len(nodes)))
+        for low in range(0, len(members), 256):
+            queries = members[low : low + 256]
             q, node = expand(x, links, queries, greedy(x, links, queries, medoid, BEAM), threshold - SLACK)
             q = queries[q]
             good = (q != node) & (np.einsum("ij,ij->i", x[q], x[node]) >= threshold)
             q, node = q[good], node[good]
-            common = (member[q][:, :, None] == member[node][:, None, :]) & (member[q][:, :, None] > -1 << 60)
-            first = np.where(common.any(2), member[q], 1 << 60).min(1) == shard
+            first = ~held[node[:, None], earlier[q]].any(1)
             np.add.at(count, q[first], size[node[first]])
             for a, b in zip(q.tolist(), node.tolist(), strict=True):
                 ra, rb = root(a), root(b)
@@ -333,6 +345,16 @@ def measured(want: dict[bytes, int], had: dict[bytes, int], made: list[float]) -
     return min(parts, default=1.0)
 
 
+def with_fringe(dealt: DataFrame, graph: DataFrame) -> DataFrame:
+    """(shard, node, unit, size, shards, fringe, neighbours) of each shard's vectors and of the close neighbours that they have elsewhere."""
+    named = dealt.join(graph, F.col("node") == F.col("u_node"), "left")
+    edges = named.select(F.col("shards").alias("from"), F.explode("close").alias("c_node")).distinct()
+    away = edges.join(dealt.select("node", "shards"), F.col("c_node") == F.col("node")).select("c_node", F.explode(F.array_except("from", "shards")).alias("away"))
+    away = away.groupBy(F.col("c_node").alias("f_node")).agg(F.collect_set("away").alias("fringe"))
+    rows = named.join(away, F.col("node") == F.col("f_node"), "left").withColumn("fringe", F.coalesce("fringe", F.array().cast("array<long>")))
+    return rows.select(F.explode(F.concat("shards", "fringe")).alias("shard"), "node", "unit", "size", "shards", "fringe", "neighbours")
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) of each row, and the recall that the audit found."""
     stage = Stage(spark, "embedding-dedup")
@@ -351,20 +373,19 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         if width < most and measured(want, want, made) < RECALL:  # whatever the search finds
             width *= 2
             continue
-        schema = "shard long, node binary, unit binary, size long, audited boolean, shards array<long>"
-        named = classes.select("node", "unit", "size", F.lit(False).alias("audited"))
-        dealt = stage.write(named.mapInArrow(assign(middle, width), schema))
-        lists = dealt.select("shard", "node", "unit").groupBy("shard").applyInArrow(lambda t: build(t.select(["node", "unit"])), "node binary, neighbours array<binary>")
-        union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")).withColumnRenamed("node", "u_node")
-        graph = dealt.join(union, F.col("node") == F.col("u_node"), "left").select("shard", "node", "unit", "size", "shards", "neighbours")
-        searched = stage.write(graph.groupBy("shard").applyInArrow(search(threshold), "node binary, other binary, links long"))
+        dealt = stage.write(classes.select("node", "unit", "size").mapInArrow(assign(middle, width), "node binary, unit binary, size long, shards array<long>"))
+        lists = dealt.select(F.explode("shards").alias("shard"), "node", "unit").groupBy("shard")
+        lists = lists.applyInArrow(lambda t: build(threshold - SLACK)(t.select(["node", "unit"])), "node binary, neighbours array<binary>, close array<binary>")
+        united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("neighbours", "close")]
+        graph = stage.write(lists.groupBy(F.col("node").alias("u_node")).agg(*united))
+        searched = stage.write(with_fringe(dealt, graph).groupBy("shard").applyInArrow(search(threshold), "node binary, other binary, links long"))
         got = searched.where(F.col("other").isNull() & F.col("node").isin(list(want))).groupBy("node").agg(F.sum("links").alias("links")).collect()
         recall = measured(want, {bytes(r["node"]): r["links"] for r in got}, made)
         log.info("overlap %d: recall %.3f of %d linked vectors and %d made pairs", width, recall, len(want), len(made))
         if recall >= RECALL or width >= most:
             break
-        stage.drop(dealt)
-        stage.drop(searched)
+        for made_table in (dealt, graph, searched):
+            stage.drop(made_table)
         width *= 2
     if searched is None:
         return table.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), recall

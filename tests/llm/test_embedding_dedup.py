@@ -113,3 +113,37 @@ def test_no_linked_vector_is_no_evidence(spark, monkeypatch):
         monkeypatch.setattr(ed, name, value, raising=False)
     found, recall = found_pairs(spark, paired(1500, 15, 0, 64), 1500, 15)
     assert found >= 0.95 and recall >= ed.RECALL
+
+
+def test_the_search_crosses_shards(spark):
+    """Two vectors without a common shard, linked over neighbours that each shares a shard with; cut to the shard they are lost."""
+    angle = np.arange(4) * 0.3  # steps of cosine 0.955; two steps 0.825
+    x = np.vstack([np.stack([np.cos(angle), np.sin(angle), np.zeros(4)], 1), [[0.0, 0.0, 1.0]]])
+    shards = [[1], [1, 2], [2, 3], [3], [4]]
+    lists = [[1], [0, 2], [1, 3], [2], []]
+    name = lambda i: bytearray(i.to_bytes(16, "big"))
+    dealt = spark.createDataFrame([(name(i), bytearray(u.tobytes()), 1, s) for i, (u, s) in enumerate(zip(x, shards, strict=True))], "node binary, unit binary, size long, shards array<long>")
+    graph = spark.createDataFrame([(name(i), [name(j) for j in own], [name(j) for j in own]) for i, own in enumerate(lists)], "u_node binary, neighbours array<binary>, close array<binary>")
+    rows = ed.with_fringe(dealt, graph)
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r.shard, set()).add(int.from_bytes(r.node, "big"))
+    assert held == {1: {0, 1, 2}, 2: {0, 1, 2, 3}, 3: {1, 2, 3}, 4: {4}}
+    for threshold in (0.9, 0.8):
+        got = rows.groupBy("shard").applyInArrow(ed.search(threshold), "node binary, other binary, links long").collect()
+        count = dict.fromkeys(range(5), 0)
+        for r in got:
+            count[int.from_bytes(r.node, "big")] += r.links
+        assert list(count.values()) == ((x @ x.T >= threshold).sum(1) - 1).tolist()  # at 0.8 also of 0 and 2, which share no shard
+
+
+def test_many_small_shards_lose_few_links(spark, monkeypatch):
+    monkeypatch.setattr(ed, "SHARD", 25)
+    rng = np.random.default_rng(8)
+    x = np.vstack([c + rng.normal(size=(60, 24)) * 0.05 for c in rng.normal(size=(15, 24))])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    frame = spark.createDataFrame([(i, v, 1, "n", 1) for i, v in rows], SCHEMA).repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(spark, frame)[0].collect()}
+    want = brute([(i, np.float32(v).tolist()) for i, v in rows])
+    assert all(got[v][0] <= k for v, k, _ in want) and sum(k for k, _ in got.values()) >= 0.98 * sum(k for _, k, _ in want)
+    assert all(got[v][1] == c for v, _, c in want)
