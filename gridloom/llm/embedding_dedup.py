@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import Stage, read
+from gridloom.llm._common import Stage, read, skewed_join
 from gridloom.llm.components import components
 
 THRESHOLD = 0.9
@@ -394,8 +394,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     labels = labels.select(F.col("node").alias("l_node"), "component")
     full = classes.select("node", "size", "least").join(counts, F.col("node") == F.col("n_node"), "left").join(labels, F.col("node") == F.col("l_node"), "left")
     full = full.select("node", "size", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("group"))
-    smallest = full.groupBy("group").agg(F.min("least").alias("component_id")).withColumnRenamed("group", "g_group")
-    full = full.join(smallest, F.col("group") == F.col("g_group")).select(F.col("node").alias("f_node"), (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
+    full = stage.write(full)
+    smallest = stage.write(full.groupBy(F.col("group").alias("g_group")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("g_rows")))
+    full = skewed_join(full, smallest, ("group", "g_group"), "g_rows", n).select(F.col("node").alias("f_node"), (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
     out = table.join(full, F.col("node") == F.col("f_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
