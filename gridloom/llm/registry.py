@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from gridloom.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, packing, pii, prefix_trie, quality, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,13 +18,14 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op13_decontamination": decontamination.op13_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op1_ngram_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    found = {"op1_ngram_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_decontamination": decontamination.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
