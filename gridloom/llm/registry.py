@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, packing, pii, prefix_trie, quality, suffix_dedup, token_counts, toxicity
+from gridloom.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, packing, pii, prefix_trie, quality, suffix_dedup, token_alignment, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_decontamination": decontamination.op13_decontamination,
         "pipeline": corpus_pipeline.run,
     }
