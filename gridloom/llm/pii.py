@@ -13,8 +13,10 @@ strings that are keys by their shape); a pattern's confidence is the mean of its
 shapes', drawn to zero when its support is small; a shape's becomes the mean of
 its patterns'. A value is reported if its pattern and its shape end above the
 thresholds, whether or not it was a seed: so new identifiers are found by the
-company they keep. The graph has no texts in it, only keys, shapes and counts;
-values are written nowhere, only their hashes under a salt of the run.
+company they keep. Of a text nothing is written but places and shapes: words beside a
+value that are values themselves (with a digit or an @) become their shapes, and key
+words, values and texts are written as SHA-256 hashes under a secret of the run, which is
+never written. Only hashes, shapes and counts are in the graph.
 
 All expressions and joins of spans take time in proportion to the text (or n log
 n in its spans), and none recurses, so that any text goes through: runs of a
@@ -122,7 +124,8 @@ def pairs(docs: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame) -> DataFrame:
     """One row per value, side and number of words beside it, as of pairs(); separator is the side and the number."""
     found = docs.where("text_key IS NOT NULL AND (t RLIKE '[0-9]' OR contains(t, '@'))").select("text_key", F.explode(F.expr(spans("t", quoted(VALUE), around=WINDOW))).alias("x"))
-    clean = lambda x: f"split(regexp_replace(lower({x}), '[0-9]+', '9'), '[\\\\x20\\\\x09-\\\\x0D]+')"
+    words = lambda x: f"split(regexp_replace(lower({x}), '[0-9]+', '9'), '[\\\\x20\\\\x09-\\\\x0D]+')"
+    clean = lambda x: f"transform({words(x)}, w -> IF(w RLIKE '[9@]', left(regexp_replace(w, '[^9@.:-]+', 'a'), 8), w))"
     found = found.select("text_key", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.found").alias("value"), F.expr(clean("x.left")).alias("l"), F.expr(clean("x.right")).alias("r"))
     found = found.withColumns({"l": F.expr("IF(element_at(l, -1) = '', slice(l, 1, size(l) - 1), l)"), "r": F.expr("IF(r[0] = '', slice(r, 2, size(r)), r)")})
     sides = [f"named_struct('key', IF(size({c}) >= {n}, array_join(slice({c}, {-n if c == 'l' else 1}, {n}), ' '), ''), 'separator', '{side}{n}')" for c, side in (("l", "<"), ("r", ">")) for n in range(1, WORDS + 1)]
@@ -131,6 +134,11 @@ def contexts(docs: DataFrame) -> DataFrame:
     return found.select("text_key", "low", "high", "c.key", "c.separator", "value", F.concat("c.separator", "shape").alias("shape"), "seed")
 
 
+def hidden(text, secret: str):
+    """A hash of a text that tells nothing without the secret."""
+    return F.substring(F.sha2(F.concat(F.lit(secret), text).cast("binary"), 256), 1, 32)
+
+
 def shape(value):
     """Letters and digits by class, runs shortened: the value's form without its content."""
     s = F.when(value.rlike(r"^[0-9a-f]+$") & value.rlike("[0-9]") & value.rlike("[a-f]"), F.lit("hex"))
@@ -170,11 +178,11 @@ def confident_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row (as keep_0, ...), t, email, ip, card, phone (base spans), base and all (arrays of low, rank, high)."""
-    stage = Stage(spark, "pii")
+    stage, secret = Stage(spark, "pii"), uuid.uuid4().hex
     t = docs.select(*[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)], F.coalesce(docs["text"], F.lit("")).alias("t"))
-    keyed = t.withColumn("text_key", F.when(F.expr("contains(t, '=') OR contains(t, ':') OR contains(t, '@') OR t RLIKE '[0-9]'"), F.md5(F.col("t").cast("binary"))))
+    keyed = t.withColumn("text_key", F.when(F.expr("contains(t, '=') OR contains(t, ':') OR contains(t, '@') OR t RLIKE '[0-9]'"), hidden(F.col("t"), secret)))
     found = pairs(keyed.select("t", "text_key")).withColumns({"shape": shape(F.col("value")), "seed": seeds(F.col("value"))})
-    found = found.unionByName(contexts(keyed.select("t", "text_key"))).withColumn("value", F.xxhash64(F.lit(uuid.uuid4().hex), "value"))
+    found = found.unionByName(contexts(keyed.select("t", "text_key"))).withColumns({"value": hidden(F.col("value"), secret), "key": hidden(F.col("key"), secret)})
     found = stage.write(found)
     each = found.groupBy("key", "separator", "shape", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
     graph = stage.write(each.groupBy("key", "separator", "shape").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("values")))

@@ -197,3 +197,28 @@ def test_added_spans_beyond_the_broadcast(spark, monkeypatch):
     near = sorted(map(tuple, pii.report(spark, docs).collect()))
     monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, pii.report(spark, docs).collect())) == near and any("secret" in r[-1] for r in near)
+
+
+def test_nothing_of_a_text_is_written(spark, tmp_path, monkeypatch):
+    """Every file below the shared folder after both reports: no word of a text, no name, no value, no plain hash of one."""
+    import pyarrow.parquet as pq
+
+    from gridloom.llm import _common
+
+    people = [("alice.smith9@corp.example", "John", "Doe", "4111-1111-1111-1111"), ("bob@mail.example", "Zoë", "Quill", "4539 1488 0343 6467")]
+    texts = [f"Contact {mail} then {card} patient {first} {last} id AB{i}4417 passport no X{i}77120 password=hunter{i}2abc! {mail}" for i in range(20) for mail, first, last, card in people]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "b", 0) for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(_common.Stage, "drop", lambda self, df: None)  # what is deleted on the way is looked at as well
+    assert all(r.n_email == 2 and r.n_card == 1 for r in pii.report(spark, docs).collect())
+    assert not any("corp.example" in r.text or "4111" in r.text for r in pii.redact(spark, docs).collect())
+    files = list(tmp_path.rglob("*.parquet"))
+    assert len(files) >= 6
+    words = {w.lower() for t in texts for w in re.split(r"[\s=@.!]+", t) if len(w) > 2 and (len(w) > 9 or re.search("[^0-9a-f]", w.lower()))} | {t.lower() for t in texts}
+    plain = {h(x.encode()).hexdigest() for x in words for h in (hashlib.md5, hashlib.sha256)} | {h(x.encode()).hexdigest() for x in texts for h in (hashlib.md5, hashlib.sha256)}
+    for path in files:
+        table = pq.ParquetFile(path).read()
+        for name in table.column_names:
+            for v in table[name].to_pylist():
+                if isinstance(v, str):
+                    assert not any(w in v.lower() for w in words) and not any(h[:32] == v for h in plain), (name, v)
