@@ -92,6 +92,55 @@ def kron_apply(state: DataFrame, operators: list[DataFrame], d: int) -> DataFram
     return state
 
 
+def _direction(state: DataFrame, op: DataFrame, k: int, d: int, members: DataFrame | None) -> DataFrame:
+    """``op`` applied in dimension k; with ``members`` only rows of these are made."""
+    factor = op.select(F.col("row").alias("o_row"), F.col("col").alias("o_col"), F.col("v").alias("o_v"))
+    joined = state.join(factor, F.col(f"i{k}") == F.col("o_col"))
+    keys = {f"i{j}": F.col("o_row") if j == k else F.col(f"i{j}") for j in range(1, d + 1)}
+    made = joined.select(*[c.alias(n) for n, c in keys.items()], (F.col("v") * F.col("o_v")).alias("v"))
+    if members is not None:
+        own = members.select(*[F.col(f"i{j}").alias(f"m{j}") for j in range(1, d + 1)])
+        made = made.join(own, [F.col(f"i{j}") == F.col(f"m{j}") for j in range(1, d + 1)], "left_semi")
+    return made.groupBy(*keys).agg(F.sum("v").alias("v"))
+
+
+def split_upper_lower(op: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries towards the same or a coarser level, and those towards a finer one."""
+    coarser = level_of(F.col("row")) <= level_of(F.col("col"))
+    return op.where(coarser), op.where(~coarser)
+
+
+def directional_apply(state: DataFrame, operators: list[DataFrame], d: int, members: DataFrame) -> DataFrame:
+    """(A_1 x ... x A_d) x on ``members``, in unidirectional passes that never leave the set.
+
+    ``members`` (i1..id) must hold, with an element, all elements of the same or coarser
+    levels in each dimension, and ``state`` must be on it. In each dimension but the
+    first the operator is split: what leads to the same or a coarser level ("upper") stays
+    in the set and is applied first, what leads to a finer one ("lower") is applied
+    last and cut to the set, where nothing that is cut could lead back. So each of the
+    2**(d-1) orders is exact, and its intermediates are at most as large as the set;
+    applying whole operators one after the other lets them grow to the tensor grid.
+    """
+    parts = {k: split_upper_lower(op) for k, op in enumerate(operators, 1)}
+    found: list[DataFrame] = []
+
+    def order(k: int, x: DataFrame, later: list[int]) -> None:
+        if k == 1:
+            x = _direction(x, operators[0], 1, d, members)
+            for j in later:
+                x = _direction(x, parts[j][1], j, d, members)
+            found.append(x)
+            return
+        order(k - 1, _direction(x, parts[k][0], k, d, None), later)
+        order(k - 1, x, [k, *later])
+
+    order(d, state.select(*[f"i{j}" for j in range(1, d + 1)], "v"), [])
+    both = found[0]
+    for x in found[1:]:
+        both = both.unionByName(x)
+    return both.groupBy(*[f"i{j}" for j in range(1, d + 1)]).agg(F.sum("v").alias("v"))
+
+
 def ancestor_completion(spark: SparkSession, indices: DataFrame, d: int, levels: int) -> DataFrame:
     """Indices to be added so that with an index all its ancestors in each dimension are there.
 
