@@ -16,6 +16,8 @@ from gridloom.operators import multiwave as M
 from gridloom.operators import tridiagonal as T
 from gridloom.plans.grid_queries import query
 from gridloom.plans.table_queries import read
+from gridloom.sources.scratch import Scratch
+from gridloom.streaming import evolution as E
 
 #: Columns of lineitem with their ranges.
 RANGES = {"l_quantity": (0.0, 51.0), "l_discount": (0.0, 0.11), "l_tax": (0.0, 0.09), "l_extendedprice": (0.0, 110_000.0)}
@@ -297,3 +299,44 @@ def poisson_histogram(spark, sf):
     total = li.agg(F.count(F.lit(1)).cast("double").alias("t"))
     found = T.poisson(counts, NODES, 0.0, 1.0, parts=8).join(F.broadcast(total))
     return found.select("k", (F.round(F.col("x") / F.col("t"), 9) + 0.0).alias("x"), (F.round(F.col("e") / F.col("t"), 6) + 0.0).alias("e"))
+
+
+#: Steps of the events' evolution: seconds, what is left of the state after a step, functions of the value.
+STEP, DECAY, FUNCTIONS, LATE = 86_400, 0.5, 3, 86_400
+
+
+def _events(e):
+    return e.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), M.scaled(F.col("value"), 0.0, 1000.0).alias("x"))
+
+
+def _steps_sql(closed: str) -> str:
+    sums = ", ".join(f"sum({p}) AS s{m}" for m, p in enumerate(_phi_sql("x", FUNCTIONS)))
+    values = ", ".join(f"round(sum(b.s{m} * power({DECAY}, a.step - b.step)), 6) + 0.0 AS v{m}" for m in range(FUNCTIONS))
+    return f"""WITH e AS (SELECT event_type AS key, epoch_us(ts) // {STEP * 1_000_000} AS step, value / 1000.0 AS x FROM events WHERE value >= 0 AND value < 1000), s AS (SELECT key, step, {sums} FROM e GROUP BY ALL),
+v AS (SELECT a.key, a.step, count(*) AS version, {values} FROM s a JOIN s b ON a.key = b.key AND b.step <= a.step GROUP BY ALL) SELECT * FROM v{closed}"""
+
+
+def _flat(steps):
+    return steps.select("key", "step", "version", *[(F.round(F.col("v")[m], 6) + 0.0).alias(f"v{m}") for m in range(FUNCTIONS)])
+
+
+@query("l01_evolved_steps", _steps_sql(""))
+def evolved_steps(spark, sf):
+    """L1: the coefficients of each type of event after each day, with what the days before have left."""
+    return _flat(E.evolved(_events(read(spark, sf, "events")), STEP, DECAY, FUNCTIONS))
+
+
+@query("l01_streamed_steps", _steps_sql(f" WHERE (step + 1) * {STEP} <= (SELECT max(epoch_us(ts)) FROM events) / 1000000.0 - {LATE}"))
+def streamed_steps(spark, sf):
+    """L1, L2: the same days from a stateful stream over the table; days that the watermark hasn't passed are still open."""
+    path, name = f"{sf}/events.parquet", "spark.sql.streaming.stateStore.providerClass"
+    base, before = Scratch(spark, "steps").base, spark.conf.get(name)
+    Scratch.open[base] = spark
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may stand for a file or a folder
+    spark.conf.set(name, E.STORE)
+    try:
+        steps = E.evolved_stream(_events(stream), STEP, DECAY, FUNCTIONS, f"{LATE} seconds")
+        steps.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return _flat(spark.read.schema(E.OUT).parquet(f"{base}/out"))

@@ -14,8 +14,10 @@ def advance(spark: SparkSession, path: str, run: str, steps: DataFrame, name: st
     """Streaming query: the number of rows of a micro-batch is the number of steps taken.
 
     The state between batches is the last snapshot, so a query that is started
-    again goes on where the last one ended. A snapshot names its micro-batch, and
-    a batch that is replayed after a failure is not taken twice.
+    again goes on where the last one ended. A snapshot names its micro-batch and the
+    query that it is one of, and a batch that the same query replays after a failure
+    is not taken twice. A query with another checkpoint folder has another id and
+    numbers its batches anew, and all of them count.
     """
     from gridloom.dg.problems import problem
 
@@ -23,10 +25,12 @@ def advance(spark: SparkSession, path: str, run: str, steps: DataFrame, name: st
         count = rows.count()
         if not count:
             return
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         try:
             state, head = snapshot.read(spark, path, run)
             first = head["step"] + 1
-            if json.loads(head["extra"]).get("batch", -1) >= number:
+            before = json.loads(head["extra"])
+            if before.get("query") == query and before.get("batch", -1) >= number:
                 return
         except Exception as e:  # noqa: BLE001  nothing written yet
             if "PATH_NOT_FOUND" not in str(e) and not isinstance(e, IndexError):
@@ -35,6 +39,6 @@ def advance(spark: SparkSession, path: str, run: str, steps: DataFrame, name: st
         dt = state.problem.step(cfl)
         for i, t, after in stepping.run(state.problem, first + count, cfl=cfl, start=state, first=first):
             state, last, time = after, i, t
-        snapshot.write(spark, path, run, last, time, dt, state, {"batch": number})
+        snapshot.write(spark, path, run, last, time, dt, state, {"batch": number, "query": query})
 
     return steps.writeStream.foreachBatch(batch)

@@ -346,6 +346,14 @@ def test_replayed_batches_are_not_taken_twice(spark, tmp_path):
     for _, _, want in stepping.run(problem("diffusion_1", 3, 2), 4):
         pass
     np.testing.assert_allclose(state.x, want.x, atol=1e-13)
+    context = spark.sparkContext
+    context.setLocalProperty("sql.streaming.queryId", "another checkpoint folder")
+    try:
+        for _ in range(2):
+            handler[0](rows, 0)
+    finally:
+        context.setLocalProperty("sql.streaming.queryId", None)
+    assert snapshot.read(spark, path, "r")[1]["step"] == 5  # its first batch counts, and its replay doesn't
     snapshot.write(spark, path, "r", 3, head["time"], head["dt"], state, {"batch": 1})  # an attempt that is made again
     assert len(snapshot.read(spark, path, "r")[0].x) == len(state.x)
 
