@@ -5,14 +5,12 @@ small is built on the driver: the one-dimensional matrices and vectors of each
 dimension, whose size is that of one dimension. An operator is applied one
 dimension after the other (an equi-join and a sum each), the result is cut to the
 element set by a semi-join, and sums of vectors are one aggregation. Each step's
-state is checkpointed, so that the plan of a step does not grow with their number.
+state is written to the shared folder, so that the plan of a step does not grow with
+their number; what a step needs on the way is deleted when it is done.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +20,10 @@ from gridloom.dg.basis import project
 from gridloom.dg.operators import boundary_parts, chain, mass_matrix
 from gridloom.dg.spec import Problem
 from gridloom.functions.scalar import index_1d
+from gridloom.operators import krylov
 from gridloom.operators.connect import kron_apply
 from gridloom.operators.generators import element_table, sparse_levels
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder; a local one only for a local session without any."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
+from gridloom.sources.scratch import Scratch
 
 
 def keys(problem: Problem) -> list[str]:
@@ -91,7 +80,8 @@ class Steps:
 
     def __init__(self, spark: SparkSession, problem: Problem):
         self.spark, self.problem = spark, problem
-        self.dofs = settled(dof_table(spark, problem))
+        self.scratch = Scratch(spark, "steps")
+        self.dofs = self.scratch.write(dof_table(spark, problem))
         self.at(0.0)
 
     def at(self, t: float) -> None:
@@ -103,7 +93,7 @@ class Steps:
     def initial(self) -> DataFrame:
         p = self.problem
         factor = p.exact_time(0.0) if p.exact_time is not None else 1.0
-        return settled(total(p, [(factor, separable_rows(self.spark, p, self.dofs, f, 0.0)) for f in p.initial]))
+        return self.scratch.write(total(p, [(factor, separable_rows(self.spark, p, self.dofs, f, 0.0)) for f in p.initial]))
 
     def apply(self, state: DataFrame) -> DataFrame:
         d = len(self.problem.dims)
@@ -123,48 +113,19 @@ class Steps:
         """Third-order Runge-Kutta, with the matrices of the step's start."""
         p = self.problem
         self.at(t)
-        k1 = settled(self.slope(state, t))
-        k2 = settled(self.slope(total(p, [(1.0, state), (0.5 * dt, k1)]), t + 0.5 * dt))
+        k1 = self.scratch.write(self.slope(state, t))
+        k2 = self.scratch.write(self.slope(total(p, [(1.0, state), (0.5 * dt, k1)]), t + 0.5 * dt))
         k3 = self.slope(total(p, [(1.0, state), (-dt, k1), (2 * dt, k2)]), t + dt)
-        return settled(total(p, [(1.0, state), (dt / 6, k1), (2 * dt / 3, k2), (dt / 6, k3)]))
-
-    def dots(self, a: DataFrame, others: list[DataFrame]) -> np.ndarray:
-        """Inner products of a vector with several in one job; one number of each comes to the driver."""
-        every = [b.select(*keys(self.problem), F.col("v").alias("w"), F.lit(i).alias("other")) for i, b in enumerate(others)]
-        found = a.join(reduce(DataFrame.unionByName, every), keys(self.problem)).groupBy("other").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-        out = np.zeros(len(others))
-        for r in found.collect():
-            out[r["other"]] = r["dot"]
-        return out
-
-    def norm(self, a: DataFrame) -> float:
-        return float(np.sqrt(a.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0))
-
-    def implicit(self, state: DataFrame, t: float, dt: float, tolerance: float = 1e-10, most: int = 40) -> DataFrame:
-        """Backward Euler by GMRES without a matrix: the basis vectors stay in the folder, only their inner products come here."""
+        after = self.scratch.write(total(p, [(1.0, state), (dt / 6, k1), (2 * dt / 3, k2), (dt / 6, k3)]))
+        self.scratch.drop(k1, k2)
+        return after
+
+    def implicit(self, state: DataFrame, t: float, dt: float, tolerance: float = 1e-10, most: int = 400) -> DataFrame:
+        """Backward Euler by restarted GMRES without a matrix: basis vectors stay in the folder, only their inner products come here."""
         p = self.problem
         self.at(t)
-        b = settled(total(p, [(1.0, state), *self.forcing(t + dt, dt)]))
-        system = lambda v: total(p, [(1.0, v), (-dt, self.apply(v))])
-        r = settled(total(p, [(1.0, b), (-1.0, system(state))]))
-        beta, scale = self.norm(r), self.norm(b) or 1.0
-        if beta <= tolerance * scale:
-            return state
-        basis, h = [settled(total(p, [(1 / beta, r)]))], np.zeros((most + 1, most))
-        for j in range(most):
-            w = settled(system(basis[j]))
-            h[: j + 1, j] = self.dots(w, basis)
-            w = settled(total(p, [(1.0, w), *[(-h[i, j], q) for i, q in enumerate(basis)]]))
-            h[j + 1, j] = self.norm(w)
-            rhs = np.zeros(j + 2)
-            rhs[0] = beta
-            y, *_ = np.linalg.lstsq(h[: j + 2, : j + 1], rhs, rcond=None)
-            if np.linalg.norm(h[: j + 2, : j + 1] @ y - rhs) <= tolerance * scale or h[j + 1, j] <= tolerance * scale:
-                break
-            basis.append(settled(total(p, [(1 / h[j + 1, j], w)])))
-        else:
-            raise RuntimeError(f"the linear solver did not converge in {most} steps")
-        return settled(total(p, [(1.0, state), *[(float(c), q) for c, q in zip(y, basis, strict=False)]]))
+        b = total(p, [(1.0, state), *self.forcing(t + dt, dt)])
+        return krylov.gmres(keys(p), lambda v: total(p, [(1.0, v), (-dt, self.apply(v))]), b, state, tolerance=tolerance, most=most).x
 
 
 def run(spark: SparkSession, problem: Problem, steps: int, cfl: float = 0.01, dt: float | None = None, implicit: bool = False):

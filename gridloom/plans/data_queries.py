@@ -6,12 +6,14 @@ depend on their order.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.dg.basis import two_scale
 from gridloom.functions.scalar import level_of
 from gridloom.operators import adaptive as A
 from gridloom.operators import connect as C
+from gridloom.operators import krylov
 from gridloom.operators import multiwave as M
 from gridloom.operators import tridiagonal as T
 from gridloom.plans.grid_queries import query
@@ -340,3 +342,37 @@ def streamed_steps(spark, sf):
     finally:
         spark.conf.set(name, before)
     return _flat(spark.read.schema(E.OUT).parquet(f"{base}/out"))
+
+
+def supplier_graph(spark, sf):
+    """(row, col, v): how often two suppliers stand on neighbouring lines of an order, in both directions; and the suppliers (k, d, b)."""
+    line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    pairs = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("row"), F.lead("l_suppkey").over(line).alias("col")).where("col IS NOT NULL AND row <> col")
+    both = pairs.unionByName(pairs.select(F.col("col").alias("row"), F.col("row").alias("col")))
+    edges = both.groupBy("row", "col").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    degree = edges.groupBy(F.col("row").alias("g")).agg(F.sum("v").alias("g_v"))
+    nodes = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").cast("double").alias("b"))
+    return edges, nodes.join(degree, F.col("k") == F.col("g"), "left").select("k", (1 + 1.5 * F.coalesce("g_v", F.lit(0.0))).alias("d"), "b")
+
+
+@query("k13_graph_gmres", """WITH RECURSIVE p AS (SELECT l_suppkey AS r, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS c FROM lineitem),
+w AS MATERIALIZED (SELECT r, c, count(*)::DOUBLE AS w FROM (SELECT r, c FROM p WHERE c IS NOT NULL AND r <> c UNION ALL SELECT c, r FROM p WHERE c IS NOT NULL AND r <> c) GROUP BY ALL),
+node AS MATERIALIZED (SELECT s_suppkey AS k, s_acctbal::DOUBLE AS b, 1 + 1.5 * coalesce(g, 0.0) AS d FROM supplier LEFT JOIN (SELECT r, sum(w) AS g FROM w GROUP BY r) ON r = s_suppkey),
+j AS (SELECT 0 AS n, k, 0.0::DOUBLE AS x FROM node UNION ALL SELECT a.n + 1, a.k, (any_value(a.b) + coalesce(sum(w.w * o.x), 0.0)) / any_value(a.d) FROM (SELECT j.n, node.* FROM j JOIN node USING (k) WHERE j.n < 90) a LEFT JOIN w ON w.r = a.k LEFT JOIN j o ON o.k = w.c GROUP BY a.n, a.k)
+SELECT k, round(x, 6) + 0.0 AS x FROM j WHERE n = 90""")
+def graph_gmres(spark, sf):
+    """Balances spread over the graph of suppliers, by GMRES with a restart after ten steps and a diagonal preconditioner."""
+    edges, nodes = supplier_graph(spark, sf)
+    scratch = Scratch(spark, "graph")
+    edges, nodes = scratch.write(edges), scratch.write(nodes)
+
+    def apply(x):
+        own = x.select(F.col("k").alias("x_k"), F.col("v").alias("x_v"))
+        spread = edges.join(own, F.col("col") == F.col("x_k")).select(F.col("row").alias("k"), (-F.col("v") * F.col("x_v")).alias("v"))
+        kept = nodes.select("k", "d").join(own, F.col("k") == F.col("x_k")).select("k", (F.col("d") * F.col("x_v")).alias("v"))
+        return kept.unionByName(spread).groupBy("k").agg(F.sum("v").alias("v"))
+
+    diagonal = krylov.jacobi(["k"], nodes.select("k", F.col("d").alias("v")))
+    found = krylov.gmres(["k"], apply, nodes.select("k", F.col("b").alias("v")), restart=10, tolerance=1e-12, precondition=diagonal)
+    every = nodes.join(found.x.select(F.col("k").alias("x_k"), "v"), F.col("k") == F.col("x_k"), "left")
+    return every.select("k", (F.round(F.coalesce("v", F.lit(0.0)), 6) + 0.0).alias("x"))
