@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordered import number
+
 #: Coarsening keeps what has more than this part of the refinement's bound.
 COARSEN = 0.1
 
@@ -51,5 +52,5 @@ def refine(state: DataFrame, threshold: float, kids: Column, dofs: int, largest:
 
 def renumbered(state: DataFrame) -> DataFrame:
     """With the new position of each key."""
-    at = state.select("key").distinct().withColumn("pos", F.row_number().over(W.orderBy("key")) - 1).withColumnRenamed("key", "n_key")
+    at = number(state.select(F.col("key").alias("n_key")).distinct(), ["n_key"], "pos").withColumn("pos", F.col("pos").cast("int"))
     return state.join(at, F.col("key") == F.col("n_key")).drop("n_key")

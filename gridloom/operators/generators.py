@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import element_id, index_1d, pow2
+from gridloom.operators.ordered import number
 
 
 def ranges(spark: SparkSession, limits: list[int], prefix: str = "l") -> DataFrame:
@@ -44,10 +44,17 @@ def constrained_lists(spark: SparkSession, lists: list[list[int]], max_sum: int,
     return frame.withColumns({"total": total, "largest": largest}).where((F.col("total") <= max_sum) & (F.col("largest") <= max_value))
 
 
+def lower_closure(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """The least lower-complete set with all rows of small integers: with a row, all rows that are nowhere larger and nowhere negative."""
+    for c in columns:
+        frame = frame.distinct().withColumn(c, F.explode(F.sequence(F.lit(0), F.col(c).cast("int"))))
+    return frame.select(*columns).distinct()
+
+
 def highest_first(frame: DataFrame, d: int) -> DataFrame:
     """With ``pos``: highest level sum first, then by the last dimension's level, ..., the first's."""
     order = [F.desc("level_sum"), *[F.col(f"l{i}") for i in range(d, 0, -1)]]
-    return frame.withColumn("level_sum", level_sum(d)).withColumn("pos", F.row_number().over(W.orderBy(*order)) - 1)
+    return number(frame.withColumn("level_sum", level_sum(d)), order, "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def cells_of(frame: DataFrame, d: int) -> DataFrame:
@@ -60,10 +67,14 @@ def cells_of(frame: DataFrame, d: int) -> DataFrame:
 
 def element_table(levels: DataFrame, d: int, max_level: int) -> DataFrame:
     """pos, id, l1..ld, c1..cd in the order of the state vector: highest level sum first, cells with the first dimension fastest."""
-    cells = cells_of(levels.select(*[f"l{i}" for i in range(1, d + 1)]), d)
+    return numbered_elements(cells_of(levels.select(*[f"l{i}" for i in range(1, d + 1)]), d), d, max_level)
+
+
+def numbered_elements(cells: DataFrame, d: int, max_level: int) -> DataFrame:
+    """The element table of distinct (l1..ld, c1..cd)."""
     index = [index_1d(F.col(f"l{i}"), F.col(f"c{i}")) for i in range(1, d + 1)]
     order = [F.desc(level_sum(d)), *[F.col(f"l{i}") for i in range(d, 0, -1)], *[F.col(f"c{i}") for i in range(d, 0, -1)]]
-    numbered = cells.withColumns({"id": element_id(index, max_level), "pos": F.row_number().over(W.orderBy(*order)).cast("long") - 1})
+    numbered = number(cells.withColumn("id", element_id(index, max_level)), order, "pos")
     return numbered.select("pos", "id", *[f"l{i}" for i in range(1, d + 1)], *[f"c{i}" for i in range(1, d + 1)])
 
 

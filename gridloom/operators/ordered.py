@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import Scratch
+
+
+def _dealt(frame: DataFrame, parts: int, *order) -> DataFrame:
+    """The rows in ranges, with ``_part``; written, so that whatever is computed from the parts sees the same ones."""
+    return Scratch(frame.sparkSession, "ranges").write(frame.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def number(frame: DataFrame, order: list, name: str, parts: int = 16) -> DataFrame:
+    """Rows numbered from 0 in a unique order; each range is numbered by itself, behind the counts of the ranges before it."""
+    dealt = _dealt(frame, parts, *order)
+    counts = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)).cast("long") - 1
+    return dealt.withColumn(name, own).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_p", "_before")
+
 
 def exclusive_sum(frame: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
     """Sum of ``value`` over all rows before, in the order of a unique column.
@@ -13,7 +29,7 @@ def exclusive_sum(frame: DataFrame, order: str, value: str, name: str, parts: in
     Rows are range-partitioned; each part is summed by itself and the parts' sums
     are summed over one small row per part, so no task holds all rows.
     """
-    dealt = frame.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    dealt = _dealt(frame, parts, order)
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("_part").alias("_p"), before.alias("_before"))
