@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import data_queries, grid_queries, pde_queries, table_queries  # noqa: F401  (they register themselves)
+from gridloom.plans import data_queries, grid_queries, table_queries  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict:

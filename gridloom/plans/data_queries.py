@@ -6,13 +6,17 @@ depend on their order.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.dg import distributed as D
 from gridloom.dg.basis import two_scale
+from gridloom.dg.spec import Dim, Partial, Problem, Term, one
 from gridloom.functions.scalar import level_of
 from gridloom.operators import adaptive as A
 from gridloom.operators import connect as C
+from gridloom.operators import dense as Dense
 from gridloom.operators import krylov
 from gridloom.operators import multiwave as M
 from gridloom.operators import tridiagonal as T
@@ -89,9 +93,17 @@ def density_projection_linear(spark, sf):
     return normalised(M.project(p, ["x1", "x2"], 2, sparse(2, 4)), counted(p), [f"v{k}" for k in range(4)])
 
 
+@query("j06_cell_projection", f"WITH {_points_sql('l_extendedprice')} SELECT CAST(floor(x1 * 32) AS BIGINT) AS cell, " + ", ".join(f"round(sum({2.0**2.5!r}::DOUBLE * {p}) / any_value(n), 8) + 0.0 AS s{m}" for m, p in enumerate(_phi_sql("(x1 * 32 - floor(x1 * 32))", 3))) + " FROM pt, n GROUP BY 1")
+def cell_projection(spark, sf):
+    """The prices of lineitem on three Legendre functions of each of 32 cells."""
+    p = points(spark, sf, "l_extendedprice")
+    n = p.where("x1 IS NOT NULL").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return M.cell_coefficients(p, [], "x1", 3, 5).join(F.broadcast(n)).select("cell", *[(F.round(F.col(f"s{m}") / F.col("n"), 8) + 0.0).alias(f"s{m}") for m in range(3)])
+
+
 @query("j06_compressed_projection", _project_sql(2, 4))
 def compressed_projection(spark, sf):
-    """J6, J7 from the moments of the finest cells in place of the rows: the same coefficients from one pass over the table."""
+    """I11, J6, J7 from the moments of the finest cells, laid on Gauss nodes, in place of the rows: the same coefficients from one pass over the table."""
     p = points(spark, sf, "l_quantity", "l_extendedprice")
     state = M.project(M.compress(p, ["x1", "x2"], 2, 4), ["x1", "x2"], 2, sparse(2, 4), "w")
     return normalised(state, counted(p), [f"v{k}" for k in range(4)])
@@ -376,3 +388,122 @@ def graph_gmres(spark, sf):
     found = krylov.gmres(["k"], apply, nodes.select("k", F.col("b").alias("v")), restart=10, tolerance=1e-12, precondition=diagonal)
     every = nodes.join(found.x.select(F.col("k").alias("x_k"), "v"), F.col("k") == F.col("x_k"), "left")
     return every.select("k", (F.round(F.coalesce("v", F.lit(0.0)), 6) + 0.0).alias("x"))
+
+
+#: Each vector of the embeddings as a matrix of three, with 3 on the diagonal, and two right-hand sides.
+M3 = "m AS (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE + {3.0 if k % 4 == 0 else 0.0} AS m{k // 3}{k % 3}" for k in range(9)) + ", " + ", ".join(f"embedding[{10 + k}]::DOUBLE AS y{k}, embedding[{13 + k}]::DOUBLE AS z{k}" for k in range(3)) + " FROM embeddings)"
+
+
+def _minor(r: int, c: int) -> str:
+    """The signed minor of (r, c) as SQL."""
+    (a, b), (d, e) = [i for i in range(3) if i != r], [j for j in range(3) if j != c]
+    return f"{'-' if (r + c) % 2 else ''}(m{a}{d} * m{b}{e} - m{a}{e} * m{b}{d})"
+
+
+DET = "(" + " + ".join(f"m0{c} * ({_minor(0, c)})" for c in range(3)) + ")"
+
+
+def _solved(y: str, k: int) -> str:
+    """Entry k of the solution for the right-hand side y, by minors."""
+    return "(" + " + ".join(f"({_minor(r, k)}) * {y}{r}" for r in range(3)) + f") / {DET}"
+
+
+def systems(spark, sf):
+    """vec_id, a, y, z of the embeddings."""
+    e = F.col("embedding").cast("array<double>")
+    a = F.transform(F.slice(e, 1, 9), lambda v, k: v + F.when(k % 4 == 0, 3.0).otherwise(0.0))
+    return read(spark, sf, "embeddings").select("vec_id", a.alias("a"), F.slice(e, 10, 3).alias("y"), F.slice(e, 13, 3).alias("z"))
+
+
+def _spread(column: str, names: list[str]):
+    return [(F.round(F.col(column)[k], 6) + 0.0).alias(n) for k, n in enumerate(names)]
+
+
+@query("e34_determinants", f"WITH {M3} SELECT vec_id, round({DET}, 6) + 0.0 AS det FROM m")
+def determinants(spark, sf):
+    """Of each vector's matrix."""
+    return Dense.factored(systems(spark, sf), 3, "a", [], ["vec_id"]).select("vec_id", (F.round("det", 6) + 0.0).alias("det"))
+
+
+@query("i17_inverses", f"WITH {M3} SELECT vec_id, " + ", ".join(f"round(({_minor(k % 3, k // 3)}) / {DET}, 6) + 0.0 AS v{k}" for k in range(9)) + " FROM m")
+def inverses(spark, sf):
+    """Of each vector's matrix, row by row."""
+    return Dense.factored(systems(spark, sf), 3, "a", [], ["vec_id"]).select("vec_id", *_spread("inverse", [f"v{k}" for k in range(9)]))
+
+
+@query("k18_dense_solutions", f"WITH {M3} SELECT vec_id, " + ", ".join(f"round({_solved('y', k)}, 6) + 0.0 AS x{k}" for k in range(3)) + " FROM m")
+def dense_solutions(spark, sf):
+    """A system for each vector."""
+    return Dense.factored(systems(spark, sf), 3, "a", ["y"], ["vec_id"]).select("vec_id", *_spread("x0", ["x0", "x1", "x2"]))
+
+
+@query("k19_two_right_sides", f"WITH {M3} SELECT vec_id, " + ", ".join(f"round({_solved(y, k)}, 6) + 0.0 AS {n}{k}" for y, n in (("y", "p"), ("z", "q")) for k in range(3)) + " FROM m")
+def two_right_sides(spark, sf):
+    """Two right-hand sides of each vector's system."""
+    found = Dense.factored(systems(spark, sf), 3, "a", ["y", "z"], ["vec_id"])
+    return found.select("vec_id", *_spread("x0", ["p0", "p1", "p2"]), *_spread("x1", ["q0", "q1", "q2"]))
+
+
+@query("k21_back_substitution", f"WITH {M3}, c AS (SELECT vec_id, m00, m01, m02, m11, m12, y0, y1, y2 / m22 AS x2 FROM m), b AS (SELECT *, (y1 - m12 * x2) / m11 AS x1 FROM c) SELECT vec_id, round((y0 - m01 * x1 - m02 * x2) / m00, 6) + 0.0 AS x0, round(x1, 6) + 0.0 AS x1, round(x2, 6) + 0.0 AS x2 FROM b")
+def back_substitution(spark, sf):
+    """The upper triangle of each vector's matrix, packed, solved in the row."""
+    a = F.col("a")
+    packed = F.array(*[F.get(a, F.lit(3 * i + j)) for j in range(3) for i in range(j + 1)])
+    found = systems(spark, sf).select("vec_id", Dense.back_substituted(packed, F.col("y"), 3).alias("x"))
+    return found.select("vec_id", *_spread("x", ["x0", "x1", "x2"]))
+
+
+#: Steps of the density of the prices: level, size of a step.
+FINE, DT = 4, 0.01
+CELLS = 2**FINE
+HISTOGRAM = f"{_points_sql('l_extendedprice')}, u AS MATERIALIZED (SELECT i, coalesce(c, 0.0) AS u FROM generate_series(0, {CELLS - 1}) s(i) LEFT JOIN (SELECT CAST(floor(x1 * {CELLS}) AS BIGINT) AS i, count(*)::DOUBLE AS c FROM pt GROUP BY 1) h USING (i))"
+TO_HAAR = f"SELECT {index_sql('x', 'lev')} AS i1, round(sum(u * ({psi_sql('x', 'lev', 1, 0)})) / any_value(n), 8) + 0.0 AS v FROM (SELECT (i + 0.5::DOUBLE) / {CELLS} AS x, u FROM {{t}}), n, generate_series(0, {FINE}) g(lev) GROUP BY 1"
+
+
+def density_problem(*terms):
+    """A problem on the unit interval whose initial state comes from a table."""
+    return Problem("density", (Dim(0.0, 1.0, FINE, 1),), tuple(Term((t,)) for t in terms), ((one,),))
+
+
+def _prices(spark, sf):
+    p = points(spark, sf, "l_extendedprice")
+    return p, M.project(p, ["x1"], 1, [(k,) for k in range(FINE + 1)]).withColumnRenamed("v0", "v")
+
+
+def _per_row(p, state):
+    n = p.where("x1 IS NOT NULL").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return state.join(F.broadcast(n)).select("i1", (F.round(F.col("v") / F.col("n"), 8) + 0.0).alias("v"))
+
+
+def _slope(t: str, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT a.i, (b.u - a.u) * {CELLS} AS u FROM {t} a JOIN {t} b ON b.i = (a.i + {CELLS - 1}) % {CELLS})"
+
+
+def _rk3(start: str, p: str) -> str:
+    add = lambda name, *parts: f"{name} AS MATERIALIZED (SELECT i, sum(u) AS u FROM (" + " UNION ALL ".join(f"SELECT i, {w!r}::DOUBLE * u AS u FROM {t}" for w, t in parts) + ") GROUP BY i)"
+    return ", ".join([
+        _slope(start, f"{p}1"), add(f"{p}a", (1.0, start), (0.5 * DT, f"{p}1")), _slope(f"{p}a", f"{p}2"), add(f"{p}b", (1.0, start), (-DT, f"{p}1"), (2 * DT, f"{p}2")), _slope(f"{p}b", f"{p}3"),
+        add(f"{p}u", (1.0, start), (DT / 6, f"{p}1"), (2 * DT / 3, f"{p}2"), (DT / 6, f"{p}3"))])
+
+
+@query("k01_density_transport", f"WITH {HISTOGRAM}, {_rk3('u', 'p')}, {_rk3('pu', 'q')} {TO_HAAR.format(t='qu')}")
+def density_transport(spark, sf):
+    """The density of prices carried along a periodic axis, two explicit steps with the state in DataFrames throughout."""
+    p, state = _prices(spark, sf)
+    jobs = D.Steps(spark, density_problem((Partial("div", lambda x, t=0.0: -np.ones_like(x), "downwind"),)))
+    for k in range(2):
+        state = jobs.explicit(state, k * DT, DT)
+    return _per_row(p, state)
+
+
+A_DT = 0.001 * CELLS * CELLS
+
+
+@query("k03_density_diffusion", f"""WITH RECURSIVE {HISTOGRAM}, t AS (SELECT i + 1 AS k, u AS y, CASE WHEN i = 0 THEN 0.0 ELSE -{A_DT!r}::DOUBLE END AS a, CASE WHEN i = {CELLS - 1} THEN 0.0 ELSE -{A_DT!r}::DOUBLE END AS c FROM u),
+f AS (SELECT 1::BIGINT AS k, c / (1 - c) AS g, y / (1 - c) AS p FROM t WHERE k = 1 UNION ALL SELECT t.k, t.c / (1 - t.a - t.c - t.a * f.g), (t.y - t.a * f.p) / (1 - t.a - t.c - t.a * f.g) FROM f JOIN t ON t.k = f.k + 1),
+b AS (SELECT k, p AS x FROM f WHERE k = {CELLS} UNION ALL SELECT f.k, f.p - f.g * b.x FROM b JOIN f ON f.k = b.k - 1), w AS (SELECT k - 1 AS i, x AS u FROM b) {TO_HAAR.format(t='w')}""")
+def density_diffusion(spark, sf):
+    """A backward Euler step of the diffusion of the density of prices, by GMRES on vectors in long form."""
+    p, state = _prices(spark, sf)
+    chain = (Partial("div", None, "downwind", "dirichlet", "dirichlet"), Partial("grad", None, "upwind", "neumann", "neumann"))
+    return _per_row(p, D.Steps(spark, density_problem(chain)).implicit(state, 0.0, 0.001, tolerance=1e-12))

@@ -9,7 +9,6 @@ from gridloom.functions import scalar as S
 from gridloom.operators import connect as C
 from gridloom.operators import generators as G
 from gridloom.operators import multiwave as M
-from gridloom.plans.problems import catalogue, catalogue_sql
 
 Q: dict = {}
 SQL: dict = {}
@@ -410,8 +409,3 @@ def from_string(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     ints = S.ints_from_string(F.concat_ws(" ", "p_size", (F.col("p_partkey") % 7).cast("string"), F.lit(" 3")))
     return part.select("p_partkey", F.aggregate(ints, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(ints).alias("n"))
-
-
-@query("a18_problem_catalogue", catalogue_sql())
-def problems(spark, sf):
-    return catalogue(spark)

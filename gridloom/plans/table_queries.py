@@ -128,15 +128,16 @@ def closure(spark, sf):
     return moment_table(spark, sf).select("x", F.round("m0", 2).alias("n"), F.round(u1, 8).alias("u1"), F.round(u2, 8).alias("u2"), F.round(theta, 8).alias("theta"))
 
 
-@query("e24_quadrature", "SELECT cell, round(sum(w * exp(-x * x)) * 0.25 / 2, 9) AS v FROM (SELECT cell, w, (0.5 * (r + 1) + cell) * 0.25 - 1 AS x FROM generate_series(0, 7) a(cell), (VALUES (-sqrt(0.6), 5.0 / 9), (0.0, 8.0 / 9), (sqrt(0.6), 5.0 / 9)) q(r, w)) GROUP BY cell")
+@query("e24_quadrature", """WITH s AS (SELECT epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 AS day, sum(l_quantity) AS y FROM lineitem GROUP BY 1), n AS (SELECT day, y, lead(day) OVER (ORDER BY day) AS next, lead(y) OVER (ORDER BY day) AS z FROM s)
+SELECT day // 100 AS part, round(sum((next - day) * (y + z) / 2), 4) AS integral, round(sum((next - day) * (y + z) / 2) / sum(next - day), 6) AS average FROM n WHERE next IS NOT NULL GROUP BY 1""")
 def quadrature(spark, sf):
-    """Integrals over cells by Gauss points."""
-    from gridloom.operators.generators import realspace_nodes
-
-    root = 0.6**0.5
-    weights = F.element_at(F.array(F.lit(5.0 / 9), F.lit(8.0 / 9), F.lit(5.0 / 9)), F.col("q") + 1)
-    nodes = realspace_nodes(spark, [-root, 0.0, root], 3, -1.0, 1.0)
-    return nodes.groupBy("cell").agg(F.round(F.sum(weights * F.exp(-F.col("x") * F.col("x"))) * 0.25 / 2, 9).alias("v"))
+    """Integrals and averages of the daily quantities over hundreds of days, by the trapezoids between neighbouring days."""
+    day = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86_400_000_000).cast("long")
+    series = O.number(read(spark, sf, "lineitem").groupBy(day.alias("day")).agg(F.sum("l_quantity").alias("y")), ["day"], "pos")
+    after = series.select((F.col("pos") - 1).alias("n_pos"), F.col("day").alias("next"), F.col("y").alias("z"))
+    parts = series.join(after, F.col("pos") == F.col("n_pos")).select(F.floor(F.col("day") / 100).alias("part"), (F.col("next") - F.col("day")).alias("h"), (F.col("y") + F.col("z")).alias("w"))
+    area = F.sum(F.col("h") * F.col("w") / 2)
+    return parts.groupBy("part").agg(F.round(area, 4).alias("integral"), F.round(area / F.sum("h"), 6).alias("average"))
 
 
 @query("e26_timings", "SELECT event_type AS id, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS med, count(*) AS calls, round(avg(value) * 1e-3, 6) AS gflops FROM events GROUP BY event_type")
@@ -382,11 +383,13 @@ def upper_lower(spark, sf):
     return matrix(spark, sf).withColumn("part", F.when(F.col("col") >= F.col("row"), "upper").otherwise("lower"))
 
 
-@query("d14_system_matrix", f"WITH {STATE} SELECT a1.row * 8 + a2.row AS row, a1.col * 8 + a2.col AS col, a1.v * a2.v + CASE WHEN a1.row = a1.col AND a2.row = a2.col THEN 1.0 ELSE 0.0 END AS v FROM a1, a2")
+@query("d14_system_matrix", """WITH a AS (SELECT l_suppkey % 8 AS row, l_partkey % 8 AS col, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS v FROM lineitem GROUP BY ALL), b AS (SELECT (l_linenumber % 8)::BIGINT AS row, l_orderkey % 8 AS col, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL)
+SELECT a.row * 8 + b.row AS row, a.col * 8 + b.col AS col, a.v * b.v + CASE WHEN a.row = a.col AND b.row = b.col THEN 1.0 ELSE 0.0 END AS v FROM a, b""")
 def system_matrix(spark, sf):
-    """Sum over terms of Kronecker products of sub-blocks, here one term and the identity."""
-    a = square(spark).where("abs(row - col) <= 1").withColumn("v", (F.col("row") + 2 * F.col("col") + 1).cast("double"))
-    b = square(spark).where("row <= col").withColumn("v", (3 * F.col("row") - F.col("col")).cast("double"))
+    """The product of two matrices of lineitem, and the identity."""
+    li = read(spark, sf, "lineitem")
+    a = li.groupBy((F.col("l_suppkey") % 8).alias("row"), (F.col("l_partkey") % 8).alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("v"))
+    b = li.groupBy((F.col("l_linenumber") % 8).cast("long").alias("row"), (F.col("l_orderkey") % 8).alias("col")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     one = F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)
     return L.kron(a, b, 8, 8).withColumn("v", F.col("v") + one)
 
@@ -481,21 +484,3 @@ def batched_chains(spark, sf):
     m = squares(spark, sf)
     ones = m.where("row = 0").select("batch", F.col("col").alias("i"), F.lit(1.0).alias("v"))
     return L.batched_chain([m, m], ones).withColumn("v", F.round("v", 9) + 0.0)
-
-
-@query("j06_cell_projection", """WITH c AS (SELECT i, -1 + i / 16.0::DOUBLE AS a, -1 + (i + 1) / 16.0::DOUBLE AS b, 1 / 16.0::DOUBLE AS h FROM generate_series(0, 31) g(i))
-SELECT i::BIGINT AS cell, 0 AS degree, round((sin(pi() * b) - sin(pi() * a)) / (pi() * sqrt(h)), 9) + 0.0 AS v FROM c
-UNION ALL SELECT i::BIGINT, 1, round(sqrt(3 / h) * 2 / h * ((b - a) / 2 * (sin(pi() * b) + sin(pi() * a)) / pi() + (cos(pi() * b) - cos(pi() * a)) / (pi() * pi())), 9) + 0.0 FROM c""")
-def cell_projection(spark, sf):
-    """cos(pi x) on the Legendre basis of each cell of level 5, by ten nodes a cell and a sum."""
-    import numpy as np
-
-    x, w = np.polynomial.legendre.leggauss(10)
-    node = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(x, w, strict=True)]))
-    h = 1 / 16
-    rows = spark.range(32).select(F.col("id").alias("cell"), node.alias("q"))
-    at = F.lit(-1.0) + (F.col("cell") + (F.col("q.x") + 1) / 2) * h
-    rows = rows.select("cell", F.col("q.x").alias("r"), (F.cos(at * np.pi) * F.col("q.w") * h / 2 / h**0.5).alias("f"))
-    basis = F.explode(F.array(F.struct(F.lit(0).alias("degree"), F.lit(1.0).alias("p")), F.struct(F.lit(1).alias("degree"), (F.col("r") * 3**0.5).alias("p"))))
-    rows = rows.select("cell", "f", basis.alias("b"))
-    return rows.groupBy("cell", F.col("b.degree").alias("degree")).agg((F.round(F.sum(F.col("f") * F.col("b.p")), 9) + 0.0).alias("v"))

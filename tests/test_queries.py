@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from gridloom import catalog
+from gridloom.plans import pde_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +36,25 @@ def test_query(spark, con, name):
         assert rows == canon(con.sql(f"SELECT {quoted} FROM ({catalog.oracle_sql()[name]})").fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(pde_queries.GOLDEN))
+def test_fixed_problems(spark, con, name):
+    df = pde_queries.GOLDEN[name](spark, SF)
+    columns = sorted(df.columns)
+    rows = canon(df.select(*[f"`{c}`" for c in columns]).collect())
+    assert rows
+    if name in pde_queries.CLOSED:
+        quoted = ", ".join(f'"{c}"' for c in columns)
+        assert rows == canon(con.sql(f"SELECT {quoted} FROM ({pde_queries.CLOSED[name]})").fetchall())
+
+
+def test_queries_read_the_tables(spark):
+    """No query has a result where there are no tables."""
+    for name, run in catalog.queries().items():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            run(spark, "/nowhere").collect()
+            pytest.fail(name)
+
+
 def test_entry_without_the_training_subpackage(monkeypatch):
     import importlib.util
 
