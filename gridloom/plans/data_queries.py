@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from gridloom.dg import distributed as D
 from gridloom.dg.basis import two_scale
 from gridloom.dg.spec import Dim, Partial, Problem, Term, one
-from gridloom.functions.scalar import level_of
+from gridloom.functions import tables as Tables
 from gridloom.operators import adaptive as A
 from gridloom.operators import connect as C
+from gridloom.operators import coupled as Fields
 from gridloom.operators import dense as Dense
+from gridloom.operators import kinetic as K
 from gridloom.operators import krylov
 from gridloom.operators import multiwave as M
 from gridloom.operators import tridiagonal as T
 from gridloom.plans.grid_queries import query
 from gridloom.plans.table_queries import read
+from gridloom.sources import datasource as Source
 from gridloom.sources.scratch import Scratch
 from gridloom.streaming import evolution as E
 
@@ -507,3 +510,129 @@ def density_diffusion(spark, sf):
     p, state = _prices(spark, sf)
     chain = (Partial("div", None, "downwind", "dirichlet", "dirichlet"), Partial("grad", None, "upwind", "neumann", "neumann"))
     return _per_row(p, D.Steps(spark, density_problem(chain)).implicit(state, 0.0, 0.001, tolerance=1e-12))
+
+
+#: Prices as space, quantities as velocities: 8 places, 12 speeds up to 6; a step of 0.01 with collisions of rate 2.
+KINETIC, KDT, RATE = K.Grid(8, 1.0, 12, 6.0), 0.01, 2.0
+
+
+def _kinetic_sql() -> str:
+    nx, nv, hx, hv, most = KINETIC.places, KINETIC.speeds, KINETIC.hx, KINETIC.hv, KINETIC.most
+    v = f"((j + 0.5::DOUBLE) * {hv!r}::DOUBLE - {most!r}::DOUBLE)"
+
+    def mom(s, t):
+        return f"{t} AS MATERIALIZED (SELECT x, sum(f) * {hv!r}::DOUBLE AS n, coalesce(sum({v} * f) / nullif(sum(f), 0), 0) AS u, coalesce(sum({v} * {v} * f) / nullif(sum(f), 0), 0) - power(coalesce(sum({v} * f) / nullif(sum(f), 0), 0), 2) AS th FROM {s} GROUP BY x)"
+
+    def field(m, t):
+        return (f"{t}g AS (SELECT x, (n - (SELECT avg(n) FROM {m})) * {hx * hx!r}::DOUBLE AS g FROM {m} WHERE x > 0), {t}c AS (SELECT x, sum(g) OVER (ORDER BY x) AS c FROM {t}g), {t}d AS (SELECT x, sum(c) OVER (ORDER BY x) AS d FROM {t}c), "
+                f"{t}p AS (SELECT x, x * (SELECT d FROM {t}d WHERE x = {nx - 1}) / {nx} - coalesce(lag(d) OVER (ORDER BY x), 0) AS p FROM {t}d UNION ALL SELECT 0, 0), "
+                f"{t} AS MATERIALIZED (SELECT a.x, (b.p - c.p) / {2 * hx!r}::DOUBLE AS e FROM {t}p a JOIN {t}p b ON b.x = (a.x + {nx - 1}) % {nx} JOIN {t}p c ON c.x = (a.x + 1) % {nx})")
+
+    def carry(s, e, t):
+        base = f"(SELECT {s}.x, j, f, {v} AS v, e, CASE WHEN e >= 0 THEN j + 1 ELSE j - 1 END AS w FROM {s} JOIN {e} USING (x))"
+        return (f"{t} AS MATERIALIZED (SELECT x, j, sum(f) AS f FROM (SELECT x, j, f - abs(v) / {hx!r}::DOUBLE * f * {KDT} - CASE WHEN w BETWEEN 0 AND {nv - 1} THEN abs(e) / {hv!r}::DOUBLE * f * {KDT} ELSE 0 END AS f FROM {base} "
+                f"UNION ALL SELECT CASE WHEN v >= 0 THEN (x + 1) % {nx} ELSE (x + {nx - 1}) % {nx} END, j, abs(v) / {hx!r}::DOUBLE * f * {KDT} FROM {base} UNION ALL SELECT x, w, abs(e) / {hv!r}::DOUBLE * f * {KDT} FROM {base} WHERE w BETWEEN 0 AND {nv - 1}) GROUP BY ALL)")
+
+    def collide(s, m, tau, t):
+        low, high = f"((j * {hv!r}::DOUBLE - {most!r}::DOUBLE - u) / 2)", f"(((j + 1) * {hv!r}::DOUBLE - {most!r}::DOUBLE - u) / 2)"
+        q = f"(th / {hv!r}::DOUBLE)"
+        return (f"{t}r AS MATERIALIZED (SELECT x, j, f AS y, CASE WHEN j = 0 THEN 0 ELSE -{tau!r}::DOUBLE * ({q} - {low}) / {hv!r}::DOUBLE END AS a, CASE WHEN j = {nv - 1} THEN 0 ELSE -{tau!r}::DOUBLE * ({q} + {high}) / {hv!r}::DOUBLE END AS c, "
+                f"1 - {tau!r}::DOUBLE * (CASE WHEN j = {nv - 1} THEN 0 ELSE {high} - {q} END - CASE WHEN j = 0 THEN 0 ELSE {low} + {q} END) / {hv!r}::DOUBLE AS b FROM {s} JOIN {m} USING (x)), "
+                f"{t}f AS (SELECT x, j, c / b AS g, y / b AS p FROM {t}r WHERE j = 0 UNION ALL SELECT r.x, r.j, r.c / (r.b - r.a * f.g), (r.y - r.a * f.p) / (r.b - r.a * f.g) FROM {t}f f JOIN {t}r r ON r.x = f.x AND r.j = f.j + 1), "
+                f"{t} AS (SELECT x, j, p AS f FROM {t}f WHERE j = {nv - 1} UNION ALL SELECT f.x, f.j, f.p - f.g * b.f FROM {t} b JOIN {t}f f ON f.x = b.x AND f.j = b.j - 1)")
+
+    start = f"{_points_sql('l_extendedprice', 'l_quantity')}, s0 AS MATERIALIZED (SELECT x, j, coalesce(c, 0) / (SELECT n FROM n) / {hx * hv!r}::DOUBLE AS f FROM generate_series(0, {nx - 1}) a(x) CROSS JOIN generate_series(0, {nv - 1}) b(j) LEFT JOIN (SELECT CAST(floor(x1 * {nx}) AS BIGINT) AS x, CAST(floor(x2 * {nv}) AS BIGINT) AS j, count(*)::DOUBLE AS c FROM pt GROUP BY ALL) h USING (x, j))"
+    parts = [start, mom("s0", "m0"), field("m0", "e0"), carry("s0", "e0", "s1"), mom("s1", "m1"), collide("s1", "m1", RATE * KDT, "s2"), mom("s2", "m2"), field("m2", "e2"), carry("s2", "e2", "s3"),
+             "s4 AS MATERIALIZED (SELECT x, j, sum(f) / 2 AS f FROM (SELECT x, j, f FROM s0 UNION ALL SELECT x, j, f FROM s3) GROUP BY ALL)", mom("s4", "m4"), collide("s4", "m4", RATE * KDT / 2, "s5")]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT x, j, round(f, 9) + 0.0 AS f FROM s5"
+
+
+def kinetic_density(spark, sf):
+    p = points(spark, sf, "l_extendedprice", "l_quantity").where("x1 IS NOT NULL AND x2 IS NOT NULL")
+    cells = p.groupBy(F.floor(F.col("x1") * KINETIC.places).alias("x"), F.floor(F.col("x2") * KINETIC.speeds).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    n = p.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    own = cells.join(F.broadcast(n)).select("x", "j", (F.col("c") / F.col("n") / (KINETIC.hx * KINETIC.hv)).alias("f"))
+    return K.filled(spark, own, KINETIC)
+
+
+@query("k04_kinetic_step", _kinetic_sql())
+def kinetic_step(spark, sf):
+    """An implicit-explicit step of the density of prices and quantities, with moments, field and collisions of each place."""
+    state = Scratch(spark, "density").write(kinetic_density(spark, sf))
+    return K.step(state, KINETIC, KDT, RATE).select("x", "j", (F.round("f", 9) + 0.0).alias("f"))
+
+
+@query("a01_snapshots", """SELECT event_type AS run, (epoch_us(ts) // 86400000000)::INTEGER AS step, (epoch_us(ts) // 3600000000 % 24)::BIGINT AS pos, count(*)::DOUBLE AS calls, round(sum(value), 4) AS total
+FROM events WHERE event_type IN ('click', 'view') AND epoch_us(ts) // 86400000000 >= (SELECT min(epoch_us(ts)) FROM events) // 86400000000 + 5 GROUP BY ALL""")
+def snapshots(spark, sf):
+    """A1 to A5: each day of each type of event written as a snapshot through the data source, and some days of two types read back."""
+    e, micros = read(spark, sf, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    day, hour = F.floor(micros / 86_400_000_000).cast("int"), (F.floor(micros / 3_600_000_000) % 24).cast("long")
+    sums = e.groupBy(F.col("event_type").alias("run"), day.alias("step"), hour.alias("pos")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("v"))
+    rows = sums.where("run IS NOT NULL AND step IS NOT NULL").select("run", "step", "pos", F.array(F.lit(0)).alias("lev"), F.array(F.col("pos").cast("int")).alias("cell"), F.array("n", "v").alias("seg"))
+    first = e.agg(F.min(day)).first()[0] or 0
+    path = Scratch(spark, "snapshots").base
+    Scratch.open[path] = spark
+    Source.register(spark)
+    rows.repartition("run", "step").write.format("gridloom").mode("append").option("path", path).save()
+    back = spark.read.format("gridloom").option("path", path).load().where(F.col("run").isin("click", "view") & (F.col("step") >= first + 5))
+    return back.select("run", "step", "pos", F.col("seg")[0].alias("calls"), F.round(F.col("seg")[1], 4).alias("total"))
+
+
+@query("m08_wave_sums", f"WITH o AS (SELECT o_orderpriority AS key, o_totalprice::DOUBLE / 600000.0::DOUBLE AS x FROM orders), p AS (SELECT key, x, {index_sql('x', 'lev')} AS i, lev FROM o, generate_series(0, 4) g(lev) WHERE x >= 0 AND x < 1), n AS (SELECT key, count(*) AS n FROM o GROUP BY key) SELECT key, i, digit, round(v / n, 8) + 0.0 AS v FROM (" + " UNION ALL ".join(f"SELECT key, i, {j} AS digit, sum({psi_sql('x', 'lev', 2, j)}) AS v FROM p GROUP BY key, i" for j in range(2)) + ") JOIN n USING (key)")
+def wave_sums(spark, sf):
+    """M1 to M4, M8: a table function called from SQL: the wavelet sums of the orders' totals by priority."""
+    Tables.register(spark)
+    read(spark, sf, "orders").select(F.col("o_orderpriority").alias("key"), (F.col("o_totalprice") / 600000.0).alias("x")).createOrReplaceTempView("gridloom_orders")
+    return spark.sql("""WITH s AS (SELECT key, i, digit, sum(v) AS v FROM multiwave_sums(TABLE(gridloom_orders), 2, 4) GROUP BY key, i, digit), n AS (SELECT key AS n_key, count(*) AS n FROM gridloom_orders GROUP BY key)
+SELECT key, i, digit, round(v / n, 8) + 0.0D AS v FROM s JOIN n ON key = n_key""")
+
+
+@query("m02_problem_values", "SELECT c_custkey AS key, 0.0::DOUBLE AS initial, round(cos(pi() * x) * sin(2 * pi() * y) * sin(2 * 0.25::DOUBLE), 9) + 0.0 AS exact FROM (SELECT c_custkey, c_acctbal::DOUBLE / 10000.0::DOUBLE AS x, c_nationkey::DOUBLE / 12.5::DOUBLE - 1 AS y FROM customer)")
+def problem_values(spark, sf):
+    """A problem's functions at the customers' balances and nations, called from SQL."""
+    Tables.register(spark)
+    read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") / 10000.0).alias("x1"), (F.col("c_nationkey") / 12.5 - 1).alias("x2")).createOrReplaceTempView("gridloom_points")
+    return spark.sql("SELECT key, round(initial, 9) + 0.0D AS initial, round(exact, 9) + 0.0D AS exact FROM problem_values(TABLE(gridloom_points), 'continuity_2', 0.25D)")
+
+
+#: Two fields over as many cells: their speeds, how fast they exchange, and a step.
+PAIR, SPEED, EXCHANGE, PAIR_DT = 16, {"orders": 1.0, "lines": 0.5}, 3.0, 0.01
+
+
+def _pair_sql() -> str:
+    def hist(table, column, most):
+        return f"(SELECT i, coalesce(c, 0) / (SELECT count(*) FROM {table})::DOUBLE AS u FROM generate_series(0, {PAIR - 1}) s(i) LEFT JOIN (SELECT CAST(floor({column} / {most}::DOUBLE * {PAIR}) AS BIGINT) AS i, count(*)::DOUBLE AS c FROM {table} GROUP BY 1) h USING (i))"
+
+    def rate(t, name):
+        return f"{name} AS MATERIALIZED (SELECT a.f, a.i, (b.u - a.u) * {PAIR} * CASE WHEN a.f = 'orders' THEN {SPEED['orders']} ELSE {SPEED['lines']} END + {EXCHANGE} * (c.u - a.u) AS u FROM {t} a JOIN {t} b ON b.f = a.f AND b.i = (a.i + {PAIR - 1}) % {PAIR} JOIN {t} c ON c.f <> a.f AND c.i = a.i)"
+
+    def add(name, *parts):
+        return f"{name} AS MATERIALIZED (SELECT f, i, sum(u) AS u FROM (" + " UNION ALL ".join(f"SELECT f, i, {w!r}::DOUBLE * u AS u FROM {t}" for w, t in parts) + ") GROUP BY f, i)"
+
+    out = f"WITH s0 AS MATERIALIZED (SELECT 'orders' AS f, i, u FROM {hist('orders', 'o_totalprice', 600000)} UNION ALL SELECT 'lines', i, u FROM {hist('lineitem', 'l_extendedprice', 110000)})"
+    for k in range(2):
+        s, p = f"s{k}", f"r{k}"
+        out += ", " + ", ".join([rate(s, f"{p}1"), add(f"{p}a", (1.0, s), (0.5 * PAIR_DT, f"{p}1")), rate(f"{p}a", f"{p}2"), add(f"{p}b", (1.0, s), (-PAIR_DT, f"{p}1"), (2 * PAIR_DT, f"{p}2")), rate(f"{p}b", f"{p}3"),
+                                 add(f"s{k + 1}", (1.0, s), (PAIR_DT / 6, f"{p}1"), (2 * PAIR_DT / 3, f"{p}2"), (PAIR_DT / 6, f"{p}3"))])
+    return out + " SELECT f AS field, i AS k, round(u, 9) + 0.0 AS v FROM s2"
+
+
+@query("m14_coupled_fields", _pair_sql())
+def coupled_fields(spark, sf):
+    """The density of the orders' totals and that of the lines' prices, each carried along and exchanging, stepped together."""
+    def cells(table, column, most):
+        t = read(spark, sf, table)
+        own = t.groupBy(F.floor(F.col(column) / float(most) * PAIR).cast("long").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        return own.join(F.broadcast(t.agg(F.count(F.lit(1)).cast("double").alias("n")))).where(F.col("k").between(0, PAIR - 1)).select("k", (F.col("c") / F.col("n")).alias("v"))
+
+    cell = spark.range(PAIR).select(F.col("id").alias("row"))
+    near = F.array(F.struct(F.col("row").alias("col"), F.lit(-1.0 * PAIR).alias("v")), F.struct(F.pmod(F.col("row") - 1, F.lit(PAIR)).alias("col"), F.lit(1.0 * PAIR).alias("v")))
+    carry = cell.select("row", F.explode(near).alias("e")).select("row", "e.col", "e.v")
+    eye = cell.select("row", F.col("row").alias("col"), F.lit(EXCHANGE).alias("v"))
+    blocks = [Fields.block(f, f, carry, SPEED[f]) for f in SPEED] + [Fields.block(f, f, eye, -1.0) for f in SPEED] + [Fields.block("orders", "lines", eye), Fields.block("lines", "orders", eye)]
+    terms = blocks[0]
+    for b in blocks[1:]:
+        terms = terms.unionByName(b)
+    state = Fields.state_of({"orders": cells("orders", "o_totalprice", 600_000), "lines": cells("lineitem", "l_extendedprice", 110_000)})
+    return Fields.advanced(state, terms, PAIR_DT, 2).select("field", "k", (F.round("v", 9) + 0.0).alias("v"))
