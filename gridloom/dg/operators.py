@@ -218,6 +218,11 @@ class Operators:
             last.factored = {}
         return last
 
+    @staticmethod
+    def forget() -> None:
+        """Lets the operators of the last call and their factors go: a run holds them as long as it goes on."""
+        Operators._last = None
+
     def factors_of(self, dt: float) -> Factors:
         """LU factors of the implicit step's matrix, made once for a step size."""
         if dt not in self.factored:

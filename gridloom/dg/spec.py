@@ -46,6 +46,8 @@ class Partial:
     right_values: tuple | None = None
     left_time: Callable | None = None
     right_time: Callable | None = None
+    #: Whether the coefficients stay the same in time. Where it isn't declared, they are looked at at some points and times.
+    steady: bool | None = None
 
     def __post_init__(self):
         if self.kind not in ("mass", "div", "grad", "penalty") or self.flux not in FLUX:
@@ -115,12 +117,15 @@ class Problem:
         return replace(self, dims=one(self.dims), terms=terms, initial=tuple(one(f) for f in self.initial), sources=sources, exact=None)
 
     def depends_on_time(self) -> bool:
-        """Whether a coefficient differs between times, at some points of its dimension."""
+        """Whether a coefficient changes with time: as its partial term declares, else by its values at some points and times."""
         for t in self.terms:
             for dim, parts in zip(self.dims, t.chains, strict=True):
-                x = dim.low + (dim.high - dim.low) * np.array([0.11, 0.37, 0.52, 0.83])
+                x = dim.low + (dim.high - dim.low) * (np.arange(33) + 0.37) / 33.5
                 for p in parts:
-                    if p.g is not None and len({np.asarray(p.g(x, at), float).tobytes() for at in (0.0, 0.3, 1.7)}) > 1:
+                    if p.steady is not None:
+                        if not p.steady:
+                            return True
+                    elif any(g is not None and len({np.asarray(g(x, at), float).tobytes() for at in (0.0, 0.3, 1.7, 2.9, 17.0, 300.0)}) > 1 for g in (p.g, p.lhs)):
                         return True
         return False
 

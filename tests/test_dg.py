@@ -380,3 +380,17 @@ def test_plots(spark, tmp_path):
 def test_first_dimension_alone():
     p = problem("continuity_3").along(1)
     assert len(p.dims) == 1 and all(len(t.chains) == 1 for t in p.terms) and p.initial
+
+
+def test_time_dependence_is_declared_or_looked_at():
+    from gridloom.dg.operators import Operators
+    from gridloom.dg.spec import Dim, Partial, Problem, Term, one
+
+    late = lambda x, t=0.0: np.where(t > 1000.0, 2.0, 1.0) * np.ones_like(x)
+    made = lambda **kw: Problem("p", (Dim(0.0, 1.0, 2, 1),), (Term(((Partial("mass", late, **kw),),)),), ((one,),))
+    assert not made().depends_on_time() and made(steady=False).depends_on_time() and not made(steady=True).depends_on_time()
+    soon = Partial("mass", lambda x, t=0.0: np.where(t > 2.5, 2.0, 1.0) * np.ones_like(x))
+    assert Problem("p", (Dim(0.0, 1.0, 2, 1),), (Term(((soon,),)),), ((one,),)).depends_on_time()
+    for _ in stepping.run(problem("continuity_1", 3, 2), 1):
+        assert Operators._last is not None
+    assert Operators._last is None  # a run that has ended holds nothing
