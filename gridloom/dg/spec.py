@@ -125,7 +125,7 @@ class Problem:
                     if p.steady is not None:
                         if not p.steady:
                             return True
-                    elif any(g is not None and len({np.asarray(g(x, at), float).tobytes() for at in (0.0, 0.3, 1.7, 2.9, 17.0, 300.0)}) > 1 for g in (p.g, p.lhs)):
+                    elif p.g is not None and len({np.asarray(p.g(x, at), float).tobytes() for at in (0.0, 0.3, 1.7, 2.9, 17.0, 300.0)}) > 1:
                         return True
         return False
 
