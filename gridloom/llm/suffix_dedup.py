@@ -19,12 +19,15 @@ It is applied where texts are alike, not to the whole corpus in one task:
    that has several are put through a suffix array, whose symbols are short blocks
    aligned at the anchor; suffixes with enough common symbols give the candidates,
    and the bytes of their windows decide which start elsewhere earlier. An anchor
-   with more than ``HOT`` contexts (a run of blanks) would be too much for a task:
-   its contexts are taken apart into windows, which are grouped by digest.
+   with more than ``HOT`` contexts (a run of blanks) would be too much for one array:
+   its contexts are dealt by further symbols. Windows whose anchor stands at up to
+   a block's places share the ``WHOLE`` blocks that all of them hold, so the part of a
+   context that these windows cover goes to the array of those blocks; parts
+   that were there before are repeats as a whole, as contexts are.
 4. The intervals of each document are united and cut out of its text.
 
-Whole texts are told apart by SHA-256, contexts and windows of hot anchors by
-128-bit digests, all others by their bytes.
+Whole texts are told apart by SHA-256, contexts and parts of contexts that are equal
+as a whole by 128-bit digests, all windows of others by their bytes.
 Defined cases: a null text is empty; rows of one doc_id are one document, so their equal
 starts are not earlier than each other; null doc_ids come after all others; texts
 shorter than the window lose nothing; other columns are ignored. A long text is taken
@@ -52,13 +55,14 @@ GRAM = 32
 #: Anchor keys of a bucket, about; runs of a bucket of windows, about.
 BUCKET_KEYS = 500_000
 BUCKET_RUNS = 20_000
-#: Contexts of an anchor that go through one suffix array at most; beyond, their windows are grouped one by one.
+#: Contexts of an anchor that go through one suffix array at most; beyond, they are dealt to several.
 HOT = 20_000
 #: Windows whose anchors are found at once; a place among them and the anchor's width fits ``PLACE`` bits.
 SEGMENT = 1 << 21
 PLACE = 22
-#: Bytes of a symbol of the suffix array.
+#: Bytes of a symbol of the suffix array, and symbols that any window holds in full.
 BLOCK = 8
+WHOLE = (WINDOW - BLOCK + 1) // BLOCK
 #: Bytes of row marks that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 LAST = (1 << 63) - 1
@@ -334,18 +338,30 @@ def emit_contexts(with_bytes: bool):
     return run
 
 
-def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of contexts with their bytes: digest, document, start in it, row."""
+def emit_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts with their bytes, cut into parts: the windows that begin between k and k + 1 blocks before the anchor, for each k.
+
+    ``key`` is a hash of the blocks that all windows of a part hold, ``context`` tells parts apart.
+    """
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
             part = batch.slice(first, 1000)
-            raw = part.column("bytes").to_pylist()
-            count = np.array([len(r) - WINDOW + 1 for r in raw], np.int64)
-            own = np.repeat(np.arange(len(raw)), count)
-            start = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            digests = [digest(r[k : k + WINDOW]) for r, n in zip(raw, count.tolist(), strict=True) for k in range(n)]
-            columns = [pa.array(digests, pa.binary())] + [pa.array(part.column(c).to_numpy()[own] + (start if c == "low" else 0)) for c in ("doc", "low", "row_key")]
-            yield pa.RecordBatch.from_arrays(columns, names=["window", "doc", "low", "row_key"])
+            keys, leads, raws = (part.column(c).to_pylist() for c in ("key", "lead", "bytes"))
+            out: list[tuple] = []
+            for n, (key, lead, raw) in enumerate(zip(keys, leads, raws, strict=True)):
+                least, most = lead - (len(raw) - WINDOW), lead
+                for k in range(max(0, least) // BLOCK, most // BLOCK + 1):
+                    near, far = max(least, k * BLOCK), min(most, k * BLOCK + BLOCK - 1)
+                    start, own = lead - far, raw[lead - far : lead - near + WINDOW]
+                    held = raw[lead - k * BLOCK : lead + (WHOLE - k) * BLOCK]
+                    deal = int.from_bytes(digest(held + key.to_bytes(8, "little", signed=True) + bytes([k]))[:8], "little", signed=True)
+                    out.append((n, deal, start, far, own, digest(own + bytes([far]))))
+            if not out:
+                continue
+            n, deal, start, far, own, same = zip(*out, strict=True)
+            at = np.array(n)
+            columns = [pa.array(deal, pa.int64()), *[pa.array(part.column(c).to_numpy()[at]) for c in ("doc", "row_key")], pa.array(part.column("low").to_numpy()[at] + np.array(start)), pa.array(far, pa.int32()), pa.array(own, pa.binary()), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "row_key", "low", "lead", "bytes", "context"])
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,10 +464,15 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(stage_rows: DataFrame, texts: DataFrame, key: str, size: str, how: str) -> DataFrame:
-    """``texts`` joined on row_key and doc with a written table of rows, by broadcast if that is small."""
+    """``texts`` joined on row_key and doc with a written table of rows, by broadcast if that is small.
+
+    Beyond that the rows are in the order of their keys, so that a task that is run again
+    sees them in the same order.
+    """
     total = stage_rows.agg(F.sum(F.expr(size))).first()[0] or 0
-    small = F.broadcast(stage_rows) if total <= BROADCAST_BYTES else stage_rows
-    return texts.join(small, (F.col("row_key") == F.col(f"{key}_key")) & (F.col("doc") == F.col(f"{key}_doc")), how)
+    small = total <= BROADCAST_BYTES
+    found = texts.join(F.broadcast(stage_rows) if small else stage_rows, (F.col("row_key") == F.col(f"{key}_key")) & (F.col("doc") == F.col(f"{key}_doc")), how)
+    return found if small else found.sortWithinPartitions("row_key", "doc")
 
 
 def later_ones(stage: Stage, places: DataFrame, key: str) -> DataFrame:
@@ -506,12 +527,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if not number:
             continue
         bytes_of = _joined(own, texts, "m", "length(marks) + 40", "inner").select("doc", "text", "row_key", "marks").mapInArrow(emit_contexts(True), where + "lead int, bytes binary")
+        found = "i_key long, i_doc long, low long, high long"
         if hot:
-            windows = stage.write(bytes_of.mapInArrow(emit_windows, "window binary, doc long, low long, row_key long"))
-            found = later_ones(stage, windows, "window").where("again").select(F.col("row_key").alias("i_key"), F.col("doc").alias("i_doc"), "low", (F.col("low") + WINDOW).alias("high"))
-        else:
-            parts = max(1, -(-int(number) // BUCKET_RUNS))
-            found = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), "i_key long, i_doc long, low long, high long")
+            dealt = later_ones(stage, stage.write(bytes_of.mapInArrow(emit_dealt, where + "lead int, bytes binary, context binary")), "context")
+            ends = (F.col("low") + F.octet_length("bytes")).cast("long").alias("high")
+            intervals = intervals.unionByName(dealt.where("again").select(F.col("row_key").alias("i_key"), F.col("doc").alias("i_doc"), "low", ends))
+            # parts that share their blocks with another one
+            bytes_of = dealt.where("NOT again").drop("again", "context", "rows")
+            some = stage.write(bytes_of.groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+            number = some.agg(F.sum("n")).first()[0] or 0
+            bytes_of = bytes_of.join(some, F.col("key") == F.col("s_key"), "left_semi")
+        parts = max(1, -(-int(number) // BUCKET_RUNS))
+        found = bytes_of.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: repeated_windows(t), found)
         intervals = intervals.unionByName(found)
     spans = intervals.repartition("i_key").groupBy("i_key", "i_doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     spans = stage.write(spans.mapInArrow(unite, "i_key long, i_doc long, spans array<struct<low:long,high:long>>"))
