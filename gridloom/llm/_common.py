@@ -47,6 +47,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Intermediate tables written to the shared folder, which cuts their lineage.
 
@@ -65,11 +69,17 @@ class Stage:
         self.count = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, once: bool = False) -> DataFrame:
+        """The table of ``df``; with ``once`` the shuffle files of its making go when it is written, as nothing else is made from them."""
         self.count += 1
         path = f"{self.base}/{self.count}"
         Stage.open[self.base] = self.spark
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true" if once else before)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

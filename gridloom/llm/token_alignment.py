@@ -20,8 +20,8 @@ document of its own, weighted by how often it occurs:
    (or one document). The distinct segments of a slice are joined to their figures and
    meet the slice's texts, where a document's figures are added up in order.
 
-Nothing is broadcast but the table of id pairs up to ``PAIRS`` rows; beyond that it is
-joined with frequent pairs told apart. A frequent segment is one row of a slice, so
+Broadcast are the table of id pairs up to ``PAIRS`` rows (beyond that it is joined with
+frequent pairs told apart) and the figures of the ``FREQUENT`` most frequent short segments. A frequent segment is one row of a slice, so
 neither words nor copies of documents make a task larger. The documents are read three
 times and must give the same rows in the same partitions each time, as files do.
 
@@ -41,14 +41,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import Stage, bounded_batches, columns_of, read, skewed_join
 
-#: Characters of the texts of a slice.
-SLICE = 16_000_000
+#: Characters of the texts of a slice, and of those that are looked up together.
+SLICE = 32_000_000
+LOOKUP = 500_000
+#: Most frequent segments, of at most ``SHORT`` characters, whose figures go to all tasks; the others go to the slices that have them.
+FREQUENT, SHORT = 100_000, 64
+#: Rows of a batch that a task passes on.
+ROWS = 20_000
 #: Distinct segments that a task counts before it passes them on.
 DISTINCT = 200_000
 #: Rows of the table of id pairs that is broadcast.
@@ -62,8 +68,14 @@ FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def cut(text: str) -> list[str]:
-    """Segments of a text, in order."""
-    return _CUT.findall(text)
+    """Segments of a text that begins with a blank, in order."""
+    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
+        return _CUT.findall(text)
+    # no white space but single blanks and line feeds: the same places, by splitting
+    found = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    if found and not found[-1]:
+        found.pop()
+    return found[1:] if found and not found[0] else found
 
 
 class Tokens:
@@ -125,7 +137,9 @@ def _count(a: str, b: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     own, found = tokens(a, b), Counter()
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["segment", "n"])
+        keys, counts = list(found.keys()), list(found.values())
+        for k in range(0, len(keys), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + ROWS], pa.string()), pa.array(counts[k : k + ROWS], pa.int64())], names=["segment", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -136,10 +150,9 @@ def _count(a: str, b: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             else:
                 found.update(dict.fromkeys(own.segments(" " + text), 0))
             if len(found) > DISTINCT:
-                yield rows()
+                yield from rows()
                 found.clear()
-    if found:
-        yield rows()
+    yield from rows()
 
 
 _ENCODED = "segment string, n long, ok boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
@@ -215,23 +228,30 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield first, batch.slice(low)
 
 
-def _needed(a: str, b: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, segment): the distinct segments of each slice."""
-    own, last, found = tokens(a, b), None, set()
+def _needed(cuts: bool, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, segment): the distinct segments of each slice but for the frequent ones."""
+    segments = cut if cuts else lambda text: [text]
+    last, found, known = None, set(), set(_frequent(frequent)["segment"].to_pylist())
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array([last] * len(found), pa.int64()), pa.array(found, pa.string())], names=["slice", "segment"])
+        every = list(found - known)
+        for k in range(0, len(every), ROWS):
+            part = every[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array([last] * len(part), pa.int64()), pa.array(part, pa.string())], names=["slice", "segment"])
 
     for first, batch in _sliced(batches):
         if first != last:
-            if found:
-                yield rows()
+            yield from rows()
             last, found = first, set()
         for text in batch.column(1).to_pylist():
             if text:
-                found.update(own.segments(" " + text))
-    if found:
-        yield rows()
+                found.update(segments(" " + text))
+    yield from rows()
+
+
+def _frequent(sent) -> pa.Table:
+    """The table of a broadcast in Arrow's format."""
+    return pa.ipc.open_stream(sent.value).read_all()
 
 
 def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,27 +259,53 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([first] * batch.num_rows, pa.int64()), *batch.columns[1:]], names=["slice", *batch.schema.names[1:]])
 
 
-def _fold(a: str, b: str, groups: bool, docs: pa.Table, figures: pa.Table) -> pa.Table:
+def _added(segments, texts: list[str | None], figures: pa.Table, numbers: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """Sums of the figures (with the number of bad segments last) and joined groups of each text."""
+    lists = [segments(" " + t) if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, lists)])
+    at = pc.index_in(pa.array([s for x in lists for s in x], pa.string()), value_set=figures["segment"]).to_numpy()
+    sums = np.zeros((len(at) + 1, numbers.shape[1]), np.int64)
+    np.cumsum(numbers[at], 0, out=sums[1:])
+    found = figures["groups"].take(pa.array(at))
+    joined = [b";".join(found.slice(a, b - a).to_pylist()) if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return sums[ends[1:]] - sums[ends[:-1]], joined
+
+
+def _fold(cuts: bool, groups: bool, frequent, docs: pa.Table, figures: pa.Table) -> pa.Table:
     """Documents of a slice with the sums of their segments' figures and the digest of their groups."""
-    own = tokens(a, b)
-    place = {s: i for i, s in enumerate(figures["segment"].to_pylist())}
-    numbers = np.stack([figures[c].to_numpy() for c in FIGURES], 1) if place else np.zeros((0, len(FIGURES)), np.int64)
-    strings = figures["groups"].to_pylist()
-    bad = {i for i, ok in enumerate(figures["ok"].to_pylist()) if not ok}
-    sums, digests, whole = np.zeros((docs.num_rows, len(FIGURES)), np.int64), [], []
-    for row, text in enumerate(docs["text"].to_pylist()):
-        found = [place[s] for s in own.segments(" " + text)] if text else []
-        if not found or bad and not bad.isdisjoint(found):
-            digests.append("")
-            whole.append(None)
-            continue
-        sums[row] = numbers[found].sum(0)
-        joined = ";".join([strings[i] for i in found])
-        digests.append(hashlib.sha256(joined.encode()).hexdigest())
-        whole.append(joined if groups else None)
-    kept = [docs[c] for c in docs.column_names if c not in ("slice", "text")]
+    _LOADED.clear()  # this worker may have encoded before
+    segments = cut if cuts else lambda text: [text]
+    shared = _frequent(frequent)
+    figures = pa.concat_tables([figures.select(shared.column_names).cast(shared.schema), shared])
+    numbers = np.stack([*(figures[c].to_numpy() for c in FIGURES), ~figures["ok"].to_numpy(zero_copy_only=False)], 1).astype(np.int64)
+    figures = pa.table({"segment": figures["segment"].combine_chunks(), "groups": figures["groups"].cast(pa.binary()).combine_chunks()})
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(docs["text"]), 0).to_numpy())
+    sums, digests, whole, low = [], [], [], 0
+    while low < docs.num_rows:
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + LOOKUP, "right")))
+        own, joined = _added(segments, docs["text"].slice(low, high - low).to_pylist(), figures, numbers)
+        good = (own[:, -1] == 0) & np.array([x is not None for x in joined])
+        sums.append(np.where(good[:, None], own, 0))
+        digests += [hashlib.sha256(x).hexdigest() if g else "" for x, g in zip(joined, good, strict=True)]
+        whole += [x.decode() if g and groups else None for x, g in zip(joined, good, strict=True)]
+        low = high
+    total = np.concatenate(sums) if sums else np.zeros((0, len(FIGURES)), np.int64)
     names = [c for c in docs.column_names if c not in ("slice", "text")]
-    return pa.Table.from_arrays([*kept, *(pa.array(sums[:, k]) for k in range(len(FIGURES))), pa.array(digests, pa.string()), pa.array(whole, pa.string())], names=[*names, *FIGURES, "groups_sha256", "groups"])
+    return pa.Table.from_arrays([*(docs[c] for c in names), *(pa.array(total[:, k]) for k in range(len(FIGURES))), pa.array(digests, pa.string()), pa.array(whole, pa.string())], names=[*names, *FIGURES, "groups_sha256", "groups"])
+
+
+def _often(aligned: DataFrame):
+    """A condition that the most frequent short segments meet, at most ``FREQUENT`` of them: whole steps of frequency, from the top."""
+    step = F.floor(F.log2("n") * 8)
+    short = (F.col("n") > 0) & (F.length("segment") <= SHORT)
+    counts = sorted((tuple(r) for r in aligned.where(short).groupBy(step.alias("step")).count().collect()), reverse=True)  # a row a step: some hundreds
+    least, total = 1 << 30, 0
+    for at, count in counts:
+        total += count
+        if total > FREQUENT:
+            break
+        least = at
+    return short & (step >= least)
 
 
 def align_documents(spark: SparkSession, docs: DataFrame, a: str, b: str, keep: list[str], groups: bool = False) -> DataFrame:
@@ -270,29 +316,36 @@ def align_documents(spark: SparkSession, docs: DataFrame, a: str, b: str, keep:
     one of the result's own columns.
     """
     bounded_batches(spark)
-    stage = Stage(spark, "alignment")
+    stage, cuts = Stage(spark, "alignment"), tokens(a, b).cuts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(docs["text"].cast("string").alias("text"))
     counted = texts.mapInArrow(partial(_count, a, b), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    encoded = stage.write(counted.mapInArrow(partial(_encode, a, b), _ENCODED).withColumn("sid", F.monotonically_increasing_id()))
-    aligned = stage.write(align(encoded, parts))
+    encoded = stage.write(counted.mapInArrow(partial(_encode, a, b), _ENCODED).withColumn("sid", F.monotonically_increasing_id()), once=True)
+    aligned = stage.write(align(encoded, parts), once=True)
     stage.drop(encoded)
-    pairs = stage.write(pair_counts(aligned))
-    links = aligned.select(F.col("segment").alias("s_segment"), F.explode("links").alias("link"))
+    pairs = stage.write(pair_counts(aligned), once=True)
     size = pairs.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    if size[0] <= PAIRS:
-        told = links.join(F.broadcast(pairs), F.col("link") == F.col("pair"))
-    else:
-        told = skewed_join(links, pairs, ("link", "pair"), "rows", size[1])
-    scores = told.groupBy("s_segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Segments with n_best and count_sum."""
+        links = some.select(F.col("segment").alias("s_segment"), F.explode("links").alias("link"))
+        told = links.join(F.broadcast(pairs), F.col("link") == F.col("pair")) if size[0] <= PAIRS else skewed_join(links, pairs, ("link", "pair"), "rows", size[1])
+        scores = told.groupBy("s_segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        both = some.drop("links", "n").join(scores, F.col("segment") == F.col("s_segment"), "left").fillna(0, ["n_best", "count_sum"])  # one that doesn't come back whole may have no link
+        return both.select("segment", "ok", *FIGURES, "groups")
+
     rows = docs.select(F.monotonically_increasing_id().alias("at"), docs["text"].cast("string").alias("text"), *columns_of(docs, *keep))
-    needed = rows.select("at", "text").mapInArrow(partial(_needed, a, b), "slice long, segment string").withColumnRenamed("segment", "r_segment")
-    figures = needed.join(aligned.drop("links", "n"), F.col("r_segment") == F.col("segment")).join(scores, F.col("r_segment") == F.col("s_segment"), "left")
-    figures = figures.select("slice", "segment", "ok", *FIGURES, "groups").fillna(0, ["n_best", "count_sum"])  # one that doesn't come back whole may have no link
+    often = scored(aligned.where(_often(aligned))).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, often.schema) as out:
+        out.write_table(often)
+    frequent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    needed = rows.select("at", "text").mapInArrow(partial(_needed, cuts, frequent), "slice long, segment string").withColumnRenamed("segment", "r_segment")
+    figures = needed.join(scored(aligned), F.col("r_segment") == F.col("segment")).drop("r_segment")
     kept = [f for f in rows.schema.fields if f.name not in ("at", "text")]
     tagged = rows.mapInArrow(_tagged, "slice long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept))
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string, groups string"
-    return tagged.groupBy("slice").cogroup(figures.groupBy("slice")).applyInArrow(partial(_fold, a, b, groups), out)
+    out_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string, groups string"
+    return tagged.groupBy("slice").cogroup(figures.groupBy("slice")).applyInArrow(partial(_fold, cuts, groups, frequent), out_schema)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,9 +61,10 @@ def test_segments_have_the_tokens_of_the_text():
     """The cut is a boundary of both tokenizers whatever stands around it."""
     own = A.tokens(A_PATH, B_PATH)
     assert own.cuts
-    for text in filter(None, texts(1, 3000)):
+    plain = ["a b\nc", "one,\ntwo (x) don't", "end\n", " x", "\nx", "ﬁ é 日本 x", "x\u200by z"]
+    for text in filter(None, texts(1, 3000) + plain):
         parts = own.segments(" " + text)
-        assert "".join(parts) == " " + text
+        assert "".join(parts) == " " + text and parts == A._CUT.findall(" " + text)
         ids = own.encode(parts)
         assert [i for x, _ in ids for i in x] == own.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
         assert [i for _, y in ids for i in y] == own.b.encode(text), repr(text)
@@ -74,13 +75,15 @@ def test_real_texts_have_the_tokens_of_the_text(spark):
     b = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         ids = own.encode(own.segments(" " + r.text))
+        assert own.segments(" " + r.text) == A._CUT.findall(" " + r.text)
         assert [i for x, _ in ids for i in x] == own.a.encode(" " + r.text, add_special_tokens=False).ids
         assert [i for _, y in ids for i in y] == b.encode(r.text)
 
 
-@pytest.mark.parametrize("slice_", [A.SLICE, 60])
-def test_equals_brute_force(spark, monkeypatch, slice_):
+@pytest.mark.parametrize("slice_,frequent", [(A.SLICE, A.FREQUENT), (60, 5), (200, 0)])
+def test_equals_brute_force(spark, monkeypatch, slice_, frequent):
     monkeypatch.setattr(A, "SLICE", slice_)
+    monkeypatch.setattr(A, "FREQUENT", frequent)
     docs = [None, "", " ", "\n", "▁", "x ▁y", "twice", "twice", *texts(7, 250), *texts(8, 12, more=["▁"])]
     own = A.tokens(A_PATH, B_PATH)
     want = brute(own, docs)
