@@ -50,7 +50,7 @@ from gridloom.llm._common import Stage, bounded_batches, columns_of, read, skewe
 
 #: Characters of the texts of a slice, and of those that are looked up together.
 SLICE = 32_000_000
-LOOKUP = 500_000
+LOOKUP = 2_000_000
 #: Most frequent segments, of at most ``SHORT`` characters, whose figures go to all tasks; the others go to the slices that have them.
 FREQUENT, SHORT = 100_000, 64
 #: Rows of a batch that a task passes on.
