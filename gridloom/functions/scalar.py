@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MAX_LEVEL = {1: 62, 2: 33, 3: 20, 4: 16, 5: 13, 6: 9}
 #: Fixed value: what counts as zero after a projection.
 EPS = 2.220446049250313e-16
+#: Type of exact integers that may not fit 64 bits.
+WIDE = "decimal(38,0)"
 
 
 def pow2(k: Column) -> Column:
@@ -18,9 +20,14 @@ def pow2(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
-def int_pow(base: Column, power: int) -> Column:
-    """base**power by products of bigints: exact as long as it fits."""
-    return reduce(lambda a, _: a * base, range(power), F.lit(1).cast("long"))
+def integer_type(largest: int) -> str:
+    """The type for integers of at most this absolute value."""
+    return "long" if largest < 1 << 63 else WIDE
+
+
+def int_pow(base: Column, power: int, kind: str = "long") -> Column:
+    """base**power by products of integers of a type: exact as long as it fits."""
+    return reduce(lambda a, _: a * base, range(power), F.lit(1).cast(kind)).cast(kind)
 
 
 def index_1d(level: Column, cell: Column) -> Column:

@@ -43,6 +43,11 @@ def read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def largest(df, column):
+    """The largest absolute value of an integer column, 0 without one."""
+    return df.agg(F.max(F.abs(column))).first()[0] or 0
+
+
 def places(spark, sf):
     """Rows of lineitem as points x1, x2, x3 of the unit cube."""
     return read(spark, sf, "lineitem").select(*[M.scaled(F.col(c), 0.0, hi).alias(f"x{k}") for k, (c, hi) in enumerate(PLACES, 1)])
@@ -368,10 +373,11 @@ def ancestors(spark, sf):
 
 @query("i01_index_math", f"SELECT i, ({LEVEL.format(i='i')})::INTEGER AS l, (CASE WHEN i < 2 THEN 0 ELSE i - (1::BIGINT << (length(bin(i)) - 1)) END)::BIGINT AS c, i AS back, 1::BIGINT << (i % 62)::INTEGER AS power, i * i * i AS cube FROM (SELECT DISTINCT o_orderkey * 37 + (1::BIGINT << (o_custkey % 40)::INTEGER) % 100003 AS i FROM orders)")
 def index_math(spark, sf):
-    """Powers, level and cell of an index and back."""
-    out = read(spark, sf, "orders").select((F.col("o_orderkey") * 37 + S.pow2(F.col("o_custkey") % 40) % 100003).alias("i")).distinct()
-    out = out.withColumns({"l": S.level_of(F.col("i")), "c": S.cell_of(F.col("i"))})
-    return out.withColumns({"back": S.index_1d(F.col("l"), F.col("c")), "power": S.pow2(F.col("i") % 62), "cube": S.int_pow(F.col("i"), 3)})
+    """Powers, level and cell of an index and back. Cubes are decimals where one doesn't fit a bigint (SQL's overflow)."""
+    out = read(spark, sf, "orders").select((F.col("o_orderkey") * 37 + S.pow2(F.col("o_custkey") % 40) % 100003).alias("i"))
+    kind = S.integer_type(largest(out, "i") ** 3)
+    out = out.distinct().withColumns({"l": S.level_of(F.col("i")), "c": S.cell_of(F.col("i"))})
+    return out.withColumns({"back": S.index_1d(F.col("l"), F.col("c")), "power": S.pow2(F.col("i") % 62), "cube": S.int_pow(F.col("i"), 3, kind)})
 
 
 @query("i06_element_ids", TABLE3 + f" SELECT id, ({I3[0]})::BIGINT AS i1, ({I3[1]})::BIGINT AS i2, ({I3[2]})::BIGINT AS i3 FROM tab")
