@@ -88,9 +88,9 @@ def default_restart(n: Column) -> Column:
     return F.least(F.greatest(fits, F.least(F.lit(10), n)), F.least(F.lit(200), n))
 
 
-def packed_upper(i: Column, j: Column) -> Column:
-    """Place of (i, j), i <= j, in a packed upper triangle."""
-    return i + F.floor(j * (j + 1) / 2).cast("long")
+def packed_upper(i: Column, j: Column, kind: str = "long") -> Column:
+    """Place of (i, j), i <= j, in a packed upper triangle: exact as long as it fits the type, since the even one of j and j + 1 is halved before they are multiplied."""
+    return (i.cast(kind) + F.shiftright(j + 1, 1).cast(kind) * (j + 1 - j % 2)).cast(kind)
 
 
 def ints_from_string(s: Column) -> Column:

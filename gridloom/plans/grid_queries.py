@@ -402,11 +402,13 @@ def outside(spark, sf):
 
 @query("i12_closed_forms", "SELECT n, n * 8 / 1048576.0::DOUBLE AS mb, least(greatest(floor(512.0 / (n * 8 / 1048576.0::DOUBLE))::BIGINT, least(10, n)), least(200, n)) AS restart, n + (n + 3) * (n + 4) // 2 AS packed, (power(n % 5 + 1, 4) * 2 * 3 * 2 * n)::BIGINT AS flops, n % 3 > 0 AND (n % 3 = 1 OR (n + 1) % greatest(n % 3, 1) = 0) AS writes, (3 * (1::BIGINT << (n % 9)::INTEGER)) * (2 * (1::BIGINT << (n % 4)::INTEGER)) AS dense FROM (SELECT DISTINCT 1 + c_custkey * c_custkey * 17 AS n FROM customer)")
 def closed_forms(spark, sf):
-    """Sizes, restarts, packed places, work, write steps."""
+    """Sizes, restarts, packed places, work, write steps. Places are decimals where one doesn't fit a bigint (SQL's overflow)."""
     n = F.col("n")
-    out = read(spark, sf, "customer").select((1 + F.col("c_custkey") * F.col("c_custkey") * 17).alias("n")).distinct()
-    return out.select(
-        "n", S.megabytes(n).alias("mb"), S.default_restart(n).alias("restart"), S.packed_upper(n, n + 3).alias("packed"), S.flops(F.lit(3), n % 5 + 1, F.lit(2), n).alias("flops"),
+    out = read(spark, sf, "customer").select((1 + F.col("c_custkey") * F.col("c_custkey") * 17).alias("n"))
+    most = largest(out, "n")
+    kind = S.integer_type(most + (most + 3) * (most + 4) // 2)
+    return out.distinct().select(
+        "n", S.megabytes(n).alias("mb"), S.default_restart(n).alias("restart"), S.packed_upper(n, n + 3, kind).alias("packed"), S.flops(F.lit(3), n % 5 + 1, F.lit(2), n).alias("flops"),
         S.writes_at(n, n % 3).alias("writes"), (3 * S.pow2(n % 9) * 2 * S.pow2(n % 4)).alias("dense"))
 
 
