@@ -30,6 +30,8 @@ from gridloom.llm.textkernel import Words, mix, span_hashes, text_slices
 
 SAMPLE = 1_500
 FEW = 500
+#: Bytes of the sample's texts that the fit on the driver looks at together.
+FIT_SPAN = 1 << 17
 BUCKETS = 1 << 16
 FAMILIES = 3
 THRESHOLD = 0.25
@@ -89,21 +91,34 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict | None:
     y = np.asarray(labels, float)
     if len(set(labels)) < 2:
         return None
-    rows, cols, values = [], [], []
-    array = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["i", "t"])
-    for low, _, data, offsets in text_slices(array):
-        words = Words(data, offsets, False)
+    n, m = len(texts), FAMILIES * BUCKETS
+    #: (row, column, value) of the texts of a slice; what is computed from them takes a slice's memory and not the sample's
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    array = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts, pa.string())], names=["i", "t"])
+    for low, _, data, offsets in text_slices(array, span=FIT_SPAN):
+        words, own = Words(data, offsets, False), []
         for family, (at, text) in enumerate(buckets(words)):
             size = np.bincount(text, minlength=len(words.counts))
             key, count = np.unique(text * BUCKETS + at, return_counts=True)
-            rows.append((key // BUCKETS + low).astype(np.int32))
-            cols.append((key % BUCKETS + family * BUCKETS).astype(np.int32))
-            values.append((count / size[key // BUCKETS]).astype(np.float32))
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    del rows, cols, values
-    n, m = len(texts), FAMILIES * BUCKETS
-    scale = 1 / np.sqrt(np.bincount(col, value * value, m) / n + 1e-7)  # rare buckets weigh no more than common ones
-    value = value * np.minimum(scale[col], 60.0)
+            own.append(((key // BUCKETS + low).astype(np.int32), (key % BUCKETS + family * BUCKETS).astype(np.int32), (count / size[key // BUCKETS]).astype(np.float32)))
+        parts.append(tuple(np.concatenate(x) for x in zip(*own, strict=True)))
+    square = np.zeros(m)
+    for _, col, value in parts:
+        np.add.at(square, col, value * value)
+    scale = 1 / np.sqrt(square / n + 1e-7)  # rare buckets weigh no more than common ones
+    most = np.minimum(scale, 60.0)
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for row, col, value in parts:
+            out += np.bincount(row, value * most[col] * w[col], n)  # a row is in one part
+        return out
+
+    def slopes(error: np.ndarray) -> np.ndarray:
+        out = np.zeros(m)
+        for row, col, value in parts:
+            np.add.at(out, col, value * most[col] * error[row])
+        return out
 
     def descend(own: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         """Weights and bias fitted on the rows ``own``, and the score of every row."""
@@ -111,14 +126,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict | None:
         w, b = np.zeros(m), 0.0
         first, second = np.zeros(m + 1), np.zeros(m + 1)
         for step in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(scores(w) + b, -30, 30)))
             error = (p - y) * share
-            slope = np.append(np.bincount(col, value * error[row], m) + 1e-4 * w, error.sum())
+            slope = np.append(slopes(error) + 1e-4 * w, error.sum())
             first = 0.9 * first + 0.1 * slope
             second = 0.99 * second + 0.01 * slope * slope
             move = 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
             w, b = w - move[:-1], b - move[-1]
-        return w, b, np.bincount(row, value * w[col], n) + b
+        return w, b, scores(w) + b
 
     part = mix(np.arange(n, dtype=np.uint64)) % np.uint64(5)
     both = lambda rows: len({*y[rows]}) == 2

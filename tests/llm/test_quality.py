@@ -103,3 +103,21 @@ def test_character_grams_are_characters():
     words = Words(np.frombuffer("".join(texts).encode(), np.uint8), offsets, False)
     grams, text = quality.character_grams(words)
     assert text.tolist() == [0, 0, 1, 4] and grams[1] == grams[2] and len({*grams.tolist()}) == 3
+
+
+def test_the_fit_takes_the_memory_of_a_slice(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"{a}{b}" for a in ("so", "ta", "mi", "ul", "ker") for b in range(2_000)])
+    texts = [" ".join(words[rng.integers(0, len(words) // (1 + k % 2), 600)]) for k in range(500)]
+    labels = [k % 2 for k in range(500)]
+    tracemalloc.start()
+    found = quality.fit(texts, labels, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+    # the slices make no difference
+    monkeypatch.setattr(quality, "FIT_SPAN", 1 << 30)
+    whole = quality.fit(texts, labels, 3)
+    assert (found["weights"] == whole["weights"]).all() and all(found[k] == whole[k] for k in ("bias", "slope", "level"))
