@@ -1,9 +1,10 @@
 """Restarted, preconditioned GMRES over vectors in long form.
 
 A vector is a table (keys..., v); a key that isn't there is 0. The operator is a function
-of such tables. Basis vectors are written to the shared folder and deleted when their
-cycle ends, so that at most ``restart`` + 3 are kept; only their inner products come to
-the driver, all those of a step in one job.
+of such tables. A step writes one table to the shared folder, which has the operator's
+result beside the basis vectors, an array for each key, and deletes the table of the step
+before: orthogonalization is arithmetic within its rows, and only inner products, all
+those of a pass in one job, come to the driver.
 """
 
 from __future__ import annotations
@@ -37,15 +38,23 @@ def norm(a: Vector) -> float:
     return float(np.sqrt(a.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0))
 
 
-def dots(keys: list[str], a: Vector, others: list[Vector]) -> np.ndarray:
-    """Inner products of a vector with several in one job."""
-    every = [b.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("v").alias("w"), F.lit(i).alias("other")) for i, b in enumerate(others)]
-    on = reduce(Column.__and__, [F.col(k) == F.col(f"o_{k}") for k in keys])
-    found = a.join(reduce(DataFrame.unionByName, every), on).groupBy("other").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    out = np.zeros(len(others))
-    for r in found.collect():
-        out[r["other"]] = r["dot"]
-    return out
+def weighted(weights: np.ndarray) -> Column:
+    """The basis vectors of a row, weighted and summed."""
+    return reduce(Column.__add__, [F.col("q")[i] * float(w) for i, w in enumerate(weights)])
+
+
+def dots(rows: DataFrame, v: Column, count: int) -> np.ndarray:
+    """Inner products of v with each of the basis vectors, and the square of its norm, in one job."""
+    each = [F.coalesce(F.sum(v * F.col("q")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(count)]
+    return np.array(rows.agg(*each, F.coalesce(F.sum(v * v), F.lit(0.0)).alias("square")).first(), float)
+
+
+def beside(keys: list[str], w: Vector, basis: DataFrame, count: int) -> DataFrame:
+    """keys, v of w, q of the basis: zeros where either has no row."""
+    own = basis.select(*[F.col(k).alias(f"b_{k}") for k in keys], "q")
+    on = reduce(Column.__and__, [F.col(k) == F.col(f"b_{k}") for k in keys])
+    every = w.join(own, on, "full")
+    return every.select(*[F.coalesce(k, f"b_{k}").alias(k) for k in keys], F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("q", F.array_repeat(F.lit(0.0), count)).alias("q"))
 
 
 def jacobi(keys: list[str], diagonal: DataFrame) -> Callable[[Vector], Vector]:
@@ -75,29 +84,26 @@ def gmres(keys: list[str], apply: Callable[[Vector], Vector], b: Vector, x: Vect
             return Solution(x, beta / scale, steps)
         if steps >= most:
             raise RuntimeError(f"the linear solver has a residual of {beta / scale:.3g} after {steps} steps")
-        basis = [scratch.write(total(keys, [(1 / beta, r)]))]
-        scratch.drop(r)
+        basis, rows = r.select(*keys, F.array(F.col("v") / beta).alias("q")), r
         h, y = np.zeros((restart + 1, restart)), np.zeros(0)
         for j in range(restart):
             steps += 1
-            w = scratch.write(apply(own(basis[j])).select(*keys, "v"))
+            w = total(keys, [(1.0, apply(own(basis.select(*keys, F.col("q")[j].alias("v")))))])
+            after = scratch.write(beside(keys, w, basis, j + 1))
+            scratch.drop(rows)
+            rows, v = after, F.col("v")
             for _ in range(2):  # twice, since one pass loses orthogonality
-                found = dots(keys, w, basis)
-                h[: j + 1, j] += found
-                less = scratch.write(total(keys, [(1.0, w), *[(-float(f), q) for f, q in zip(found, basis, strict=True)]]))
-                scratch.drop(w)
-                w = less
-            h[j + 1, j] = norm(w)
+                h[: j + 1, j] += dots(rows, v, j + 1)[:-1]
+                v = F.col("v") - weighted(h[: j + 1, j])
+            h[j + 1, j] = np.sqrt(dots(rows, v, 0)[-1])
             right = np.zeros(j + 2)
             right[0] = beta
             y, *_ = np.linalg.lstsq(h[: j + 2, : j + 1], right, rcond=None)
             done = np.linalg.norm(h[: j + 2, : j + 1] @ y - right) <= tolerance * scale or h[j + 1, j] <= 1e-14 * beta
-            if not done and j + 1 < restart and steps < most:
-                basis.append(scratch.write(total(keys, [(1 / h[j + 1, j], w)])))
-            scratch.drop(w)
             if done or j + 1 == restart or steps >= most:
                 break
-        more = own(total(keys, [(float(c), q) for c, q in zip(y, basis, strict=True)]))
+            basis = rows.select(*keys, F.array_append("q", v / float(h[j + 1, j])).alias("q"))
+        more = own(rows.select(*keys, weighted(y).alias("v")))
         after = scratch.write(total(keys, [(1.0, x), (1.0, more)]))
-        scratch.drop(x, *basis)
+        scratch.drop(x, rows)
         x = after

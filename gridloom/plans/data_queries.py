@@ -359,6 +359,10 @@ def streamed_steps(spark, sf):
     return _flat(spark.read.schema(E.OUT).parquet(f"{base}/out"))
 
 
+#: Suppliers whose values are sent to all tasks; the values of more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
 def supplier_graph(spark, sf):
     """(row, col, v): how often two suppliers stand on neighbouring lines of an order, in both directions; and the suppliers (k, d, b)."""
     line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
@@ -379,15 +383,17 @@ def graph_gmres(spark, sf):
     """Balances spread over the graph of suppliers, by GMRES with a restart after ten steps and a diagonal preconditioner."""
     edges, nodes = supplier_graph(spark, sf)
     scratch = Scratch(spark, "graph")
-    edges, nodes = scratch.write(edges), scratch.write(nodes)
+    nodes = scratch.write(nodes)
+    # a row's entries lie together, so that its sum is made before the shuffle
+    matrix = edges.select("row", "col", (-F.col("v")).alias("v")).unionByName(nodes.select(F.col("k").alias("row"), F.col("k").alias("col"), F.col("d").alias("v")))
+    matrix = scratch.write(matrix.repartition("row"))
+    sent = F.broadcast if nodes.count() <= BROADCAST_ROWS else lambda df: df
 
     def apply(x):
-        own = x.select(F.col("k").alias("x_k"), F.col("v").alias("x_v"))
-        spread = edges.join(own, F.col("col") == F.col("x_k")).select(F.col("row").alias("k"), (-F.col("v") * F.col("x_v")).alias("v"))
-        kept = nodes.select("k", "d").join(own, F.col("k") == F.col("x_k")).select("k", (F.col("d") * F.col("x_v")).alias("v"))
-        return kept.unionByName(spread).groupBy("k").agg(F.sum("v").alias("v"))
+        own = sent(x.select(F.col("k").alias("x_k"), F.col("v").alias("x_v")))
+        return matrix.join(own, F.col("col") == F.col("x_k")).groupBy(F.col("row").alias("k")).agg(F.sum(F.col("v") * F.col("x_v")).alias("v"))
 
-    diagonal = krylov.jacobi(["k"], nodes.select("k", F.col("d").alias("v")))
+    diagonal = krylov.jacobi(["k"], sent(nodes.select("k", F.col("d").alias("v"))))
     found = krylov.gmres(["k"], apply, nodes.select("k", F.col("b").alias("v")), restart=10, tolerance=1e-12, precondition=diagonal)
     every = nodes.join(found.x.select(F.col("k").alias("x_k"), "v"), F.col("k") == F.col("x_k"), "left")
     return every.select("k", (F.round(F.coalesce("v", F.lit(0.0)), 6) + 0.0).alias("x"))

@@ -42,3 +42,16 @@ def test_no_right_hand_side_and_no_convergence(spark):
     one = spark.createDataFrame([(1, 1.0)], "k long, v double")
     with pytest.raises(RuntimeError, match="residual"):
         krylov.gmres(["k"], apply, one, restart=2, most=2, tolerance=1e-14)
+
+
+def test_a_step_writes_one_table(spark, monkeypatch):
+    a, apply, _ = system(spark, 8, 2, 0.2)
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: written.append(1) or write(self, df))
+    # keys without a right-hand side come in by the operator
+    found = krylov.gmres(["k"], apply, spark.createDataFrame([(0, 1.0)], "k long, v double"), tolerance=1e-9)
+    x = np.zeros(8)
+    for r in found.x.collect():
+        x[r.k] = r.v
+    assert np.allclose(x, np.linalg.solve(a, np.eye(8)[0]), atol=1e-7)
+    assert len(written) <= found.steps + 5  # besides: the right-hand side, the first x, two residuals and the solution
