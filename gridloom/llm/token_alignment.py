@@ -48,9 +48,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import Stage, bounded_batches, columns_of, read, skewed_join
 
-#: Characters of the texts of a slice, and of those that are looked up together.
+#: Characters of the texts of a slice, of those that are looked up together, as each look-up hashes all segments of the slice, and of those that are cut and added up together.
 SLICE = 32_000_000
-LOOKUP = 2_000_000
+LOOKUP = 8_000_000
+TOGETHER = 500_000
 #: Most frequent segments, of at most ``SHORT`` characters, whose figures go to all tasks; the others go to the slices that have them.
 FREQUENT, SHORT = 100_000, 64
 #: Rows of a batch that a task passes on.
@@ -259,15 +260,39 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([first] * batch.num_rows, pa.int64()), *batch.columns[1:]], names=["slice", *batch.schema.names[1:]])
 
 
-def _added(segments, texts: list[str | None], figures: pa.Table, numbers: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+def _stretches(sizes: np.ndarray, low: int, high: int, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the texts low to high with at most so many characters each (or one text); ``sizes`` are running sums."""
+    while low < high:
+        end = min(high, max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right"))))
+        yield low, end
+        low = end
+
+
+def _looked_up(segments, texts: pa.ChunkedArray, sizes: np.ndarray, low: int, high: int, figures: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each stretch of the texts low to high, the rows of its segments' figures and where each text's begin and end. Cut texts are kept in Arrow, and looked up in one go."""
+    cut_, ends = [], []
+    for a, b in _stretches(sizes, low, high, TOGETHER):
+        lists = [segments(" " + t) if t else [] for t in texts.slice(a, b - a).to_pylist()]
+        cut_.append(pa.array([s for x in lists for s in x], pa.string()))
+        ends.append(np.cumsum([0, *map(len, lists)]))
+    at = pc.index_in(pa.chunked_array(cut_, pa.string()), value_set=figures["segment"])
+    return zip((x.to_numpy(zero_copy_only=False) for x in _same_chunks(at, cut_)), ends, strict=True)
+
+
+def _same_chunks(found: pa.ChunkedArray, like: list[pa.Array]) -> Iterator[pa.Array]:
+    low = 0
+    for x in like:
+        yield found.slice(low, len(x)).combine_chunks()
+        low += len(x)
+
+
+def _added(at: np.ndarray, ends: np.ndarray, figures: pa.Table, numbers: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
     """Sums of the figures (with the number of bad segments last) and joined groups of each text."""
-    lists = [segments(" " + t) if t else [] for t in texts]
-    ends = np.cumsum([0, *map(len, lists)])
-    at = pc.index_in(pa.array([s for x in lists for s in x], pa.string()), value_set=figures["segment"]).to_numpy()
     sums = np.zeros((len(at) + 1, numbers.shape[1]), np.int64)
     np.cumsum(numbers[at], 0, out=sums[1:])
-    found = figures["groups"].take(pa.array(at))
-    joined = [b";".join(found.slice(a, b - a).to_pylist()) if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    found = figures["groups"].take(pa.array(at)).combine_chunks()
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), found), pa.scalar(b";", found.type)).to_pylist()
+    joined = [x if some else None for x, some in zip(joined, np.diff(ends).tolist(), strict=True)]
     return sums[ends[1:]] - sums[ends[:-1]], joined
 
 
@@ -278,17 +303,16 @@ def _fold(cuts: bool, groups: bool, frequent, docs: pa.Table, figures: pa.Table)
     shared = _frequent(frequent)
     figures = pa.concat_tables([figures.select(shared.column_names).cast(shared.schema), shared])
     numbers = np.stack([*(figures[c].to_numpy() for c in FIGURES), ~figures["ok"].to_numpy(zero_copy_only=False)], 1).astype(np.int64)
-    figures = pa.table({"segment": figures["segment"].combine_chunks(), "groups": figures["groups"].cast(pa.binary()).combine_chunks()})
+    figures = pa.table({"segment": figures["segment"].combine_chunks(), "groups": figures["groups"].cast(pa.large_binary()).combine_chunks()})
     sizes = np.cumsum(pc.fill_null(pc.utf8_length(docs["text"]), 0).to_numpy())
-    sums, digests, whole, low = [], [], [], 0
-    while low < docs.num_rows:
-        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + LOOKUP, "right")))
-        own, joined = _added(segments, docs["text"].slice(low, high - low).to_pylist(), figures, numbers)
-        good = (own[:, -1] == 0) & np.array([x is not None for x in joined])
-        sums.append(np.where(good[:, None], own, 0))
-        digests += [hashlib.sha256(x).hexdigest() if g else "" for x, g in zip(joined, good, strict=True)]
-        whole += [x.decode() if g and groups else None for x, g in zip(joined, good, strict=True)]
-        low = high
+    sums, digests, whole = [], [], []
+    for low, high in _stretches(sizes, 0, docs.num_rows, LOOKUP):
+        for at, ends in _looked_up(segments, docs["text"], sizes, low, high, figures):
+            own, joined = _added(at, ends, figures, numbers)
+            good = (own[:, -1] == 0) & np.array([x is not None for x in joined])
+            sums.append(np.where(good[:, None], own, 0))
+            digests += [hashlib.sha256(x).hexdigest() if g else "" for x, g in zip(joined, good, strict=True)]
+            whole += [x.decode() if g and groups else None for x, g in zip(joined, good, strict=True)]
     total = np.concatenate(sums) if sums else np.zeros((0, len(FIGURES)), np.int64)
     names = [c for c in docs.column_names if c not in ("slice", "text")]
     return pa.Table.from_arrays([*(docs[c] for c in names), *(pa.array(total[:, k]) for k in range(len(FIGURES))), pa.array(digests, pa.string()), pa.array(whole, pa.string())], names=[*names, *FIGURES, "groups_sha256", "groups"])

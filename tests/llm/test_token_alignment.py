@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 
@@ -109,3 +111,24 @@ def test_long_texts_groups_and_empty_table(spark):
         assert (got[i].n_a, got[i].n_groups, got[i].groups_sha256) == (w[0], w[2], w[6])
     assert got[0].n_a == 90_001 and hashlib.sha256(got[0].groups.encode()).hexdigest() == got[0].groups_sha256
     assert A.align_documents(spark, spark.createDataFrame([], SCHEMA).select("doc_id", "text"), A_PATH, B_PATH, ["doc_id"]).count() == 0
+
+
+def test_a_slice_hashes_its_segments_once_for_many_texts(monkeypatch):
+    texts = ["ab cd " * 170_000, None, "", "cd", *["ab  ef\n" * 140_000] * 3]
+    names = sorted({s for t in texts if t for s in A.cut(" " + t)})
+    rows = lambda some: pa.table({"segment": pa.array(some, pa.string()), "ok": [s != " cd" for s in some], **{f: pa.array([len(s) + k for s in some]) for k, f in enumerate(A.FIGURES)}, "groups": [f"{len(s)}|1" for s in some]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows(names[:1]).schema) as out:
+        out.write_table(rows(names[:1]))
+    sent = type("Sent", (), {"value": sink.getvalue().to_pybytes()})
+    docs = pa.table({"slice": [0] * len(texts), "doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    calls, look = [], pc.index_in
+    monkeypatch.setattr(A.pc, "index_in", lambda *a, **b: calls.append(1) or look(*a, **b))
+    found = A._fold(True, True, sent, docs, rows(names[1:])).to_pylist()
+    assert len(calls) == 1
+    for r, t in zip(found, texts, strict=True):
+        own = A.cut(" " + t) if t else []
+        good = own and " cd" not in own
+        whole = ";".join(f"{len(s)}|1" for s in own) if good else None
+        assert r["groups"] == whole and r["groups_sha256"] == (hashlib.sha256(whole.encode()).hexdigest() if good else "")
+        assert [r[f] for f in A.FIGURES] == [sum(len(s) + k for s in own) if good else 0 for k in range(len(A.FIGURES))]
