@@ -1,7 +1,8 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Vectors are normalised in double precision and equal ones collapsed. Centroids
-are fitted on a bounded sample; each vector joins the shards of its nearest
+Vectors are normalised in double precision and equal ones collapsed. Groups that
+no shard could hold (see below) are set apart. Centroids
+are fitted on a bounded sample; each other vector joins the shards of its nearest
 centroids, so that shards overlap. In each shard every vector gets its nearest
 ones as candidates, pruned robustly: a candidate goes if a chosen neighbour is
 nearer to it, by a factor, than the vector itself. The adjacency lists of a
@@ -13,7 +14,18 @@ range that belong to other shards come along as the shard's fringe, with their o
 lists, so that the search crosses shards where links may. Pairs found are verified
 by their cosine; a link counts in the first of the vector's shards that hold the other.
 
-Vectors are drawn and compared with all rows, in blocks, until ``AUDIT`` of them
+A group of near copies larger than ``DENSE`` would spread over shards that each see
+a part of its links, so the sample is searched for the middles of such groups. What
+lies around a middle is a cell: a core, within half the threshold's angle, and a
+shell. By the angle to the middle each vector of the table is surely linked with
+all members of a cell, or with none, or neither is sure. Sure links are counted by
+the cell, so a core costs no pairs at all; the rest is compared exactly, in blocks of
+``BLOCK`` by ``BLOCK`` vectors. Vectors in cells are no nodes of the graph.
+
+Whatever the sizes of shards, groups and lists, a task's kernels hold about
+``HELD`` numbers of a kind at once beside the shard's or block's own rows.
+
+Vectors outside of cells are drawn and compared with all such rows, in blocks, until ``AUDIT`` of them
 have a few links; those with few and with many links are judged apart, as a mean
 over the vectors and over the links, so that a large group hides no small one. If
 the search found less than ``RECALL`` of any, the shards' overlap is doubled and
@@ -36,6 +48,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +63,16 @@ SAMPLE = 20_000
 MOST_SHARDS = 4_096
 SHARD = 1_000
 OVERLAP = 2
+#: Centroids nearer than this are one, so that no group of near copies lies between them.
+MERGED = 0.985
+#: Vectors of a group that is set apart, vectors of the sample tried as its middle, vectors of a side of a block of pairs.
+DENSE = 1_000
+TRIED = 2_500
+BLOCK = 2_048
+#: Numbers of a kind that a kernel holds at once.
+HELD = 2 << 20
+#: More than the rounding of an angle's cosine.
+ROUNDING = 1e-7
 #: Candidates and neighbours of a node, the factor of the pruning, the beam of the search.
 CANDIDATES = 40
 DEGREE = 20
@@ -100,46 +123,61 @@ def centroids(sample: list[np.ndarray], k: int, rounds: int = 8) -> np.ndarray:
         np.add.at(total, own, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 0, total / np.maximum(norm, 1e-300), c)
-    return c
+    kept = [0]
+    for i in range(1, len(c)):
+        if (c[kept] @ c[i]).max() < MERGED:
+            kept.append(i)
+    return c[kept]
 
 
-def assign(middle: dict[int, np.ndarray], overlap: int):
-    """Rows (node, unit, size, shards): the nearest shards in order. Shards of different dimensions are apart."""
-    base, at = {}, 0
+def products(units: list[np.ndarray], middle: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(numbers of the rows, number of the first middle, cosines to the middles) by length, so many rows at a time that ``HELD`` bounds them."""
+    base = 0
     for d in sorted(middle):
-        base[d] = at
-        at += len(middle[d])
+        own = np.array([i for i, u in enumerate(units) if len(u) == d], int)
+        step = max(1, HELD // max(1, d, len(middle[d])))
+        for low in range(0, len(own), step):
+            rows = own[low : low + step]
+            yield rows, base, np.array([units[i] for i in rows]) @ middle[d].T
+        base += len(middle[d])
+
+
+def assign(middle: dict[int, np.ndarray], overlap: int):
+    """Rows (node, unit, size, shards): the nearest shards by number. Shards of different dimensions are apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = matrix(batch.column("unit"))
-            shards: list[list[int]] = [[]] * len(units)
-            for d in {len(u) for u in units}:
-                rows = [i for i, u in enumerate(units) if len(u) == d]
-                if d in middle:
-                    near = np.argsort(-(np.array([units[i] for i in rows]) @ middle[d].T), axis=1, kind="stable")[:, :overlap] + base[d]
-                else:  # a length that the sample missed: one shard of its own
-                    near = np.full((len(rows), 1), -d)
-                for i, own in zip(rows, near.tolist(), strict=True):
-                    shards[i] = sorted(own)
+            shards = [[-len(u)] for u in units]  # a length that the sample missed: one shard of its own
+            for rows, base, cosine in products(units, middle):
+                near = np.argpartition(-cosine, overlap - 1, axis=1)[:, :overlap] if overlap < cosine.shape[1] else np.tile(np.arange(cosine.shape[1]), (len(rows), 1))
+                for i, own in zip(rows, np.sort(near + base, axis=1).tolist(), strict=True):
+                    shards[i] = own
             kept = batch.select(["node", "unit", "size"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shards, pa.list_(pa.int64()))], names=["node", "unit", "size", "shards"])
 
     return run
 
 
-def robust_prune(x: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
-    """Neighbours kept of each row's candidates (nearest first, -1: none), by squared distance."""
+def robust_prune(x: np.ndarray, near: np.ndarray, degree: int, alpha: float, rows: np.ndarray | None = None) -> list[np.ndarray]:
+    """Neighbours kept of the candidates (nearest first, -1: none) of each row, or of the ``rows``, by squared distance."""
+    rows = np.arange(len(near)) if rows is None else rows
+    step = max(1, HELD // max(1, near.shape[1] * x.shape[1]))
+    return [own for low in range(0, len(rows), step) for own in _pruned(x, near[low : low + step], x[rows[low : low + step]], degree, alpha)]
+
+
+def _pruned(x: np.ndarray, near: np.ndarray, centre: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     n, width = near.shape
-    alive = near >= 0
-    kept = np.zeros((n, width), bool)
-    safe = np.maximum(near, 0)
-    own = 2 - 2 * np.einsum("ijk,ik->ij", x[safe], x)
+    alive, kept, count = near >= 0, np.zeros((n, width), bool), np.zeros(n, int)
+    around = x[np.maximum(near, 0)]
+    own = 2 - 2 * np.einsum("ijk,ik->ij", around, centre)
+    pairs = 2 - 2 * around @ around.transpose(0, 2, 1) if width <= x.shape[1] else None  # else only those asked for
     for j in range(width):
-        rows = np.flatnonzero(alive[:, j] & (kept.sum(1) < degree))
+        rows = np.flatnonzero(alive[:, j] & (count < degree))
         if len(rows):
             kept[rows, j] = True
-            between = 2 - 2 * np.einsum("ijk,ik->ij", x[safe[rows]], x[safe[rows, j]])
+            count[rows] += 1
+            between = pairs[rows, j] if pairs is not None else 2 - 2 * np.einsum("ijk,ik->ij", around[rows], around[rows, j])
             alive[rows] &= alpha * alpha * between > own[rows]
     return [near[i][kept[i]] for i in range(n)]
 
@@ -149,8 +187,9 @@ def nearest(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
     width = min(width, n - 1)
     out = np.full((n, max(width, 1)), -1)
-    for i in range(0, n, 1024):
-        s = x[i : i + 1024] @ x.T
+    step = max(1, HELD // max(1, n))
+    for i in range(0, n, step):
+        s = x[i : i + step] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         if width:
             part = np.argpartition(-s, width - 1, axis=1)[:, :width]
@@ -168,14 +207,17 @@ def build(least: float):
         for i, k in enumerate(kept):
             for j in k.tolist():
                 both[j].add(i)
-        width = max(map(len, both), default=0)
-        if width > DEGREE:
-            ranked = np.full((len(both), width), -1)
-            for i, b in enumerate(both):
-                own = np.fromiter(b, int, len(b))
-                ranked[i, : len(own)] = own[np.lexsort((own, -(x[own] @ x[i])))]
-            again = robust_prune(x, ranked, DEGREE, 1.0)
-            both = [{*again[i].tolist(), *kept[i].tolist()} for i in range(len(both))]
+        width = np.array([len(b) for b in both])
+        if width.max(initial=0) > DEGREE:
+            order = np.argsort(width, kind="stable")  # few rows have many, as those of a hub
+            for low in range(0, len(order), 256):
+                rows = order[low : low + 256]
+                ranked = np.full((len(rows), max(1, width[rows[-1]])), -1)
+                for k, i in enumerate(rows.tolist()):
+                    own = np.fromiter(both[i], int, len(both[i]))
+                    ranked[k, : len(own)] = own[np.lexsort((own, -(x[own] @ x[i])))]
+                for i, again in zip(rows.tolist(), robust_prune(x, ranked, DEGREE, 1.0, rows), strict=True):
+                    both[i] = {*again.tolist(), *kept[i].tolist()}
         lists = [sorted(b) for b in both]
         close = [[j for j, inside in zip(b, x[b] @ x[i] >= least, strict=True) if inside] if b else [] for i, b in enumerate(lists)]
         named = [pa.array([[nodes[j] for j in b] for b in some], pa.list_(pa.binary())) for some in (lists, close)]
@@ -209,24 +251,53 @@ def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: int, be
         done[rows] |= ~np.isfinite(sims[rows])
 
 
-def expand(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (number of the query, node) of all nodes within ``least`` that are reached over nodes within it."""
+def expand(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, node, cosine) of all nodes within ``least`` that are reached over nodes within it."""
     n = len(x)
-    q, node = np.nonzero(start >= 0)[0], start[start >= 0]
     seen = np.zeros(len(queries) * n, bool)
-    out_q, out_node = [], []
-    while len(q):
-        key = np.unique(q * n + node)
-        key = key[~seen[key]]
-        seen[key] = True
-        q, node = key // n, key % n
-        inside = np.concatenate([np.einsum("ij,ij->i", x[queries[q[i : i + 65536]]], x[node[i : i + 65536]]) for i in range(0, len(q), 65536)]) >= least if len(q) else np.zeros(0, bool)
-        q, node = q[inside], node[inside]
-        out_q.append(q)
-        out_node.append(node)
-        q, node = np.repeat(q, links.shape[1]), links[node].ravel()
-        q, node = q[node >= 0], node[node >= 0]
-    return np.concatenate(out_q) if out_q else q, np.concatenate(out_node) if out_node else node
+    key = np.unique((np.arange(len(queries))[:, None] * n + start)[start >= 0])
+    seen[key] = True
+    few, step = max(1, HELD // x.shape[1]), max(1, HELD // links.shape[1])
+    found, cosines = [np.zeros(0, int)], [np.zeros(0)]
+    while len(key):
+        cosine = np.concatenate([np.einsum("ij,ij->i", x[queries[k // n]], x[k % n]) for k in (key[i : i + few] for i in range(0, len(key), few))])
+        key = key[cosine >= least]
+        found.append(key)
+        cosines.append(cosine[cosine >= least])
+        fresh = [key[:0]]
+        for low in range(0, len(key), step):
+            some = key[low : low + step]
+            new = links[some % n]
+            new = ((some // n * n)[:, None] + new)[new >= 0]
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
+            fresh.append(new)
+        key = np.concatenate(fresh)
+    key = np.concatenate(found)
+    return key // n, key % n, np.concatenate(cosines)
+
+
+def tie(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node known to be connected with each, after pairs are joined; ``parent`` is the one before."""
+    while True:
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low < high
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        parent = parent.copy()
+        np.minimum.at(parent, high[apart], low[apart])
+        while not (parent[parent] == parent).all():
+            parent = parent[parent]
+
+
+def outcome(nodes: list[bytes], count: np.ndarray, parent: np.ndarray) -> pa.Table:
+    """(node, other, links): link counts per node, and the edges of a spanning forest."""
+    some, tied = np.flatnonzero(count).tolist(), np.flatnonzero(parent != np.arange(len(nodes))).tolist()
+    tied = [(nodes[i], nodes[p]) for i, p in zip(tied, parent[tied].tolist(), strict=True) if nodes[i] != nodes[p]]
+    node = [nodes[i] for i in some] + [a for a, _ in tied]
+    links = np.concatenate([count[some], np.zeros(len(tied), np.int64)])
+    return pa.table({"node": pa.array(node, pa.binary()), "other": pa.array([None] * len(some) + [b for _, b in tied], pa.binary()), "links": pa.array(links, pa.int64())})
 
 
 def search(threshold: float):
@@ -236,11 +307,12 @@ def search(threshold: float):
         x, nodes, shard = np.array(matrix(table.column("unit"))), table.column("node").to_pylist(), table.column("shard")[0].as_py()
         size = table.column("size").to_numpy()
         homes, fringes = table.column("shards").to_pylist(), table.column("fringe").to_pylist()
-        at = {v: i for i, v in enumerate(nodes)}
-        lists = [[at[v] for v in own or () if v in at] for own in table.column("neighbours").to_pylist()]
-        links = np.full((len(nodes), max(1, max(map(len, lists)))), -1)
-        for i, own in enumerate(lists):
-            links[i, : len(own)] = own
+        lists = table.column("neighbours").combine_chunks()
+        row, other = pc.list_parent_indices(lists).to_numpy(), pc.index_in(pc.list_flatten(lists), value_set=table.column("node").combine_chunks()).fill_null(-1).to_numpy()
+        row, other = row[other >= 0], other[other >= 0]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        links = np.full((len(nodes), place.max(initial=0) + 1), -1, np.int32)
+        links[row, place] = other
         members = np.array([i for i, own in enumerate(homes) if shard in own])
         # of each member the shards before this one, and whether they hold a node
         before = [[s for s in own if s < shard] if shard in own else [] for own in homes]
@@ -252,33 +324,142 @@ def search(threshold: float):
         for i, own in enumerate(before):
             earlier[i, : len(own)] = [number[s] for s in own]
         medoid = int(members[(x[members] @ x[members].mean(0)).argmax()])
-        count, parent = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for low in range(0, len(members), 256):
-            queries = members[low : low + 256]
-            q, node = expand(x, links, queries, greedy(x, links, queries, medoid, BEAM), threshold - SLACK)
+        count, parent = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        step = max(1, min(256, HELD // len(nodes), 4 * HELD // (links.shape[1] * x.shape[1])))
+        for low in range(0, len(members), step):
+            queries = members[low : low + step]
+            q, node, cosine = expand(x, links, queries, greedy(x, links, queries, medoid, BEAM), threshold - SLACK)
             q = queries[q]
-            good = (q != node) & (np.einsum("ij,ij->i", x[q], x[node]) >= threshold)
+            good = (q != node) & (cosine >= threshold)
             q, node = q[good], node[good]
-            first = ~held[node[:, None], earlier[q]].any(1)
-            np.add.at(count, q[first], size[node[first]])
-            for a, b in zip(q.tolist(), node.tolist(), strict=True):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-        rows = [(nodes[i], None, int(c)) for i, c in enumerate(count) if c] + [(nodes[i], nodes[root(i)], 0) for i in range(len(nodes)) if root(i) != i]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"node": pa.array(columns[0], pa.binary()), "other": pa.array(columns[1], pa.binary()), "links": pa.array(columns[2], pa.int64())})
+            for some in np.array_split(np.arange(len(q)), -(-len(q) * earlier.shape[1] // HELD) or 1):
+                first = some[~held[node[some, None], earlier[q[some]]].any(1)]
+                np.add.at(count, q[first], size[node[first]])
+            parent = tie(parent, q, node)
+        return outcome(nodes, count, parent)
+
+    return run
+
+
+def middles(sample: list[np.ndarray], need: int, threshold: float) -> np.ndarray:
+    """Of groups that have ``need`` or more vectors of the sample around their middle: the middles."""
+    x = np.array(sample)
+    left, out, step = np.ones(len(x), bool), [], max(1, HELD // len(x))
+    near = np.concatenate([(x[i : i + step][: TRIED - i] @ x.T >= threshold).sum(1) for i in range(0, min(TRIED, len(x)), step)])
+    for i in np.argsort(-near, kind="stable"):
+        if near[i] < need:
+            break
+        if left[i]:
+            own = left & (x @ x[i] >= threshold)
+            for _ in range(4):
+                if own.sum() < need:
+                    break
+                middle = x[own].sum(0) / np.linalg.norm(x[own].sum(0))
+                own = left & (x @ middle >= np.sqrt(threshold))
+            if own.sum() >= need:
+                out.append(middle)
+                left &= ~own
+    return np.array(out).reshape(len(out), x.shape[1])
+
+
+def celled(middle: dict[int, np.ndarray], threshold: float):
+    """Rows with the cell of each vector (twice its middle's number, and 1 if it lies in the shell; null if in none) and the cosine to its middle."""
+    core, wide = np.sqrt((1 + threshold) / 2) + 10 * ROUNDING, np.sqrt(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = matrix(batch.column("unit"))
+            cell, inner = np.full(len(units), -1), np.zeros(len(units))
+            for rows, base, cosine in products(units, middle):
+                best = cosine.argmax(1)
+                inner[rows] = cosine[np.arange(len(rows)), best]
+                cell[rows] = np.where(inner[rows] >= wide, 2 * (base + best) + (inner[rows] < core), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, mask=cell < 0), pa.array(inner)], names=[*batch.schema.names, "cell", "inner"])
 
     return run
 
 
+def around(middle: dict[int, np.ndarray], cells: dict[int, float], threshold: float):
+    """Of vectors near cells (by number, with the least cosine of a member to the middle): the cells with which each is surely linked as a whole, and those not sure."""
+    angle = np.arccos(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = matrix(batch.column("unit"))
+            sure: list[list[int]] = [[] for _ in units]
+            unsure: list[list[int]] = [[] for _ in units]
+            for rows, base, cosine in products(units, middle):
+                for part in (0, 1):
+                    numbers = 2 * (base + np.arange(cosine.shape[1])) + part
+                    there = np.array([int(c) in cells for c in numbers])
+                    reach = np.arccos(np.clip([cells.get(int(c), 1.0) for c in numbers], -1, 1))
+                    whole = there & (cosine >= np.cos(angle - reach) + ROUNDING)
+                    for out, hit in ((sure, whole), (unsure, there & ~whole & (cosine >= np.cos(np.minimum(np.pi, angle + reach)) - ROUNDING))):
+                        for i, c in zip(*(k.tolist() for k in np.nonzero(hit)), strict=True):
+                            out[rows[i]].append(int(numbers[c]))
+            near = [i for i in range(len(units)) if sure[i] or unsure[i]]
+            lists = [pa.array([some[i] for i in near], pa.list_(pa.int64())) for some in (sure, unsure)]
+            kept = batch.select(["node", "unit", "size", "cell"]).take(pa.array(near, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=[*kept.schema.names, "sure", "unsure"])
+
+    return run
+
+
+def compared(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one block, members of a cell and vectors near it: (node, other, links) as of a shard; members count the vectors outside of cells alone, others their own."""
+        table = table.sort_by("node")
+        inside = table.column("member").to_numpy().astype(bool)
+        x, nodes, size = np.array(matrix(table.column("unit"))), table.column("node").to_pylist(), table.column("size").to_numpy()
+        outside = table.column("cell").is_null().to_numpy()
+        members, others = np.flatnonzero(inside), np.flatnonzero(~inside)
+        at = {nodes[i]: k for k, i in enumerate(members.tolist())}
+        same = np.array([at.get(nodes[i], -1) for i in others.tolist()], int)
+        count = np.zeros(len(nodes), np.int64)
+        parent = tie(np.arange(len(nodes)), others[same >= 0], members[same[same >= 0]])  # a vector not sure of its own cell stands on both sides
+        step = max(1, HELD // max(1, len(members)))
+        for low in range(0, len(others), step):
+            own, twin = others[low : low + step], same[low : low + step]
+            hit = x[own] @ x[members].T >= threshold
+            hit[np.flatnonzero(twin >= 0), twin[twin >= 0]] = False
+            count[own] += hit @ size[members]
+            count[members] += size[own][outside[own]] @ hit[outside[own]]
+            a, b = np.nonzero(hit)
+            parent = tie(parent, own[a], members[b])
+        return outcome(nodes, count, parent)
+
+    return run
+
+
+def dense_links(stage: Stage, placed: DataFrame, middle: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(node, other, links) of all links that vectors in cells have, exactly: as counts and connecting edges."""
+    inside = placed.where("cell IS NOT NULL").select("node", "unit", "size", "cell")
+    about = F.count(F.lit(1)).alias("rows"), F.sum("size").alias("weight"), F.min("inner").alias("inner"), F.min("node").alias("head")
+    cells = placed.where("cell IS NOT NULL").groupBy("cell").agg(*about).collect()
+    near = stage.write(placed.mapInArrow(around(middle, {r["cell"]: r["inner"] for r in cells}, threshold), "node binary, unit binary, size long, cell long, sure array<long>, unsure array<long>"))
+    told = F.broadcast(stage.spark.createDataFrame([(r["cell"], r["weight"], r["head"]) for r in cells], "t_cell long, weight long, head binary"))
+    sure = near.select("node", "size", "cell", F.explode("sure").alias("s_cell")).join(told, F.col("s_cell") == F.col("t_cell"))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    out = sure.groupBy("node").agg(F.sum(F.col("weight") - F.when(F.col("cell") == F.col("s_cell"), F.col("size")).otherwise(0)).alias("links")).select("node", none.alias("other"), "links")
+    out = out.unionByName(sure.where("node <> head").select("node", F.col("head").alias("other"), zero.alias("links")))
+    more = near.where("cell IS NULL").select(F.explode("sure").alias("m_cell"), "size").groupBy("m_cell").agg(F.sum("size").alias("links"))
+    out = out.unionByName(inside.join(F.broadcast(more), F.col("cell") == F.col("m_cell")).select("node", none.alias("other"), "links"))
+    rows, step = {r["cell"]: r["rows"] for r in cells}, BLOCK
+    unsure = near.select("node", "unit", "size", "cell", F.explode("unsure").alias("b_cell"))
+    dealt = [(r["b_cell"], -(-rows[r["b_cell"]] // step), -(-r["count"] // step)) for r in unsure.groupBy("b_cell").count().collect()]
+    if dealt:
+        blocks = F.broadcast(stage.spark.createDataFrame(dealt, "d_cell long, high int, wide int"))
+        part = lambda side, parts: F.pmod(F.xxhash64(F.lit(side), "node"), parts).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        kept = ("node", "unit", "size", "cell")
+        one = inside.join(blocks, F.col("cell") == F.col("d_cell")).select("d_cell", part("member", F.col("high")).alias("i"), every("wide").alias("j"), *kept, F.lit(True).alias("member"))
+        two = unsure.join(blocks, F.col("b_cell") == F.col("d_cell")).select("d_cell", every("high").alias("i"), part("near", F.col("wide")).alias("j"), *kept, F.lit(False).alias("member"))
+        out = out.unionByName(one.unionByName(two).groupBy("d_cell", "i", "j").applyInArrow(lambda t: compared(threshold)(t), "node binary, other binary, links long"))
+    out = stage.write(out)
+    stage.drop(near)
+    return out
+
+
 def exact_counts(queries: list[tuple[bytes, np.ndarray]], threshold: float):
     """Partial link counts of few queries over all vectors, block by block."""
     by_size: dict[int, list[int]] = {}
@@ -301,9 +482,17 @@ def exact_counts(queries: list[tuple[bytes, np.ndarray]], threshold: float):
     return run
 
 
+def first_by_hash(classes: DataFrame, n: int, limit: int, *salt) -> DataFrame:
+    """The rows with the least hashes; of a large table hardly more than these are sorted and sent."""
+    order, enough = F.xxhash64(*salt, "node"), limit + 6 * limit**0.5 + 50
+    if n > 2 * enough:
+        classes = classes.where(order < int(-(2**63) + 2**64 * (enough / n)))
+    return classes.orderBy(order).limit(limit)
+
+
 def audited(classes: DataFrame, n: int, threshold: float) -> tuple[dict[bytes, int], list[np.ndarray]]:
     """Links of linked vectors beyond their own copies, and the vectors to make pairs of for want of more of them."""
-    drawn = classes.select("node", "unit", "size").orderBy(F.xxhash64(F.lit("audit"), "node")).limit(DRAWN[-1]).collect()
+    drawn = first_by_hash(classes.select("node", "unit", "size"), n, DRAWN[-1], F.lit("audit")).collect()
     queries, copies = [(bytes(r["node"]), np.frombuffer(r["unit"], np.float64)) for r in drawn], {bytes(r["node"]): r["size"] for r in drawn}
     few, many, low = {}, {}, 0
     for high in DRAWN:
@@ -320,6 +509,13 @@ def audited(classes: DataFrame, n: int, threshold: float) -> tuple[dict[bytes, i
     return judged, [u for _, u in queries[:lacking]]
 
 
+def dense_middles(sample: list[np.ndarray], n: int, threshold: float) -> dict[int, np.ndarray]:
+    """By length, the middles of groups that stand in the sample as ``DENSE`` vectors of all ``n`` would."""
+    need = max(8, -(-DENSE * len(sample) // max(1, n)))
+    found = {d: middles([u for u in sample if len(u) == d], need, threshold) for d in {len(u) for u in sample}} if threshold > 0 else {}
+    return {d: c for d, c in found.items() if len(c)}
+
+
 def shared(middle: dict[int, np.ndarray], units: list[np.ndarray], overlap: int, threshold: float) -> list[float]:
     """Of each vector: whether it shares a shard with one at the threshold from it, in some direction."""
     rng, out = np.random.default_rng(5), []
@@ -362,10 +558,18 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     table = stage.write(rows.mapInArrow(unit, "vec_id long, node binary, unit binary"))
     classes = table.where("node IS NOT NULL").groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"))
     classes = stage.write(classes)
-    n = classes.count()
-    sample = [np.frombuffer(r["unit"], np.float64) for r in classes.select("node", "unit").orderBy(F.xxhash64("node")).limit(SAMPLE).collect()]
+    n = total = classes.count()
+    sample = [np.frombuffer(r["unit"], np.float64) for r in first_by_hash(classes.select("node", "unit"), n, SAMPLE).collect()]
+    free, dense = classes, None
+    if apart := dense_middles(sample, n, threshold):
+        placed = stage.write(classes.mapInArrow(celled(apart, threshold), "node binary, unit binary, size long, least long, cell long, inner double"))
+        stage.drop(classes)
+        classes, free = placed, placed.where("cell IS NULL").select("node", "unit", "size")
+        dense, n = dense_links(stage, placed, apart, threshold), free.count()
+        sample = [u for u in sample if len(u) not in apart or (apart[len(u)] @ u).max() < np.sqrt(threshold)]
+        log.info("%d of %d vectors lie around %d middles", total - n, total, sum(map(len, apart.values())))
     middle = {d: centroids([u for u in sample if len(u) == d], min(MOST_SHARDS, -(-n // SHARD))) for d in {len(u) for u in sample}}
-    want, spare = audited(classes, n, threshold)
+    want, spare = audited(free, n, threshold)
     most = max(map(len, middle.values()), default=0)
     recall, searched, width = 1.0, None, overlap
     while n:
@@ -373,7 +577,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         if width < most and measured(want, want, made) < RECALL:  # whatever the search finds
             width *= 2
             continue
-        dealt = stage.write(classes.select("node", "unit", "size").mapInArrow(assign(middle, width), "node binary, unit binary, size long, shards array<long>"))
+        dealt = stage.write(free.select("node", "unit", "size").mapInArrow(assign(middle, width), "node binary, unit binary, size long, shards array<long>"))
         lists = dealt.select(F.explode("shards").alias("shard"), "node", "unit").groupBy("shard")
         lists = lists.applyInArrow(lambda t: build(threshold - SLACK)(t.select(["node", "unit"])), "node binary, neighbours array<binary>, close array<binary>")
         united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("neighbours", "close")]
@@ -387,16 +591,18 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         for made_table in (dealt, graph, searched):
             stage.drop(made_table)
         width *= 2
-    if searched is None:
+    parts = [p for p in (searched, dense) if p is not None]
+    if not parts:
         return table.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), recall
-    counts = searched.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "n_node")
-    labels = components(stage, searched.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    found = parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0]
+    counts = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "n_node")
+    labels = components(stage, found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     labels = labels.select(F.col("node").alias("l_node"), "component")
     full = classes.select("node", "size", "least").join(counts, F.col("node") == F.col("n_node"), "left").join(labels, F.col("node") == F.col("l_node"), "left")
     full = full.select("node", "size", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("group"))
     full = stage.write(full)
     smallest = stage.write(full.groupBy(F.col("group").alias("g_group")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("g_rows")))
-    full = skewed_join(full, smallest, ("group", "g_group"), "g_rows", n).select(F.col("node").alias("f_node"), (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
+    full = skewed_join(full, smallest, ("group", "g_group"), "g_rows", total).select(F.col("node").alias("f_node"), (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
     out = table.join(full, F.col("node") == F.col("f_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from gridloom.llm import embedding_dedup as ed
 
@@ -147,3 +150,62 @@ def test_many_small_shards_lose_few_links(spark, monkeypatch):
     want = brute([(i, np.float32(v).tolist()) for i, v in rows])
     assert all(got[v][0] <= k for v, k, _ in want) and sum(k for k, _ in got.values()) >= 0.98 * sum(k for _, k, _ in want)
     assert all(got[v][1] == c for v, _, c in want)
+
+
+def group(rng, size, cosine, dim):
+    """Unit vectors of about this cosine with each other."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    middle = unit(rng.normal(size=dim))
+    side = rng.normal(size=(size, dim))
+    side = unit(side - (side @ middle)[:, None] * middle)
+    return np.sqrt(cosine) * middle + np.sqrt(1 - cosine) * side
+
+
+def test_a_shard_of_near_copies_takes_bounded_memory():
+    rng = np.random.default_rng(2)
+    x = np.vstack([group(rng, size, 0.99, 64) for size in (1500, 500)])
+    nodes = [i.to_bytes(16, "big") for i in range(len(x))]
+    table = pa.table({"node": pa.array(nodes, pa.binary()), "unit": pa.array([u.tobytes() for u in x], pa.binary())})
+    tracemalloc.start()
+    try:
+        lists = ed.build(ed.THRESHOLD - ed.SLACK)(table)
+        built = tracemalloc.get_traced_memory()[1]
+        own = pa.array([[1]] * len(x), pa.list_(pa.int64()))
+        shard = table.append_column("shard", pa.array([1] * len(x))).append_column("size", pa.array([1] * len(x))).append_column("shards", own)
+        shard = shard.append_column("fringe", pa.array([[]] * len(x), pa.list_(pa.int64()))).append_column("neighbours", lists["neighbours"])
+        tracemalloc.reset_peak()
+        got = ed.search(ed.THRESHOLD)(shard).to_pylist()
+        searched = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {r["node"]: r["links"] for r in got if r["other"] is None} == {v: 1499 if i < 1500 else 499 for i, v in enumerate(nodes)}
+    assert {(r["node"], r["other"]) for r in got if r["other"]} == {(v, nodes[0 if i < 1500 else 1500]) for i, v in enumerate(nodes) if i not in (0, 1500)}
+    assert max(built, searched) < 200e6, (built, searched)
+
+
+def test_a_large_group_does_not_widen_all_shards(spark, monkeypatch):
+    """Groups beyond a shard, tight or as wide as the threshold lets them be, with their surroundings, match brute force at the first overlap."""
+    for name, value in (("SHARD", 40), ("DENSE", 60), ("BLOCK", 32)):
+        monkeypatch.setattr(ed, name, value, raising=False)
+    widths, assign = [], ed.assign
+    monkeypatch.setattr(ed, "assign", lambda middle, overlap: widths.append(overlap) or assign(middle, overlap))
+    rng = np.random.default_rng(6)
+    tight = group(rng, 300, 0.995, 24)
+    x = [*tight, *group(rng, 120, 0.92, 24), *group(rng, 120, 0.9, 24), *rng.normal(size=(300, 24))]
+    for step in (0.3, 0.4, 0.45, 0.5, 0.9):  # some around the edge of what the tight group links with
+        side = rng.normal(size=(8, 24)) / np.sqrt(24)
+        x += [*(np.cos(step) * tight.mean(0) + np.sin(step) * side)]
+    x += [*np.repeat(x[:3], 4, axis=0), *np.repeat(x[-2:], 3, axis=0), *([2.0, 1.0, k] for k in range(3))]
+    rows = [(i, np.float32(x[k]).tolist()) for i, k in enumerate(rng.permutation(len(x)))]
+    frame = spark.createDataFrame([(i, v, 1, "n", 1) for i, v in rows], SCHEMA).repartition(3)
+    out, recall = ed.near_duplicates(spark, frame)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect())
+    assert got == sorted(brute(rows)) and recall >= ed.RECALL
+    assert widths == [ed.OVERLAP]
+
+
+def test_a_table_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ed, "DENSE", 20)
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(group(np.random.default_rng(1), 90, 0.97, 12))]
+    frame = spark.createDataFrame([(i, v, 1, "n", 1) for i, v in rows], SCHEMA)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(spark, frame)[0].collect()) == [(i, 89, 0) for i in range(90)]
